@@ -32,6 +32,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.jpeg import features, store
+
+    return features(store(_table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.simhash import near_duplicates
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
+    "op5_jpeg": op5_jpeg,
     "op6_simhash": op6_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
