@@ -50,6 +50,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.byte_cnn import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_jpeg": op5_jpeg,
     "op6_simhash": op6_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_byte_cnn": op9_byte_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {}
