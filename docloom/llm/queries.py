@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm import mixing
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -14,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "shuffle_key", "text")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality_rules import quality_verdicts
 
@@ -50,6 +58,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.chat import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.byte_cnn import classify
 
@@ -63,14 +77,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_jpeg": op5_jpeg,
     "op6_simhash": op6_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_chat": op8_chat,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE_SQL,
+}
