@@ -78,8 +78,29 @@ def units(path: str, text: str) -> list[str]:
 
 
 def piece_ids(path: str, distinct: list[str]) -> list[list[int]]:
-    """The library's ids of each unit."""
-    return [e.ids for e in tokenizer(path).encode_batch(distinct, add_special_tokens=False)]
+    """The library's ids of each unit.
+
+    Units of a space and what follows it split the same way when they stand in a row, so they are encoded as one text,
+    whose word numbers tell the units apart; the others are encoded one by one.
+    """
+    tok = tokenizer(path)
+    joins = [i for i, x in enumerate(distinct) if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+    others = list(set(range(len(distinct))).difference(joins))
+    out: list[list[int]] = [[]] * len(distinct)
+    for a in range(0, len(joins), 10_000):
+        part = joins[a : a + 10_000]
+        row = tok.encode("".join([distinct[i] for i in part]), add_special_tokens=False)
+        words = np.array([-1 if w is None else w for w in row.word_ids])
+        cuts = np.searchsorted(words, np.arange(len(part) + 1)).tolist()
+        if words[0] or words[-1] != len(part) - 1:  # something was split otherwise, or is special
+            others += part
+            continue
+        ids = row.ids
+        for i, x, y in zip(part, cuts, cuts[1:]):  # noqa: B905
+            out[i] = ids[x:y]
+    for i, e in zip(others, tok.encode_batch([distinct[i] for i in others], add_special_tokens=False), strict=True):
+        out[i] = e.ids
+    return out
 
 
 def _count_batches(path: str):
@@ -192,7 +213,7 @@ class IdCache:
         split = [units(self.path, t) for t in texts]
         if len(self.known) > self.room:
             self.known.clear()
-        new = list({x for s in split for x in s} - self.known.keys())
+        new = list(set().union(*split) - self.known.keys())
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for x, ids in zip(part, piece_ids(self.path, part), strict=True):

@@ -42,13 +42,17 @@ PART_IDS = 1 << 24
 
 def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(control bytes, data bytes) of non-negative ranks below 2^32."""
-    ranks = ranks.astype("<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    wide = ranks.max(initial=0) > 0xFFFF
+    ranks = ranks.astype("<u4" if wide else "<u2")
+    if not wide:
+        extra = (ranks > 0xFF).view(np.uint8)
+    else:
+        extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = extra
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    lanes = ranks.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8), lanes[np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]]
+    lanes = ranks.view(np.uint8).reshape(len(ranks), ranks.dtype.itemsize)
+    return control.astype(np.uint8), lanes[np.arange(ranks.dtype.itemsize, dtype=np.uint8)[None, :] <= extra[:, None]]
 
 
 #: Lengths of the four values of each control byte.
@@ -170,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, root: str, end_id: int = 0, sh
             shard = np.searchsorted(marks.value, ids.fill_null(-(1 << 63)).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), ids, batch.column("text")], names=["shard", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "shard long, doc_id long, text string").repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
+    dealt = rows.mapInArrow(deal, "shard long, doc_id long, text string").repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(_writer(path, root, end_id), "shard long, part long, file string, n_ids long, doc_ids array<long>")
 
 
@@ -179,7 +183,8 @@ def read_token_files(manifest: DataFrame, root: str) -> DataFrame:
     # one short row per file: their running sum is small work
     before = F.sum("n_ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.select("shard", "part", "n_ids").withColumn("before", F.coalesce(before, F.lit(0)))
-    files = manifest.drop("n_ids").join(placed.drop("n_ids"), ["shard", "part"]).repartition("shard", "part")
+    count = max(1, manifest.count())
+    files = manifest.drop("n_ids").join(placed.drop("n_ids"), ["shard", "part"]).repartition(count, "shard", "part")
     return files.mapInArrow(_reader(root), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
