@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, slices, texts_of
+from docloom.llm.rolling import prefix_sums, ranges, window_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -202,21 +203,103 @@ def token_counts(docs: DataFrame, path: str, most: int = 512, head: int = HEAD)
     return scratch.finish(summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit")))
 
 
+#: Kinds of bytes in plain texts: 1 letters (also the bytes of the Latin letters beyond ASCII), 2 digits, 3 white space.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_KIND[[9, 10, 13, 32]] = 3
+#: Bytes that send a text to the slow path: control characters, the apostrophe (contractions), other scripts.
+_SLOW = np.ones(256, bool)
+_SLOW[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = False
+_SLOW[39] = True
+
+
+def plain_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts `plain_spans` splits: no byte of _SLOW, no multiplication or division sign, nothing like a special string."""
+    bad = _SLOW[raw]
+    after = raw[1:]
+    bad[:-1] |= (raw[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (raw[:-1] == 60) & (after == 124)
+    total = np.concatenate([[0], np.cumsum(bad)])
+    return total[offsets[1:]] == total[offsets[:-1]]
+
+
+def plain_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, row) of the pre-tokens of plain texts, which the split pattern's runs of one kind give directly:
+    a run takes one space before it; of white space before something else the last character stands alone."""
+    kind = _KIND[raw]
+    space = kind == 3
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    first = first[:-1]
+    before, after = np.roll(kind, 1), np.concatenate([first[1:], [True]])
+    next_solid = ~after & ~np.concatenate([space[1:], [True]])
+    solid_start = ~space & (first | (before != kind) & ((before != 3) | (np.roll(raw, 1) != 32)))
+    start = np.flatnonzero(solid_start | space & (first | (before != 3) | next_solid))
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return start, np.minimum(np.concatenate([start[1:], [len(raw)]]), offsets[row + 1]), row
+
+
 class IdCache:
-    """Ids of texts as little-endian unsigned 16- or 32-bit bytes, each distinct pre-token encoded once per `room`."""
+    """Ids of texts; each distinct pre-token, known by a 64-bit hash of its bytes, is encoded once per `room`."""
 
-    def __init__(self, path: str, room: int = 400_000):
-        self.path, self.room, self.known = path, room, {}
-        self.kind = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+    kept: dict[str, IdCache] = {}
+
+    @classmethod
+    def of(cls, path: str) -> IdCache:
+        """The worker process's own, which outlives a task."""
+        return cls.kept.setdefault(path, cls(path))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [units(self.path, t) for t in texts]
-        if len(self.known) > self.room:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for x, ids in zip(part, piece_ids(self.path, part), strict=True):
-                self.known[x] = np.array(ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), self.kind) for s in split]
+    def __init__(self, path: str, room: int = 1_000_000):
+        self.path, self.room = path, room
+        self.kind = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = np.zeros(1 << 20, self.kind)
+        self.start = np.zeros(1 << 16, np.int64)  # start[i] .. start[i + 1] are the ids of place i
+
+    def _learn(self, hashes: list[int], strings: list[str]) -> None:
+        n, found = len(self.place), piece_ids(self.path, strings)
+        sizes = np.array([len(x) for x in found], np.int64)
+        if n + len(found) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(found)), np.int64)])
+        at = int(self.start[n])
+        total = int(sizes.sum())
+        if at + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), self.kind)])
+        self.ids[at : at + total] = np.fromiter((i for x in found for i in x), self.kind, total)
+        self.start[n + 1 : n + 1 + len(found)] = at + np.cumsum(sizes)
+        self.place.update(zip(hashes, range(n, n + len(found)), strict=True))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a byte array with offsets."""
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * (len(offsets) - 1)
+        if not len(raw):
+            return out
+        plain = plain_rows(raw, offsets)
+        for i in np.flatnonzero(~plain).tolist():
+            text = raw[offsets[i] : offsets[i + 1]].tobytes().decode()
+            split = units(self.path, text)
+            ids = dict(zip(new := list(set(split)), piece_ids(self.path, new), strict=True))
+            out[i] = np.array([x for u in split for x in ids[u]], self.kind)
+        start, end, row = plain_spans(raw, offsets)
+        keep = plain[row]
+        if not keep.any():
+            return out
+        start, end, row = start[keep], end[keep], row[keep]
+        hashes, at, which = np.unique(window_hashes(prefix_sums(raw), start, end), return_index=True, return_inverse=True)
+        if len(self.place) > self.room:
+            self._clear()
+        listed = hashes.tolist()
+        missing = [i for i, h in enumerate(listed) if h not in self.place]
+        if missing:
+            whole = raw.tobytes()
+            self._learn([listed[i] for i in missing], [whole[start[at[i]] : end[at[i]]].decode() for i in missing])
+        place = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[which]
+        sizes = self.start[place + 1] - self.start[place]
+        flat = self.ids[ranges(self.start[place], sizes)]
+        ends = np.cumsum(np.bincount(row, sizes, minlength=len(plain)).astype(np.int64))
+        for i in np.flatnonzero(plain).tolist():
+            out[i] = flat[ends[i - 1] if i else 0 : ends[i]]
+        return out

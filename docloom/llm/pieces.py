@@ -48,6 +48,8 @@ SPACE = "▁"
 #: Characters of a unit that the fold takes: borders are the bits of a long.
 LONGEST = 60
 HEAD = 1 << 18
+#: So many groups of a task are held in memory before Spark turns to sorting them.
+_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 @dataclass
@@ -127,10 +129,13 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     starts = F.sequence(F.lit(0), n - 1)
     spans = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(longest))), lambda k: F.struct(i.alias("i"), F.substring(F.col("unit"), i + 1, k).alias("piece")))
     cut = units.withColumn("s", F.explode(F.flatten(F.transform(starts, spans))))
+    # the other columns ride on the first character's row alone, which is kept even without a piece
     keys = [c for c in units.columns if c != "unit"]
-    found = cut.select(*units.columns, "s.i", "s.piece").join(F.broadcast(pieces), "piece", "left")
+    lead = (F.col("s.i") == 0) & (F.length("s.piece") == 1)
+    cut = cut.select("unit", *[F.when(lead, F.col(k)).alias(k) for k in keys], "s.i", "s.piece", lead.alias("lead"))
+    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | F.col("lead"))
     edge = F.when(F.col("id").isNotNull(), F.struct("score", (-F.col("i")).alias("back"), (F.col("i") + F.length("piece")).alias("end"), "id"))
-    return found.groupBy("unit").agg(*[F.first(k).alias(k) for k in keys], F.sort_array(F.collect_list(edge), asc=False).alias("edges"))
+    return found.groupBy("unit").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys], F.sort_array(F.collect_list(edge), asc=False).alias("edges"))
 
 
 def _bits(low: Column, high: Column) -> Column:
@@ -295,9 +300,15 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> Da
     """docs (text and other columns) with `piece_ids`, an array of ints. Reads `scratch` later."""
     spark = docs.sparkSession
     held = docs.select("text").mapInArrow(_unit_batches(path), "unit string, part int, n long")
-    distinct = held.groupBy("unit").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
-    short = encode_units(distinct.where(F.length("unit") <= LONGEST), path)
-    table = scratch.table(short.select("unit", "n", "parts", _little_endian(F.col("ids")).alias("ids")), "units")
+    # fine partitions, so that a task's units and edges are grouped in memory; grouping by sorting would spill all edges
+    finer = held.where(F.length("unit") <= LONGEST).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
+    distinct = finer.groupBy("unit").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    grouped = spark.conf.get(_IN_MEMORY)
+    spark.conf.set(_IN_MEMORY, 1 << 17)
+    try:
+        table = scratch.table(encode_units(distinct, path).select("unit", "n", "parts", _little_endian(F.col("ids")).alias("ids")), "units")
+    finally:
+        spark.conf.set(_IN_MEMORY, grouped)
     cut = frequency_cut(table, head)
     # at most `head` rows
     known = table.where(F.col("n") >= cut).select("unit", "ids").toArrow()

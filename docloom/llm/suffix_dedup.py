@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, join_small, slices, text_buffers, with_row
+from docloom.llm.rolling import mix, prefix_sums, ranges, window_hashes
 
 LENGTH = 200
 GRAM = 40
@@ -48,48 +49,6 @@ BLOCK = 4 << 20
 HOT = 50_000
 COVER, PERIOD = (0, 1, 3), 7
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finisher of MurmurHash3, on arrays (fixed values)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2^64, grown on demand."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            one = np.ones(1, np.uint64)
-            cls.up = np.cumprod(np.concatenate([one, np.full(n - 1, _MULTIPLIER, np.uint64)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([one, np.full(n - 1, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-        return cls.up[:n], cls.down[:n]
-
-
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
-
-
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of value(raw[k]) m^k over i <= k < j, modulo 2^64."""
-    up, _ = _Powers.to(len(raw) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
-
-
-def window_hashes(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[first:last], equal for equal strings wherever they stand."""
-    _, down = _Powers.to(len(sums))
-    return _mix((sums[last] - sums[first]) * down[first])
-
-
 def fragments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(anchor hash, fragment hash, row, first position in the row, positions, anchor - first) of all rows' fragments.
 
@@ -100,7 +59,7 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums = prefix_sums(raw)
     grams = np.arange(n - gram + 1)
-    hashes = _mix((sums[gram:] - sums[: n - gram + 1]) * _Powers.to(n + 1)[1][: n - gram + 1])
+    hashes = window_hashes(sums, slice(0, n - gram + 1), slice(gram, n + 1))
     bits = np.uint64((1 << 24) - 1)  # positions of a chunk; what of the hash is left orders the grams everywhere alike
     keys = (hashes & ~bits) | grams.astype(np.uint64)
     width, have = length - gram + 1, 1
@@ -185,7 +144,7 @@ def _fragment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         keep = ~done
         zeros = np.zeros(len(srow), np.int64)
         cols = (
-            np.concatenate([anchor[keep].view(np.int64), _mix(docs[srow].astype(np.uint64)).view(np.int64)]),
+            np.concatenate([anchor[keep].view(np.int64), mix(docs[srow].astype(np.uint64)).view(np.int64)]),
             np.concatenate([anchor[keep].view(np.int64), zeros]),
             np.concatenate([whole[keep].view(np.int64), zeros]),
             np.concatenate([docs[row[keep]], docs[srow]]),
@@ -267,7 +226,7 @@ def _bytes_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         size = n + LENGTH - 1
         for i in range(0, len(row), 20_000):
             part = slice(i, i + 20_000)
-            data = raw[_ranges(start[part], size[part])]
+            data = raw[ranges(start[part], size[part])]
             ends = np.concatenate([[0], np.cumsum(size[part])]).astype(np.int32)
             content = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
             cols = [flat.field("anchor").slice(i, 20_000), batch.column("row").take(pa.array(row[part])), flat.field("first").slice(i, 20_000), flat.field("n").slice(i, 20_000)]
@@ -282,21 +241,15 @@ def _position_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for i, opened in enumerate(batch.column("opened").to_pylist()):
             text = raw[offsets[i] : offsets[i + 1]]
             sums = prefix_sums(text)
-            first = _ranges(np.array([x["first"] for x in opened]), np.array([x["n"] for x in opened]))
+            first = ranges(np.array([x["first"] for x in opened]), np.array([x["n"] for x in opened]))
             anchor = np.repeat(np.array([x["anchor"] for x in opened], np.int64), [x["n"] for x in opened])
             whole = window_hashes(sums, first, first + LENGTH)
-            route = _mix(anchor.view(np.uint64) ^ whole)
+            route = mix(anchor.view(np.uint64) ^ whole)
             ones = np.ones(len(first), np.int64)
             cols = [route.view(np.int64), anchor, whole.view(np.int64), ones * docs[i], first, ones, (ones * 0).astype(np.int32), (ones * 0).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["route", "anchor", "whole", "doc", "first", "n", "at", "state"])
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0] .. start[0] + size[0] - 1, then the next, as one array of indices."""
-    ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-
-
 def _words(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The n <= 8 bytes at each position as one big-endian number; raw is padded."""
     out = np.zeros(len(at), np.uint64)
@@ -387,7 +340,7 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         # coordinates count from a fragment's anchor, so equal strings have equal residues
         coordinate = np.arange(len(raw)) - np.repeat(offsets[:-1] + at, size) + PERIOD * LENGTH
         fragment = np.repeat(np.arange(len(n)), n)
-        positions = _ranges(offsets[:-1], n)
+        positions = ranges(offsets[:-1], n)
         ids = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
         # a suffix bucket: one anchor at one distance
         bucket = ids[fragment] * (2 * LENGTH) + (coordinate[positions] - PERIOD * LENGTH + LENGTH)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import IdCache
-from docloom.llm.common import Scratch, slices, texts_of
+from docloom.llm.common import Scratch, slices, text_buffers
 
 MAGIC = b"DLTI0001"
 #: Rows of a shard, about, by cuts of doc_id.
@@ -121,11 +121,11 @@ def _writer(path: str, root: str, end_id: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = IdCache(path)
+        cache = IdCache.of(path)
         end = np.array([end_id], cache.kind)
         now, seq, size, ids, parts = None, 0, 0, [], []
         for batch in slices(batches, 4 << 20):
-            encoded = cache.encode(texts_of(batch.column("text")))
+            encoded = cache.encode(*text_buffers(batch.column("text")))
             for shard, doc, part in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if parts and (shard != now or size + len(part) > PART_IDS):
                     yield write(now, seq, ids, parts)
