@@ -1,10 +1,337 @@
-"""All registered queries with the SQL that must return the same rows."""
+"""All registered queries with the SQL that must return the same rows.
+
+Queries on the corpus read the session's corpus tables; their SQL builds the same corpus from the star schema and
+computes the answer on its own. Other queries read the star-schema and text tables directly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import frontmatter as Y
+from docloom.functions import ids as I
+from docloom.functions import links as L
+from docloom.functions import text as T
+from docloom.operators import diff, export, graph, links, lint, registry, rewrite, schema, search, stats, verify
+from docloom.plans import tables
+from docloom.plans.oracle import PREFIX, first, words
+from docloom.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _corpus(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: query(tables.docs(spark, sf_dir))
+    if sql:
+        ORACLE_SQL[name] = PREFIX.rstrip() + ("," + sql.strip()[1:] if sql.strip().startswith("+") else " " + sql)
+
+
+def _direct(name: str, query: Callable[..., DataFrame], names: tuple[str, ...], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: query(*[tables.table(spark, sf_dir, t) for t in names])
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _phase(number: int, sql: str) -> None:
+    name, phase = verify.PHASES[number]
+    _corpus(f"v{number:02d}_{name}", lambda d: phase(d).select("severity", "path", "detail"), sql)
+
+
+def _rule(code: str, sql: str) -> None:
+    _corpus(f"{code.lower()}_{lint.RULES[code].__name__}", lambda d: lint.RULES[code](d).select("path", "line", "detail"), sql)
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+# --- integrity phases -----------------------------------------------------------------------------------------------
+_names = {"id": "doc_id", "title": "title", "parent": "parent", "breadcrumb": "breadcrumb", "type": "doc_type", "status": "status"}
+_missing = "[" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{n}' END" for n, c in _names.items()) + "]"
+_phase(1, "SELECT 'error' AS severity, NULL::VARCHAR AS path, 'no files' AS detail WHERE (SELECT count(*) FROM docs) = 0")
+_phase(2, f"""+ m AS (SELECT path, list_filter({_missing}, lambda x: x IS NOT NULL) AS m FROM docs)
+SELECT 'error' AS severity, path, 'missing: ' || array_to_string(m, ', ') AS detail FROM m WHERE len(m) > 0""")
+_phase(3, """SELECT 'error' AS severity, min(path) AS path, doc_id || ': ' || string_agg(path, ', ' ORDER BY path) AS detail
+FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1""")
+_phase(4, """SELECT 'error' AS severity, path, parent AS detail FROM docs
+WHERE parent <> '0' AND parent NOT IN (SELECT doc_id FROM docs WHERE doc_id IS NOT NULL)""")
+_phase(5, "SELECT 'warning' AS severity, path, breadcrumb AS detail FROM docs WHERE NOT contains(breadcrumb, doc_id)")
+_phase(6, f"SELECT 'warning' AS severity, path, doc_type AS detail FROM docs WHERE lower(doc_type) NOT IN {_listed(verify.TYPES)}")
+_phase(7, f"SELECT 'warning' AS severity, path, status AS detail FROM docs WHERE lower(status) NOT IN {_listed(verify.STATUSES)}")
+_phase(8, """+ d AS (SELECT path, abs(mtime_s - epoch(strptime(last_updated, '%Y-%m-%d'))::BIGINT) // 60 AS drift
+  FROM docs WHERE last_updated IS NOT NULL AND NOT starts_with(file_name, '0.'))
+SELECT 'warning' AS severity, path, drift::VARCHAR AS detail FROM d WHERE drift > 1440""")
+_wiki = r"""+ seen AS (
+  SELECT path, link, split_part(link, '#', 1) AS name FROM (
+    SELECT path, regexp_replace(trim(t), '\\+$', '') AS link
+    FROM (SELECT path, unnest(regexp_extract_all(content, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)) AS t FROM docs)
+  ) WHERE link <> '' AND NOT starts_with(link, 'http') AND NOT starts_with(link, '#') AND NOT contains(link, 'Métrica') AND NOT contains(link, 'Valor')
+)"""
+_phase(9, _wiki + r""", stems AS (SELECT lower(stem) AS low, max(stem) AS correct FROM docs GROUP BY 1)
+SELECT CASE WHEN correct IS NULL THEN 'warning' ELSE 'error' END AS severity, path, CASE WHEN correct IS NULL THEN link ELSE link || ' -> ' || correct END AS detail
+FROM seen LEFT JOIN stems ON lower(name) = low
+WHERE name || '.md' NOT IN (SELECT path FROM docs) AND (correct IS NOT NULL OR NOT (starts_with(link, '@') OR contains(link, '_')))""")
+_phase(10, r"""+ e AS (SELECT path, regexp_replace(trim(t), '\\+$', '') AS name FROM (SELECT path, unnest(regexp_extract_all(content, '!\[\[([^\]]+)\]\]', 1)) AS t FROM docs))
+SELECT 'warning' AS severity, path, name AS detail FROM e WHERE name <> '' AND name || '.md' NOT IN (SELECT path FROM docs)""")
+_phase(11, r"""+ e AS (SELECT path, unnest(regexp_extract_all(content, '!\[([^\]]*)\]\(([^)]+)\)', 2)) AS image FROM docs)
+SELECT 'warning' AS severity, path, image AS detail FROM e WHERE NOT starts_with(image, 'http') AND image NOT IN (SELECT path FROM docs)""")
+_phase(12, "+ c AS (SELECT path, (length(content) - length(replace(content, '```', ''))) // 3 AS n FROM docs) SELECT 'warning' AS severity, path, n::VARCHAR AS detail FROM c WHERE n % 2 <> 0")
+_phase(13, r"""+ b AS (SELECT path, unnest(regexp_extract_all(content, '```mermaid\s*([\s\S]*?)```', 1)) AS block FROM docs)
+SELECT 'warning' AS severity, path, 'no diagram type' AS detail FROM b
+WHERE trim(block) <> '' AND NOT regexp_matches(block, '""" + "|".join(verify.DIAGRAMS) + "')")
+_phase(14, r"""+ m AS (SELECT path, line_no, trim(text) AS t, starts_with(trim(text), '|') AND ends_with(trim(text), '|') AS r, max(line_no) OVER (PARTITION BY path) AS total FROM lines),
+g AS (SELECT *, sum(CASE WHEN r THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line_no) AS run FROM m),
+e AS (SELECT path, run, min(line_no) AS f, max(line_no) AS l, max(total) AS total, bool_or(regexp_matches(t, '---|:--|--:|:-:')) AS sep FROM g WHERE r GROUP BY path, run)
+SELECT 'warning' AS severity, path, f::VARCHAR AS detail FROM e WHERE NOT sep AND l < total""")
+_phase(15, r"""+ h AS (SELECT path, line_no, trim(text) AS t, length(regexp_extract(trim(text), '^#+')) AS level FROM lines WHERE starts_with(trim(text), '#')),
+one AS (SELECT path, count(*) AS n FROM h WHERE starts_with(t, '# ') GROUP BY path HAVING count(*) > 1),
+j AS (SELECT path, line_no, level, lag(level) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM h),
+f AS (SELECT path, arg_min('H' || prev || ' to H' || level, line_no) AS detail FROM j WHERE level > prev + 1 GROUP BY path)
+SELECT 'warning' AS severity, path, n || ' H1' AS detail FROM one UNION ALL SELECT 'warning', path, detail FROM f""")
+_phase(16, f"+ w AS (SELECT path, {words('body')} AS n FROM docs) SELECT 'warning' AS severity, path, n::VARCHAR AS detail FROM w WHERE n < 50")
+_phase(17, "+ p AS (SELECT path, list_filter([" + ", ".join(f"'{x}'" for x in verify.PLACEHOLDERS) + """], lambda x: contains(content, x))[1] AS found FROM docs)
+SELECT 'warning' AS severity, path, found AS detail FROM p WHERE found IS NOT NULL""")
+_phase(18, """SELECT 'warning' AS severity, min(path) AS path, lower(title) || ': ' || string_agg(path, ', ' ORDER BY path) AS detail
+FROM docs WHERE title IS NOT NULL GROUP BY lower(title) HAVING count(*) > 1""")
+_phase(19, _wiki + """ SELECT 'warning' AS severity, path, stem AS detail FROM docs
+WHERE NOT starts_with(file_name, '0.') AND (parent IS NULL OR parent IN ('0', 'null', '')) AND lower(stem) NOT IN (SELECT lower(split_part(name, '/', -1)) FROM seen)""")
+_phase(20, r"""+ a AS (SELECT parent, count(*) AS n FROM docs WHERE doc_id IS NOT NULL AND parent <> '0' GROUP BY parent)
+SELECT 'warning' AS severity, path, children_count || ' vs ' || coalesce(n, 0) AS detail FROM docs LEFT JOIN a ON a.parent = docs.doc_id
+WHERE regexp_full_match(children_count, '\d+') AND children_count::BIGINT <> coalesce(n, 0)""")
+_hash = r"""substr(sha256(array_to_string(list_filter(string_split(regexp_replace(content, '\n\z', ''), chr(10)),
+  lambda x: NOT (starts_with(x, 'last_updated:') OR starts_with(x, 'content_hash:') OR starts_with(x, 'file_create:'))), chr(10))), 1, 16)"""
+_phase(21, f"SELECT 'warning' AS severity, path, content_hash AS detail FROM docs WHERE content_hash IS NOT NULL AND trim(content_hash) <> {_hash}")
+
+_corpus("verify_summary", verify.summary)
+_corpus("verify_quick", lambda d: verify.summary(d, quick=True))
+
+# --- lint -------------------------------------------------------------------------------------------------------------
+_rule("L001", "SELECT path, 1::BIGINT AS line, '' AS detail FROM docs WHERE NOT starts_with(content, '---')")
+_rule("L002", r"""+ h AS (SELECT path, line_no, length(regexp_extract(text, '^#+')) AS level FROM prose WHERE starts_with(text, '#')),
+j AS (SELECT *, lag(level) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM h)
+SELECT path, line_no AS line, 'H' || prev || ' to H' || level AS detail FROM j WHERE level > prev + 1""")
+_rule("L003", r"SELECT path, line_no AS line, '' AS detail FROM lines WHERE regexp_matches(text, '[ \t]$')")
+_rule("L004", "SELECT path, NULL::BIGINT AS line, '' AS detail FROM docs WHERE NOT ends_with(content, chr(10))")
+_rule("L005", "SELECT path, line_no AS line, strlen(text)::VARCHAR AS detail FROM lines WHERE strlen(text) > 800")
+_rule("L006", r"""+ t AS (SELECT path, line_no, trim(text) AS x FROM lines),
+k AS (SELECT *, starts_with(x, '```') AS f, sum(CASE WHEN starts_with(x, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS n FROM t),
+o AS (SELECT path, line_no FROM k WHERE f AND n % 2 = 1 AND regexp_full_match(x, '`+')),
+c AS (SELECT o.path, o.line_no, coalesce(min(k.line_no), o.line_no + 50) AS stop FROM o LEFT JOIN k ON k.path = o.path AND k.line_no > o.line_no AND k.line_no < o.line_no + 50 AND k.x = '```' GROUP BY 1, 2),
+s AS (SELECT c.path, c.line_no, coalesce(max(starts_with(x, '##')::INT), 0) + coalesce(max((starts_with(x, '|') AND ends_with(x, '|'))::INT), 0)
+  + coalesce(max((starts_with(x, '```') AND strlen(x) > 3)::INT), 0) + coalesce(max((x = '---')::INT), 0) AS score
+  FROM c LEFT JOIN k ON k.path = c.path AND k.line_no > c.line_no AND k.line_no < c.stop GROUP BY 1, 2)
+SELECT path, line_no AS line, '' AS detail FROM s WHERE score < 2""")
+_rule("L007", r"""+ h AS (SELECT path, line_no, lower(trim(regexp_replace(text, '^#+', ''))) AS head FROM prose WHERE regexp_matches(text, '^#+ ')),
+m AS (SELECT *, min(line_no) OVER (PARTITION BY path, head) AS f FROM h WHERE head <> '' AND NOT starts_with(head, '!'))
+SELECT path, line_no AS line, f::VARCHAR AS detail FROM m WHERE line_no > f""")
+_rule("L008", "SELECT path, NULL::BIGINT AS line, x AS detail FROM docs, (VALUES ('id'), ('title')) v(x) WHERE starts_with(content, '---') AND NOT contains(content, x || ':')")
+_tables = r"""+ m AS (SELECT path, line_no, n, fence, regexp_matches(trim(text), '^\|.+\|$') AND NOT fence AS r, regexp_matches(trim(text), '^\|[-:\s|]+\|$') AS sep FROM fenced),
+g AS (SELECT *, sum(CASE WHEN r THEN 0 ELSE 1 END) OVER w AS run, coalesce(lead(sep) OVER w, false) AS nsep FROM m WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+t AS (SELECT *, min(line_no) OVER (PARTITION BY path, run) AS f FROM g WHERE r AND n % 2 = 0)"""
+_rule("L009", _tables + " SELECT path, line_no AS line, '' AS detail FROM t WHERE line_no = f AND NOT nsep")
+_rule("L010", r"SELECT path, line_no AS line, '' AS detail FROM lines WHERE regexp_matches(text, '!\[\]\([^)]+\)')")
+_rule("L011", _tables + """, s AS (SELECT path, run, line_no, sep, max(CASE WHEN sep THEN 0 ELSE 1 END) OVER (PARTITION BY path, run ORDER BY line_no) AS started FROM t),
+u AS (SELECT *, row_number() OVER (PARTITION BY path, run ORDER BY line_no) AS i, min(line_no) OVER (PARTITION BY path, run) AS f FROM s WHERE sep AND started = 1)
+SELECT path, line_no AS line, f::VARCHAR AS detail FROM u WHERE i > 1""")
+_rule("L012", r"""+ l AS (SELECT path, line_no, unnest(regexp_extract_all(text, '\[\[[^\]\|\\]+\|[^\]]+\]\]')) AS link FROM lines WHERE starts_with(trim(text), '|'))
+SELECT path, line_no AS line, link AS detail FROM l WHERE NOT contains(link, '\|')""")
+_rule("L013", r"""+ r AS (SELECT path, line_no, string_split(text, '|') AS c FROM lines WHERE starts_with(path, 'Nat-') AND regexp_matches(text, '^\| \[\[[0-9]')),
+x AS (SELECT path, line_no, regexp_extract(c[2], '\[\[([^\] ]+)', 1) AS id, trim(c[3])::BIGINT AS claimed FROM r),
+d AS (SELECT id, (SELECT count(*) FROM docs f WHERE NOT contains(f.path, '/') AND regexp_matches(f.file_name, '^' || replace(x.id, '.', '\.') || '\.[0-9]')) AS n FROM (SELECT DISTINCT id FROM x) x)
+SELECT path, line_no AS line, x.id || ': ' || claimed || ' vs ' || n AS detail FROM x JOIN d USING (id) WHERE n <> claimed""")
+_rule("L014", "SELECT path, line_no AS line, '' AS detail FROM lines WHERE false")
+_corpus("lint_summary", lint.summary)
+_corpus("lint_fix", lambda d: rewrite.lint_fix(d).select("path", F.sha2("content", 256).alias("sha")), r"""+ f AS (
+  SELECT path, content, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(content, '\n\z', ''), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n+\z', '') || chr(10) AS new FROM docs)
+SELECT path, sha256(new) AS sha FROM f WHERE new <> content""")
+
+# --- links ------------------------------------------------------------------------------------------------------------
+_links = r"""+ wl AS (SELECT path, stem, line_no AS line, 'wiki' AS kind, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) AS target FROM prose),
+ml AS (SELECT path, stem, line_no AS line, 'markdown' AS kind, unnest(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)', 2)) AS target FROM prose),
+ll AS (SELECT * FROM wl UNION ALL SELECT * FROM ml WHERE NOT regexp_matches(target, '^https?://')),
+nn AS (SELECT *, trim(split_part(split_part(split_part(replace(target, '\|', '|'), '|', 1), '/', -1), '#', 1)) AS name FROM ll),
+st AS (SELECT path, line, kind, target, name, CASE
+  WHEN kind = 'wiki' AND contains(split_part(target, '|', 1), '/') THEN 'nonstandard' WHEN target = stem OR ends_with(target, '/' || stem) THEN 'circular'
+  WHEN EXISTS (SELECT 1 FROM docs f WHERE ends_with(lower(f.stem), lower(nn.name)) OR contains(lower(f.path), lower(nn.name)) OR (regexp_matches(nn.name, '^[0-9]') AND starts_with(lower(f.stem), lower(nn.name)))) THEN 'valid'
+  ELSE 'broken' END AS status FROM nn)"""
+_corpus("links_classify", links.classify, _links + " SELECT * FROM st")
+_corpus("links_totals", links.totals, _links + """ SELECT count(*) AS links, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'broken') AS broken,
+  count(*) FILTER (status = 'circular') AS circular, count(*) FILTER (status = 'nonstandard') AS nonstandard, 0::BIGINT AS external, round(count(*) FILTER (status = 'valid') / count(*) * 100, 6) AS health FROM st""")
+_corpus("links_find_refs", lambda d: links.references(d, "Nat-3"), "SELECT path, line_no AS line, substr(text, 1, 50) AS fragment FROM lines WHERE contains(text, '[[Nat-3]]') OR contains(text, '[[Nat-3|')")
+_corpus("links_unresolved", links.unresolved)
+_corpus("links_unique_targets", links.unique_targets)
+_corpus("links_extract", lambda d: d.select("path", F.explode(L.extract(F.col("content"))).alias("l")).groupBy("l.link_type").agg(F.count(F.lit(1)).alias("n")))
+_corpus("links_to_markdown", lambda d: d.select("path", F.sha2(L.to_markdown(F.col("content")), 256).alias("sha")))
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+_edges = r"""+ up2 AS (SELECT node, parent FROM up WHERE parent NOT IN ('null', '')),
+ed AS (SELECT parent AS src, node AS dst, 'hierarchy' AS kind FROM up2
+  UNION ALL SELECT * FROM (SELECT stem AS src, unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)) AS dst, 'link' AS kind FROM docs) WHERE src <> dst
+  UNION ALL SELECT * FROM (SELECT stem AS src, regexp_replace(split_part(unnest(regexp_extract_all(content, '\[([^\]]+)\]\(([^)]+\.md)\)', 2)), '/', -1), '\.md$', '') AS dst, 'link' AS kind FROM docs) WHERE src <> dst)"""
+_corpus("deps_edges", lambda d: graph.edges(d).groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n")), _edges + " SELECT src, dst, kind, count(*) AS n FROM ed GROUP BY ALL")
+_corpus("deps_roles", graph.roles, _edges + """ SELECT d.node, parent IS NULL AS is_root, d.node NOT IN (SELECT parent FROM up2) AS is_leaf,
+  CASE WHEN parent IS NULL THEN 'no_parent' WHEN parent NOT IN (SELECT stem FROM docs) THEN 'missing_parent' END AS orphan_reason,
+  CASE WHEN parent NOT IN (SELECT stem FROM docs) THEN parent END AS invalid_parent
+FROM (SELECT DISTINCT stem AS node FROM docs) d LEFT JOIN up2 ON up2.node = d.node""")
+_corpus("deps_impact", lambda d: graph.impact(d, "Nat-2"), _edges + """ SELECT node, 'child' AS relation FROM up2 WHERE parent = 'Nat-2'
+UNION ALL SELECT DISTINCT src, 'reference' FROM ed WHERE kind = 'link' AND contains(dst, 'Nat-2')""")
+_corpus("deps_mermaid", lambda d: graph.mermaid(graph.edges(d).where("kind = 'hierarchy'")))
+_corpus("trace", lambda d: graph.trace(d, "Reg-1", 3, True).where("ref_type in ('parent', 'child')"), _edges + """, below AS (
+  SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
+  UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1')
+SELECT source, target, 'child' AS ref_type, depth FROM below UNION ALL SELECT node, parent, 'parent', 1 FROM up2 WHERE node = 'Reg-1'""")
+_corpus("tree", lambda d: graph.tree(d).select("node", "depth", "doc_kind", "children", "is_last", "is_orphan", "words", F.array_join("sort_path", "/").alias("place")))
+_corpus("tree_text", lambda d: graph.tree_text(graph.tree(d)).select(F.array_join("sort_path", "/").alias("place"), "line"))
+_corpus("id_tree", graph.id_tree, r"""+ o AS (SELECT DISTINCT doc_id FROM docs WHERE regexp_full_match(doc_id, '\d+(\.\d+)*')),
+p AS (SELECT doc_id, CASE WHEN contains(doc_id, '.') THEN regexp_replace(doc_id, '\.[^.]*$', '') END AS parent_id, len(string_split(doc_id, '.'))::BIGINT AS depth, split_part(doc_id, '.', 1)::INT AS module FROM o)
+SELECT doc_id, parent_id, depth, module, doc_id NOT IN (SELECT parent_id FROM p WHERE parent_id IS NOT NULL) AS is_leaf FROM p""")
+
+
+def _supply(lineitem: DataFrame) -> DataFrame:
+    some = lineitem.where("l_partkey < 40 and l_suppkey < 40").select("l_partkey", "l_suppkey").distinct()
+    return some.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 40).alias("dst"))
+
+
+_direct("cycles", lambda x: graph.cycles(_supply(x), 3).select(F.array_join("path", ",").alias("path")), ("lineitem",), """
+WITH e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7 + l_suppkey) % 40 AS dst FROM lineitem WHERE l_partkey < 40 AND l_suppkey < 40), f AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)
+SELECT a.src || ',' || a.dst AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION SELECT a.src || ',' || a.dst || ',' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+_corpus("stats_by_module", stats.by_module, f"SELECT split_part(doc_id, '.', 1) AS module_id, count(*) AS documents, sum({words('body')})::BIGINT AS words FROM docs WHERE doc_id IS NOT NULL GROUP BY 1")
+_corpus("stats_by_status", stats.by_status, "SELECT coalesce(status, 'sin_status') AS status, count(*) AS n FROM docs GROUP BY 1")
+_corpus("stats_by_type", stats.by_type, "SELECT coalesce(doc_type, 'sin_tipo') AS doc_type, count(*) AS n FROM docs GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")
+_corpus("stats_sizes", lambda d: stats.sizes(d).drop("label"), "SELECT sum(size)::BIGINT AS bytes, round(avg(size), 6) AS average FROM docs")
+_corpus("stats_project", stats.project, rf"""+ w AS (SELECT unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)) AS t FROM prose),
+x AS (SELECT lower(trim(split_part(split_part(t, '#', 1), '/', -1))) AS name FROM w)
+SELECT count(*) AS documents, count(*) AS healthy, sum({words('body')})::BIGINT AS words, count(DISTINCT split_part(doc_id, '.', 1)) AS modules, max(len(string_split(doc_id, '.')))::BIGINT AS max_depth,
+  (SELECT count(*) FROM x) AS links, (SELECT count(*) FROM x WHERE NOT EXISTS (SELECT 1 FROM docs f WHERE contains(lower(f.stem), x.name))) AS broken FROM docs""")
+_corpus("stats_quick", stats.quick, f"SELECT count(*) AS files, sum({words('content')})::BIGINT AS words, sum(size)::BIGINT AS bytes, count(*) FILTER (starts_with(content, '---')) AS with_frontmatter FROM docs")
+_corpus("modules", lambda d: stats.modules(d).drop("children"), rf"""+ m AS (SELECT {first('module')} AS module, {words('content')} AS w FROM docs), g AS (SELECT module, count(*) AS documents, sum(w)::BIGINT AS words FROM m WHERE module IS NOT NULL GROUP BY 1)
+SELECT module, documents, words, words // documents AS average, (CASE WHEN words // documents <= 50 THEN 40 WHEN words // documents <= 200 THEN 70 WHEN words // documents <= 500 THEN 90 ELSE 100 END)::BIGINT AS health FROM g""")
+_corpus("module_registry", stats.module_registry, rf"""+ m AS (SELECT doc_id, title, {words('body')} AS w, len(string_split(doc_id, '.')) AS depth FROM docs WHERE regexp_full_match(doc_id, '\d+(\.\d+)*'))
+SELECT split_part(doc_id, '.', 1)::INT AS module, count(*) AS documents, sum(w)::BIGINT AS words, count(*) FILTER (title IS NOT NULL AND w >= 50) AS healthy,
+  round(count(*) FILTER (title IS NOT NULL AND w >= 50) / count(*) * 100, 6) AS coverage, max(depth)::BIGINT AS max_depth, min(CASE WHEN depth = 1 THEN doc_id END) AS root_doc FROM m GROUP BY 1""")
+_corpus("health", stats.health)
+_corpus("audit", lambda d: stats.audit(d).select("rank", "category", "severity", "title", "n"))
+_corpus("audit_score", lambda d: stats.audit_score(stats.audit(d)))
+_corpus("report", stats.report, rf"""+ r AS (SELECT {words('body')} AS w, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) AS l FROM docs)
+SELECT count(*) AS documents, sum(w)::BIGINT AS words, (sum(w) // count(*))::BIGINT AS average, sum(l)::BIGINT AS wiki_links FROM r""")
+_corpus("report_modules", stats.report_modules, "SELECT split_part(doc_id, '.', 1) AS module_id, count(*) AS n FROM docs WHERE doc_id IS NOT NULL GROUP BY 1")
+_corpus("dashboard", lambda d: stats.dashboard(d, "errors").groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+_corpus("dashboard_score", stats.dashboard_score)
+_corpus("gate", registry.gate)
+_buckets = "(VALUES " + ", ".join(f"('{n}', {a}, {b if b is not None else 'NULL'})" for n, a, b in stats.BUCKETS) + ") b(name, least, most)"
+_direct("coverage", lambda d: stats.coverage(d.withColumnRenamed("text", "content")), ("documents",), f"""
+WITH w AS (SELECT {words('text')} AS n FROM documents)
+SELECT name, least::BIGINT AS least, most::BIGINT AS most, (SELECT count(*) FROM w WHERE n >= least AND (most IS NULL OR n <= most)) AS n FROM {_buckets}""")
+_direct("coverage_summary", lambda d: stats.coverage_summary(d.withColumnRenamed("text", "content")), ("documents",), f"""
+WITH w AS (SELECT {words('text')} AS n FROM documents)
+SELECT count(*) AS files, sum(n)::BIGINT AS words, (sum(n) // count(*))::BIGINT AS average, round(count(*) FILTER (n >= 201) / count(*) * 100, 6) AS percent FROM w""")
+_direct("coverage_classes", lambda d: stats.coverage_classes(d.withColumnRenamed("text", "content")), ("documents",), f"""
+WITH w AS (SELECT least({words('text')} // 50, 7) AS c FROM documents)
+SELECT count(*) AS total, {", ".join(f"count(*) FILTER (c = {i}) AS c{i}" for i in range(8))}, round(count(*) FILTER (c = 7) / count(*) * 100, 6) AS acceptable,
+  round(count(*) FILTER (c = 0) / count(*) * 100, 6) AS critical, round(sum([0.0, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0][c + 1]::DOUBLE) / count(*) * 100)::BIGINT AS score FROM w""")
+_direct("activity", lambda o: stats.activity(o, "o_orderdate").drop("level"), ("orders",), """
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1) SELECT month, n, (n * 30 // (SELECT max(n) FROM m))::BIGINT AS bar FROM m""")
+_direct("recent", lambda o: stats.recent(o, "o_orderdate", F.lit("2030-01-01").cast("timestamp"), 20, "o_orderkey").select("o_orderkey", "age"), ("orders",), """
+SELECT o_orderkey, (date_diff('second', o_orderdate, TIMESTAMP '2030-01-01') // 86400) || 'd' AS age FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""")
+
+# --- search, diff, functions ------------------------------------------------------------------------------------------
+
+
+def _text_lines(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("line_no"), "text")
+
+
+_dl = "l AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) AS line_no FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) AS x FROM documents))"
+_direct("search", lambda d: search.search(_text_lines(d), "tion", key="doc_id").select("doc_id", "line_no", "start", "length"), ("documents",), f"""
+WITH {_dl} SELECT doc_id, line_no::INT AS line_no, strlen(substr(text, 1, strpos(text, 'tion') - 1))::BIGINT AS start, 4::BIGINT AS length FROM l WHERE contains(text, 'tion')""")
+_direct("search_ignore_case", lambda d: search.search(_text_lines(d), "THE", True, key="doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), ("documents",), f"""
+WITH {_dl} SELECT doc_id, count(*) AS n FROM l WHERE contains(lower(text), 'the') GROUP BY 1""")
+_direct("search_totals", lambda d: search.totals(_text_lines(d), search.search(_text_lines(d), "tion", key="doc_id"), "doc_id"), ("documents",), f"""
+WITH {_dl} SELECT count(*) FILTER (contains(text, 'tion')) AS matches, count(DISTINCT CASE WHEN contains(text, 'tion') THEN doc_id END) AS files_with_matches, count(DISTINCT doc_id) AS files, count(*) AS lines FROM l""")
+_direct("search_top", lambda d: search.search(_text_lines(d), "tion", most=50, key="doc_id").select("doc_id", "line_no"), ("documents",), f"""
+WITH {_dl} SELECT doc_id, line_no::INT AS line_no FROM l WHERE contains(text, 'tion') ORDER BY doc_id, line_no LIMIT 50""")
+_direct("search_fuzzy", lambda c: search.fuzzy(c, "c_mktsegment", "MACHINARY", 2).select("c_custkey", "distance"), ("customer",), """
+SELECT c_custkey, levenshtein(c_mktsegment, 'MACHINARY')::INT AS distance FROM customer WHERE levenshtein(c_mktsegment, 'MACHINARY') <= 2""")
+_direct("search_context", lambda d: search.context(_text_lines(d), "tion,", 1, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), ("documents",), f"""
+WITH {_dl} SELECT doc_id, count(*) AS n FROM l WHERE EXISTS (SELECT 1 FROM l m WHERE m.doc_id = l.doc_id AND abs(m.line_no - l.line_no) <= 1 AND contains(m.text, 'tion,')) GROUP BY 1""")
+_direct("duplicate_texts", lambda d: d.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1"), ("documents",),
+        "SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1 HAVING count(*) > 1")
+_direct("quality_rows", lambda d, l: d.join(l, "doc_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), ("documents", "labels"),
+        "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
+_direct("external_pages", lambda p: p.select("page_id", L.is_external(F.col("url")).alias("external")), ("pages",), "SELECT page_id, regexp_matches(url, '^https?://') AS external FROM pages")
+
+
+def _diff(d: DataFrame) -> DataFrame:
+    old = d.select(F.concat((F.col("doc_id") % 150).cast("string"), F.lit(".md")).alias("file_name"), "doc_id", F.col("text").alias("content")).withColumn("path", F.col("file_name"))
+    return diff.corpora(old.where("doc_id < 100").drop("doc_id"), old.where("doc_id >= 200 and doc_id < 300 or doc_id < 20").where("doc_id >= 220 or doc_id < 20").drop("doc_id"))
+
+
+_direct("diff", _diff, ("documents",), """
+WITH f AS (SELECT doc_id % 150 || '.md' AS file_name, doc_id, text, len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)))::BIGINT AS n FROM documents),
+a AS (SELECT * FROM f WHERE doc_id < 100), b0 AS (SELECT * FROM f WHERE (doc_id >= 220 AND doc_id < 300) OR doc_id < 20),
+b AS (SELECT file_name, max(text) AS text, arg_max(n, text) AS n FROM b0 GROUP BY 1)
+SELECT coalesce(a.file_name, b.file_name) AS file_name, CASE WHEN a.file_name IS NULL THEN 'added' WHEN b.file_name IS NULL THEN 'deleted' ELSE 'modified' END AS change, a.n AS old_lines, b.n AS new_lines
+FROM a FULL JOIN b USING (file_name) WHERE a.file_name IS NULL OR b.file_name IS NULL OR a.text <> b.text""")
+_direct("line_similarity", lambda d: d.alias("a").join(d.alias("b"), F.col("a.doc_id") + 1 == F.col("b.doc_id")).select(F.col("a.doc_id").alias("doc_id"), diff.line_changes(F.col("a.text"), F.col("b.text")).alias("c")).select("doc_id", "c.*"), ("documents",), r"""
+WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents),
+p AS (SELECT a.doc_id, len(list_filter(b.l, lambda y: NOT list_contains(a.l, y))) AS ad, len(list_filter(a.l, lambda y: NOT list_contains(b.l, y))) AS re, greatest(len(a.l), len(b.l)) AS m FROM x a JOIN x b ON a.doc_id + 1 = b.doc_id)
+SELECT doc_id, ad::BIGINT AS added, re::BIGINT AS removed, least(ad, re)::BIGINT AS modified, round(greatest(0, (m - (ad + re) / 2) / m * 100), 6)::DOUBLE AS similarity FROM p""")
+_direct("char_similarity", lambda p: p.select("p_partkey", F.round(T.similarity(F.col("p_name"), F.col("p_type")), 9).alias("similarity")), ("part",), """
+SELECT p_partkey, round(len(list_filter(string_split(p_name, ''), lambda c: contains(p_type, c))) / greatest(strlen(p_name), strlen(p_type)), 9) AS similarity FROM part""")
+_direct("labels_format", lambda d: d.select("doc_id", T.file_size_label(F.octet_length("text").cast("long")).alias("size"), T.word_count_label(T.words(F.col("text"))).alias("words")), ("documents",))
+_corpus("prose_words", lambda d: d.select("path", Y.count_prose_words(Y.body(F.col("content"))).alias("n")))
+_corpus("id_ancestors", lambda d: d.where("doc_id is not null").select("path", F.array_join(I.ancestors(F.col("doc_id")), "/").alias("ancestors"), F.array_join(I.breadcrumb(F.col("breadcrumb")), "/").alias("crumbs")), r"""
+SELECT path, array_to_string(list_transform(range(1, len(string_split(doc_id, '.'))), lambda i: array_to_string(string_split(doc_id, '.')[1:i], '.')), '/') AS ancestors,
+  array_to_string(list_filter(list_transform(string_split(breadcrumb, '>'), lambda s: trim(s)), lambda s: s <> ''), '/') AS crumbs FROM docs WHERE doc_id IS NOT NULL""")
+
+# --- rewrites, schema, export -----------------------------------------------------------------------------------------
+_corpus("sync_changes", lambda d: rewrite.changes(rewrite.sync(d, "2024-06-01 00:00:00", children=True)), rf"""+ s AS (
+  SELECT path, stem, {first('content_hash')} AS stored, {_hash} AS h, coalesce({first('last_updated')}, 'N/A') AS day, {first('children_count', True)} AS said FROM docs),
+k AS (SELECT parent, count(*) AS n FROM up WHERE parent NOT IN ('null', '') GROUP BY 1)
+SELECT path, 'last_updated' AS field, day AS old_value, '2024-06-01 00:00:00' AS new_value FROM s WHERE stored <> h
+UNION ALL SELECT path, 'content_hash', stored, h FROM s WHERE stored <> h
+UNION ALL SELECT path, 'children_count', said, coalesce(n, 0)::VARCHAR FROM s LEFT JOIN k ON k.parent = s.stem WHERE said::BIGINT <> coalesce(n, 0)""")
+_corpus("sync_states", lambda d: rewrite.sync(d, "2024-06-01 00:00:00").groupBy("state").agg(F.count(F.lit(1)).alias("n")), rf"""+ s AS (SELECT {first('content_hash')} AS stored, {_hash} AS h FROM docs)
+SELECT CASE WHEN stored IS NULL THEN 'initialize' WHEN stored <> h THEN 'update' ELSE 'unchanged' END AS state, count(*) AS n FROM s GROUP BY 1""")
+_corpus("fix_dates", rewrite.fix_dates, rf"""+ s AS (SELECT path, mtime_s, {first('last_updated')} AS said FROM docs)
+SELECT path, 'last_updated' AS field, said AS old_value, strftime(make_timestamp(mtime_s * 1000000), '%Y-%m-%d %H:%M:%S') AS new_value FROM s WHERE said IS NOT NULL AND abs(mtime_s - epoch(strptime(said, '%Y-%m-%d'))::BIGINT) // 3600 >= 24""")
+_corpus("fix_hashes", rewrite.fix_hashes, rf"""+ s AS (SELECT path, {first('content_hash')} AS old_value, {_hash} AS new_value FROM docs)
+SELECT path, 'content_hash' AS field, old_value, new_value FROM s WHERE old_value <> new_value""")
+_corpus("fix_tables", rewrite.fix_tables)
+_corpus("set_field", lambda d: rewrite.set_field(d, "status", "review").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, 'status:[^\n]*', 'status: review')) AS sha FROM docs")
+_corpus("remove_field", lambda d: rewrite.remove_field(d, "draft").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, '(?m)^draft:\s*.*\n?', '', 'g')) AS sha FROM docs")
+_corpus("rename_links", lambda d: rewrite.rename_links(d, "Nat-3", "Nation-3").select("path", F.sha2("content", 256).alias("sha")), "SELECT path, sha256(replace(replace(content, '[[Nat-3]]', '[[Nation-3]]'), '(Nat-3.md)', '(Nation-3.md)')) AS sha FROM docs")
+_corpus("archivable", lambda d: rewrite.archivable(d, "stub,obsoleto"), rf"""+ s AS (SELECT path, stem, lower({first('status')}) AS status, {first('document_id')} AS document_id FROM docs) SELECT * FROM s WHERE contains(status, 'stub') OR contains(status, 'obsoleto')""")
+_corpus("next_id", lambda d: rewrite.next_id(d, "1.1"), "SELECT '1.1.' || (count(*) FILTER (starts_with(doc_id, '1.1.')) + 1) AS doc_id, '1.1' AS parent FROM docs")
+_corpus("schema_violations", schema.violations, f"""SELECT path, 'status' AS field, 'invalid_value' AS violation, 'one of: draft, active, deprecated, archived, reviewed' AS suggestion FROM docs WHERE status NOT IN ('draft', 'active', 'deprecated', 'archived', 'reviewed')
+UNION ALL SELECT path, 'id', 'missing_required', NULL FROM docs WHERE doc_id IS NULL UNION ALL SELECT path, 'title', 'missing_required', NULL FROM docs WHERE title IS NULL""")
+_corpus("schema_defaults", schema.defaults, "SELECT path, 'status' AS field, 'draft' AS default FROM docs WHERE status IS NULL".replace("AS default", 'AS "default"'))
+_corpus("predictions", lambda d: schema.predictions(d, "2024-02-20").where("kind = 'stale_document'"), """+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL)
+SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30""")
+_corpus("fix_routes", lambda d: schema.routed(verify.verify(d), "phase").groupBy("anomaly", "action", "auto_safe").agg(F.count(F.lit(1)).alias("n")))
+_corpus("compiled", lambda d: export.compiled(d, preview=50).select("path", "title", "module", "anchor", F.length("section").cast("long").alias("n")))
+_corpus("compiled_contents", lambda d: export.contents(export.compiled(d)), rf"""SELECT path, '- [' || coalesce({first('title')}, stem) || '](#' || lower(replace(replace(stem, '.', '-'), ' ', '-')) || ')' AS line FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true')""")
+_corpus("export_index", lambda d: export.index(d, "M1", ("Cust-", "C_")), rf"""SELECT path, CASE WHEN starts_with(file_name, 'Cust-') THEN 'C_' || substr(file_name, 6) ELSE file_name END AS target, {first('title')} AS title, {words('content')}::BIGINT AS words, substr(sha256(content), 1, 16) AS hash FROM docs WHERE contains({first('module')}, 'M1')""")
+_corpus("export_budget", lambda d: export.token_budget(d, 20_000), "+ s AS (SELECT path, ceil(length(content) / 4)::BIGINT AS tokens FROM docs), t AS (SELECT path, tokens, sum(tokens) OVER (ORDER BY path)::BIGINT AS total FROM s) SELECT * FROM t WHERE total <= 20000")
+_corpus("export_json", lambda d: export.to_json(d.select("path", "doc_id", "title")))
+_corpus("html_sections", lambda d: export.compiled(d).select("path", F.sha2(export.html_section(F.col("title"), F.col("section")), 256).alias("sha")))
+
+# --- streams and telemetry --------------------------------------------------------------------------------------------
+_direct("watch_events", lambda e: watch.from_history(e.select(F.col("user_id").cast("string").alias("path"), F.col("ts").alias("mtime"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), ("events",), """
+WITH h AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS l FROM events)
+SELECT CASE WHEN l IS NULL THEN 'created' ELSE 'modified' END AS kind, count(*) AS n FROM h WHERE l IS NULL OR l <> ts GROUP BY 1""")
+_direct("watch_between", lambda e: watch.between(e.where("ts < '2024-01-15'").groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime")), e.groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))), ("events",), """
+WITH a AS (SELECT user_id AS path, max(ts) AS m FROM events WHERE ts < '2024-01-15' GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m FROM events GROUP BY 1)
+SELECT path, CASE WHEN a.m IS NULL THEN 'created' ELSE 'modified' END AS kind FROM b LEFT JOIN a USING (path) WHERE a.m IS NULL OR a.m <> b.m""")
+_direct("telemetry", lambda e: e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")), ("events",), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+_direct("trend", lambda e: rewrite.latest_trend(e.withColumn("at", F.struct("ts", "event_id")), "event_type", "at", "value", 50), ("events",), """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS i FROM events)
+SELECT event_type, round(avg(CASE WHEN i <= 50 THEN value END), 6) AS recent, round(avg(value), 6) AS overall FROM r GROUP BY 1""")
