@@ -42,7 +42,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import frequency_cut
-from docloom.llm.common import Scratch, let, slices, texts_of
+from docloom.llm.common import Scratch, let, slices, spans_of_bytes, texts_of
+from docloom.llm.rolling import ranges
 
 SPACE = "▁"
 #: Characters of a unit that the fold takes: borders are the bits of a long.
@@ -119,23 +120,37 @@ def model(path: str) -> Model:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score): one row per piece."""
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in model(path).pieces.items()], "piece string, id int, score double")
+    """(piece, id, rank): one row per piece; rank 0 has the best score, ties by id."""
+    found = model(path).pieces
+    order = sorted(found, key=lambda p: (-found[p][1], found[p][0]))
+    return spark.createDataFrame([(p, found[p][0], r) for r, p in enumerate(order)], "piece string, id int, rank long")
+
+
+#: An edge is a long: rank, start, length and id, so that edges in ascending order are the best first.
+_START, _SIZE, _ID = 26, 20, (1 << 20) - 1
+
+
+def _start(e: Column) -> Column:
+    return F.shiftright(e, _START).bitwiseAND(F.lit(63))
+
+
+def _size(e: Column) -> Column:
+    return F.shiftright(e, _SIZE).bitwiseAND(F.lit(63))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """`units` (unit, ...) with `edges`, the pieces found in each unit as (score, minus start, end, id), best first."""
+    """`units` (unit, ...) with `edges`, the pieces found in each unit, the best score first."""
     n = F.length("unit")
-    starts = F.sequence(F.lit(0), n - 1)
-    spans = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(longest))), lambda k: F.struct(i.alias("i"), F.substring(F.col("unit"), i + 1, k).alias("piece")))
-    cut = units.withColumn("s", F.explode(F.flatten(F.transform(starts, spans))))
+    starts = units.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    cut = starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(longest)))))
     # the other columns ride on the first character's row alone, which is kept even without a piece
     keys = [c for c in units.columns if c != "unit"]
-    lead = (F.col("s.i") == 0) & (F.length("s.piece") == 1)
-    cut = cut.select("unit", *[F.when(lead, F.col(k)).alias(k) for k in keys], "s.i", "s.piece", lead.alias("lead"))
-    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | F.col("lead"))
-    edge = F.when(F.col("id").isNotNull(), F.struct("score", (-F.col("i")).alias("back"), (F.col("i") + F.length("piece")).alias("end"), "id"))
-    return found.groupBy("unit").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys], F.sort_array(F.collect_list(edge), asc=False).alias("edges"))
+    lead = (F.col("i") == 0) & (F.col("k") == 1)
+    cut = cut.select("unit", *[F.when(lead, F.col(c)).alias(c) for c in keys], "i", "k", F.substring(F.col("unit"), F.col("i") + 1, F.col("k")).alias("piece"))
+    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | lead)
+    shift = lambda c, by: F.shiftleft(F.col(c).cast("long"), by)
+    edge = shift("rank", 32).bitwiseOR(shift("i", _START)).bitwiseOR(shift("k", _SIZE)).bitwiseOR(F.col("id").cast("long"))
+    return found.groupBy("unit").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keys], F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _bits(low: Column, high: Column) -> Column:
@@ -144,42 +159,54 @@ def _bits(low: Column, high: Column) -> Column:
     return power(high) - power(low)
 
 
+def _borders(e: Column) -> tuple[Column, Column]:
+    """Masks of an edge: its two ends, and what lies between."""
+    a, b = _start(e), _start(e) + _size(e)
+    return _bits(a, a + 1) + _bits(b, b + 1), _bits(a + 1, b)
+
+
+def masks(edges: Column) -> Column:
+    """Each edge's masks, and its start and id as `key`."""
+    key = lambda e: F.shiftleft(_start(e), 20).bitwiseOR(e.bitwiseAND(F.lit(_ID)))
+    return F.transform(edges, lambda e: F.struct(*(x.alias(name) for x, name in zip((*_borders(e), key(e)), ("ends", "inside", "key"), strict=True))))
+
+
 def bpe_borders(edges: Column, n: Column) -> Column:
-    """Mask of segment borders (bits 0 .. n) after all merges."""
-    ready = F.transform(
-        F.filter(edges, lambda e: e["end"] + e["back"] > 1),
-        lambda e: F.struct(
-            (_bits(-e["back"], -e["back"] + 1) + _bits(e["end"], e["end"] + 1)).alias("ends"), _bits(-e["back"] + 1, e["end"]).alias("inside")
-        ),
-    )
-
-    def merge(borders: Column, _: Column, e: Column) -> Column:
-        fits = lambda x: (borders.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(borders.bitwiseAND(x["inside"])) == 1)
+    """Mask of segment borders (bits 0 .. n) after all merges; `edges` are masks."""
+
+    def merge(borders: Column, e: Column) -> Column:
+        fits = lambda x: (F.bit_count(borders.bitwiseAND(x["inside"])) == 1) & (borders.bitwiseAND(x["ends"]) == x["ends"])
         best = F.get(F.filter(e, fits), F.lit(0))["inside"]
         return borders - borders.bitwiseAND(F.coalesce(best, F.lit(0).cast("long")))
 
-    return let(ready, lambda e: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), _bits(F.lit(0), n + 1), lambda b, x: merge(b, x, e)))
+    whole = _bits(F.lit(0), n + 1)
+    steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    longer = F.filter(edges, lambda x: x["inside"] != 0)
+    return let(longer, lambda e: F.when(F.size(e) == 0, whole).otherwise(F.aggregate(steps, whole, lambda b, _: merge(b, e))))
 
 
-def viterbi_borders(edges: Column, n: Column, unknown_score: float) -> Column:
-    """Mask of the borders of the best path; a character without a piece costs `unknown_score`. Ties: the longer last piece."""
+def viterbi_borders(edges: Column, n: Column, scores: Column, unknown_score: float) -> Column:
+    """Mask of the borders of the best path. `scores` maps an edge's id to its score; a character without a piece costs
+    `unknown_score`. Of equally good paths the one with the longer last piece is taken."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
 
     def step(best: Column, end: Column, e: Column) -> Column:
-        into = F.filter(e, lambda x: x["end"] == end)
-        ways = F.transform(into, lambda x: F.struct((F.get(best, -x["back"])["score"] + x["score"]).alias("score"), x["back"].alias("back")))
-        alone = F.struct((F.get(best, end - 1)["score"] + F.lit(unknown_score)).alias("score"), (-(end - 1)).alias("back"))
-        way = F.when(F.exists(into, lambda x: x["back"] == -(end - 1)), F.array_max(ways)).otherwise(F.array_max(F.array_append(ways, alone)))
-        mask = lambda w: F.get(best, -w["back"])["mask"] + _bits(end, end + 1)
-        return F.concat(best, F.transform(F.array(way), lambda w: F.struct(w["score"].alias("score"), mask(w).alias("mask"))))
+        into = F.filter(e, lambda x: _start(x) + _size(x) == end)
+        at = lambda i: F.get(best, i.cast("int"))
+        ways = F.transform(into, lambda x: F.struct((at(_start(x))["score"] + F.try_element_at(scores, x.bitwiseAND(F.lit(_ID)).cast("int"))).alias("score"), (-_start(x)).alias("back")))
+        alone = F.struct((at(end - 1)["score"] + F.lit(unknown_score)).alias("score"), (-(end - 1)).cast("long").alias("back"))
+        way = F.when(F.exists(into, lambda x: _size(x) == 1), F.array_max(ways)).otherwise(F.array_max(F.array_append(ways, alone)))
+        grown = lambda w: F.struct(w["score"].alias("score"), (at(-w["back"])["mask"] + _bits(end, end + 1)).alias("mask"))
+        return F.concat(best, F.transform(F.array(way), grown))
 
     return let(edges, lambda e: F.aggregate(F.sequence(F.lit(1), n), start, lambda b, x: step(b, x, e), lambda b: F.get(b, n)["mask"]))
 
 
-def unit_ids(unit: Column, edges: Column, borders: Column, byte_ids: list[int], unknown: int) -> Column:
-    """Ids of the segments between borders; a segment without a piece is one character, in bytes or unknown."""
+def unit_ids(unit: Column, edges: Column, mask: Column, byte_ids: list[int], unknown: int) -> Column:
+    """Ids of the segments between the borders of `mask`; a segment without a piece is one character, in bytes or unknown."""
     n = F.length(unit)
     fallback = F.array(*[F.lit(b) for b in byte_ids])
+    id_of = lambda e: e["key"].bitwiseAND(F.lit(_ID)).cast("int")
 
     def spelled(a: Column) -> Column:
         code = F.hex(F.encode(F.substring(unit, a + 1, F.lit(1)), "UTF-8"))
@@ -189,22 +216,31 @@ def unit_ids(unit: Column, edges: Column, borders: Column, byte_ids: list[int],
 
     def segment(cuts: Column, k: Column) -> Column:
         a, b = F.get(cuts, k), F.get(cuts, k + 1)
-        known = F.filter(edges, lambda e: (e["back"] == -a) & (e["end"] == b))
-        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(spelled(a))
+        known = F.filter(edges, lambda e: e["ends"] == _bits(a, a + 1) + _bits(b, b + 1))
+        return F.when(F.size(known) > 0, F.array(id_of(F.get(known, F.lit(0))))).otherwise(spelled(a))
 
-    cuts = F.filter(F.sequence(F.lit(0), n), lambda i: borders.bitwiseAND(_bits(i, i + 1)) != 0)
-    return let(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: segment(c, k))))
+    cuts = F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bits(i, i + 1)) != 0)
+    one_by_one = let(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: segment(c, k))))
+    # where each segment has its piece, which is the rule, the edges that are segments in order of their starts do
+    is_segment = lambda e: (mask.bitwiseAND(e["inside"]) == 0) & (mask.bitwiseAND(e["ends"]) == e["ends"])
+    own = F.sort_array(F.transform(F.filter(edges, is_segment), lambda e: e["key"]))
+    return let(own, lambda o: F.when(F.size(o) == F.bit_count(mask) - 1, F.transform(o, lambda x: x.bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(one_by_one))
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
     """`units` (unit, ...), partitioned by unit, with `ids` of each unit of at most LONGEST characters."""
     m = model(path)
     n = F.length("unit")
-    edges = lattice(units, piece_table(units.sparkSession, path), m.longest_piece)
-    worst = min(s for _, s in m.pieces.values()) - 10.0
-    borders = viterbi_borders(F.col("edges"), n, worst) if m.unigram else bpe_borders(F.col("edges"), n)
-    with_borders = edges.withColumn("borders", borders)
-    return with_borders.withColumn("ids", unit_ids(F.col("unit"), F.col("edges"), F.col("borders"), m.byte_ids, m.unknown)).drop("edges", "borders")
+    found = lattice(units, piece_table(units.sparkSession, path), m.longest_piece)
+    if m.unigram:
+        scores = F.map_from_arrays(*(F.array(*[F.lit(x) for x in xs]) for xs in zip(*m.pieces.values(), strict=True)))
+        worst = min(s for _, s in m.pieces.values()) - 10.0
+        fold = lambda _: viterbi_borders(F.col("edges"), n, scores, worst)
+    else:
+        fold = lambda e: bpe_borders(e, n)
+    # each step is bound by `let`: inside a lambda it would run again for each element
+    ids = let(masks(F.col("edges")), lambda e: let(fold(e), lambda mask: unit_ids(F.col("unit"), e, mask, m.byte_ids, m.unknown)))
+    return found.withColumn("ids", ids).drop("edges")
 
 
 def _unit_batches(path: str):
@@ -223,7 +259,7 @@ def _unit_batches(path: str):
         for batch in slices(batches, 4 << 20):
             for text in texts_of(batch.column("text")):
                 seen.update(m.units(text))
-            if len(seen) > 400_000:
+            if len(seen) > 200_000:
                 yield flush()
         if seen:
             yield flush()
@@ -283,13 +319,13 @@ def _encode_batches(path: str, head, files: dict[int, str], root: str):
             if found is None:
                 found = own.get(unit)
             if found is None:
-                found = own[unit] = np.array(m.by_library(unit), "<i4").tobytes()
+                found = own[unit] = np.array(m.by_library(unit), ">i4").tobytes()
             return found
 
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             ids = [b"".join(map(spelled, m.units(t))) for t in texts_of(batch.column("text"))]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            flat = pa.array(np.frombuffer(b"".join(ids), ">i4").astype("<i4"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "piece_ids"])
 
@@ -298,7 +334,7 @@ def _encode_batches(path: str, head, files: dict[int, str], root: str):
 
 def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> DataFrame:
     """docs (text and other columns) with `piece_ids`, an array of ints. Reads `scratch` later."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("piece_ids")
     held = docs.select("text").mapInArrow(_unit_batches(path), "unit string, part int, n long")
     # fine partitions, so that a task's units and edges are grouped in memory; grouping by sorting would spill all edges
     finer = held.where(F.length("unit") <= LONGEST).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
@@ -306,7 +342,7 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> Da
     grouped = spark.conf.get(_IN_MEMORY)
     spark.conf.set(_IN_MEMORY, 1 << 17)
     try:
-        table = scratch.table(encode_units(distinct, path).select("unit", "n", "parts", _little_endian(F.col("ids")).alias("ids")), "units")
+        table = scratch.table(encode_units(distinct, path).select("unit", "n", "parts", _packed(F.col("ids")).alias("ids")), "units")
     finally:
         spark.conf.set(_IN_MEMORY, grouped)
     cut = frequency_cut(table, head)
@@ -322,31 +358,41 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> Da
     return docs.mapInArrow(_encode_batches(path, shared, files, root), schema)
 
 
-def _little_endian(ids: Column) -> Column:
-    """Each id as four bytes, lowest first, one after the other."""
-    byte = lambda x, k: F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda x: F.concat(*[byte(x, k) for k in range(4)])), ""))
+def _packed(ids: Column) -> Column:
+    """Each id as four bytes, highest first, one after the other."""
+    return F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
+def spelled(m: Model, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """What the ids between each two offsets spell, by gathers from the pieces' bytes."""
+    table = [x.replace(SPACE.encode(), b" ") for x in m.spell]
+    flat = np.frombuffer(b"".join(table), np.uint8)
+    size = np.array([len(x) for x in table], np.int64)
+    start = np.cumsum(size) - size
+    lengths = size[ids]
+    ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+    raw = flat[ranges(start[ids], lengths)].tobytes()
+    lead = 1 if m.prefix else 0
+    return [raw[a + lead : b] if lead and raw[a : a + 1] == b" " and b > a else raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]  # noqa: B905
 
 
 def _decode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        spell, space = m.spell, SPACE.encode()
         for batch in batches:
-            lists = batch.column("piece_ids")
-            flat = lists.flatten().to_pylist()
-            out, at = [], 0
-            for n in lists.value_lengths().fill_null(0).to_pylist():
-                raw = b"".join(map(spell.__getitem__, flat[at : at + n])).replace(space, b" ")
-                out.append((raw[1:] if m.prefix and raw[:1] == b" " else raw).decode(errors="replace"))
-                at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+            sizes = np.concatenate([[0], np.cumsum(batch.column("piece_ids").value_lengths().fill_null(0).to_numpy())])
+            for a, b in spans_of_bytes(sizes, 500_000):
+                part = batch.slice(a, b - a)
+                ids = part.column("piece_ids").flatten().to_numpy()
+                texts = [x.decode(errors="replace") for x in spelled(m, ids, sizes[a : b + 1] - sizes[a])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` (piece_ids and other columns) with `decoded`, the text that the ids spell."""
+    encoded = encoded.drop("decoded")
     return encoded.mapInArrow(_decode_batches(path), encoded.withColumn("decoded", F.lit("")).schema)
 
 
