@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,14 @@ def impact(docs: DataFrame, node: str) -> DataFrame:
 
 def closure(start: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """(node, other, depth): pairs (src, dst) followed from start (node), one join per step, each pair of ends at its least
-    depth. A step joins the new ends alone, so nothing is visited twice and cycles end."""
-    seen = start.select("node", F.col("node").alias("other"), F.lit(0).alias("depth"))
-    frontier = seen
+    depth. A row carries its path, so cycles end; the plan grows by one join a step."""
+    frontier = start.select("node", F.array("node").alias("path"))
+    found = []
     for i in range(1, depth + 1):
-        step = frontier.join(pairs, frontier.other == pairs.src).select("node", F.col("dst").alias("other")).distinct()
-        frontier = step.join(seen.select("node", "other"), ["node", "other"], "left_anti").withColumn("depth", F.lit(i))
-        seen = seen.union(frontier)
-    return seen.where("depth > 0")
+        step = frontier.join(pairs, F.element_at("path", -1) == pairs.src).where(~F.array_contains("path", F.col("dst")))
+        frontier = step.select("node", F.concat("path", F.array("dst")).alias("path"))
+        found.append(frontier.select("node", F.element_at("path", -1).alias("other"), F.lit(i).alias("depth")))
+    return reduce(DataFrame.union, found).groupBy("node", "other").agg(F.min("depth").alias("depth"))
 
 
 def trace(docs: DataFrame, node: str, depth: int = 3, backlinks: bool = False, most: int = 100) -> DataFrame:
