@@ -92,10 +92,10 @@ class StreamReader(SimpleDataSourceStreamReader):
             return iter(()), start
         last = max(f[2] for f in found)
         paths = [f[0] for f in found if f[2] == last] + (start["paths"].split("\n") if start["mtime"] == last else [])
-        return rows([f[:2] for f in found]), {"mtime": last, "paths": "\n".join(sorted(paths))}
+        return iter(list(rows([f[:2] for f in found]))), {"mtime": last, "paths": "\n".join(sorted(paths))}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return rows([f[:2] for f in self._changed(start, end)])
+        return iter(list(rows([f[:2] for f in self._changed(start, end)])))
 
 
 class MarkdownCorpus(DataSource):
