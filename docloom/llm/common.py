@@ -70,14 +70,14 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left"
 
 
 def with_row(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with a unique long `row` that is the same whenever it is read.
+    """docs with a unique long `_row` that is the same whenever it is read.
 
     That is doc_id where it is unique and never null; otherwise rows are numbered once, in a scratch table.
     """
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"] and dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
-    return scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def let(value: Column, body) -> Column:

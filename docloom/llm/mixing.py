@@ -12,7 +12,8 @@ sources are few (counted first), and by a join that splits hot keys where they a
 
 Defined results: a null source is the source "". Null texts have no characters and are never drawn more often than their
 source. A source without characters has rate 0. Rows with equal or null doc_id draw alike. A source that `weights` does
-not name has weight 0. An empty table gives an empty result. Extra columns are kept.
+not name has weight 0. An empty table gives an empty result. Extra columns are kept, but for the names copy_no and
+shuffle_key, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,16 +37,16 @@ def uniform(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
-    """(source_key, rate): mean copies of a document per source. The mixture has `total` times the characters of docs."""
-    size = docs.groupBy(F.coalesce("source", F.lit("")).alias("source_key")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("z"))
+    """(_mix_source, rate): mean copies of a document per source. The mixture has `total` times the characters of docs."""
+    size = docs.groupBy(F.coalesce("source", F.lit("")).alias("_mix_source")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("z"))
     if weights is None:
         weight = F.pow("z", F.lit(POWER))
     else:
-        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source_key")), F.lit(0.0)) if weights else F.lit(0.0)
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("_mix_source")), F.lit(0.0)) if weights else F.lit(0.0)
     weighed = size.withColumn("w", F.when(F.col("z") > 0, weight).otherwise(0.0))
     sums = weighed.agg(F.sum("z").alias("zz"), F.sum("w").alias("ww"))
     rate = F.when((F.col("z") > 0) & (F.col("ww") > 0), F.col("w") / F.col("ww") * F.col("zz") * total / F.col("z")).otherwise(0.0)
-    return weighed.crossJoin(F.broadcast(sums)).select("source_key", rate.alias("rate"))  # sums is one row
+    return weighed.crossJoin(F.broadcast(sums)).select("_mix_source", rate.alias("rate"))  # sums is one row
 
 
 def distribution(mean: Column) -> Column:
@@ -70,10 +71,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     """docs with its rows repeated as drawn and shuffled, and the columns copy_no (from 1) and shuffle_key."""
     rates = source_rates(docs, weights, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK).cast("int"))
-    tables = rates.withColumn("parts", parts).select("source_key", "parts", distribution(F.col("rate") / F.col("parts")).alias("sums"))
-    drawn = join_small(docs.withColumn("source_key", F.coalesce("source", F.lit(""))), tables, ["source_key"])
-    counted = drawn.withColumn("n_copies", copies(F.col("parts"), F.col("sums"), seed)).drop("source_key", "parts", "sums").where(F.col("n_copies") > 0)
-    many = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("n_copies")
+    tables = rates.withColumn("_mix_parts", parts).select("_mix_source", "_mix_parts", distribution(F.col("rate") / F.col("_mix_parts")).alias("_mix_sums"))
+    drawn = join_small(docs.drop("copy_no", "shuffle_key").withColumn("_mix_source", F.coalesce("source", F.lit(""))), tables, ["_mix_source"])
+    counted = drawn.withColumn("_mix_n", copies(F.col("_mix_parts"), F.col("_mix_sums"), seed)).drop("_mix_source", "_mix_parts", "_mix_sums").where(F.col("_mix_n") > 0)
+    many = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_n")
     key = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
     return many.withColumn("shuffle_key", F.substring(key, 1, 16)).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -168,16 +168,17 @@ def apply_cutoffs(stats: DataFrame, cutoffs: DataFrame, stratum: str, rules: dic
 
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, stratum: str = "lang", holdout_rows: str = "pmod(crc32(cast(doc_id as string)), 5) <> 0",
-    risk: float = RISK, delta: float = DELTA,
+    risk: float = RISK, delta: float = DELTA, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, a stratum column): base statistics, base_failed, rule_failed, kept.
+    """One row per row of `docs` (doc_id, text, a stratum column): base statistics, base_failed, rule_failed, kept, and
+    the columns named in `carry`.
 
     Cutoffs come from the labelled rows that `holdout_rows` selects; the others stay free for checking the risk. The
     texts are read once: their statistics are written to a scratch table, and labels are joined to that.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    stats = scratch.table(base_statistics(docs.select("doc_id", F.col(stratum).alias("_stratum"), "text")), "stats")
+    stats = scratch.table(base_statistics(docs.select("doc_id", *carry, F.col(stratum).alias("_stratum"), "text")), "stats")
     marks = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     holdout = stats.where(F.expr(holdout_rows)).join(marks, "doc_id").withColumn("stratum", F.col("_stratum"))
     cutoffs = scratch.table(certified_cutoffs(holdout, risk=risk, delta=delta), "cutoffs")

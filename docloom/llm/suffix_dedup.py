@@ -451,8 +451,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
-    cut = without_repeats(rows.select("row", "text"), scratch, False).drop("kept")
-    out = cut.join(rows.select(F.col("row").alias("doc"), "doc_id"), "doc")
+    cut = without_repeats(rows.select(F.col("_row").alias("row"), "text"), scratch, False).drop("kept")
+    out = cut.join(rows.select(F.col("_row").alias("doc"), "doc_id"), "doc")
     return scratch.finish(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
@@ -463,8 +463,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     rows = with_row(docs, scratch)
-    cut = without_repeats(rows.select("row", "text"), scratch, True).select(F.col("doc").alias("row"), "kept")
-    out = rows.drop("text").join(cut, "row").withColumnRenamed("kept", "text").drop("row")
+    cut = without_repeats(rows.select(F.col("_row").alias("row"), "text"), scratch, True).select(F.col("doc").alias("_row"), F.col("kept").alias("text"))
+    out = rows.drop("text").join(cut, "_row")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
