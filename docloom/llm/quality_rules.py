@@ -183,3 +183,47 @@ def quality_verdicts(
     holdout = stats.where(F.expr(holdout_rows)).join(marks, "doc_id").withColumn("stratum", F.col("_stratum"))
     cutoffs = scratch.table(certified_cutoffs(holdout, risk=risk, delta=delta), "cutoffs")
     return scratch.finish(apply_cutoffs(stats, cutoffs, "_stratum").withColumnRenamed("_stratum", "stratum"))
+
+
+def oracle_sql(risk: float = RISK, delta: float = DELTA) -> str:
+    """quality_verdicts in DuckDB SQL, from the tables documents and labels; the verdict's rules joined by commas."""
+    n_rules = len(RULES)
+    level = f"{delta} / ((SELECT most FROM limits) * {n_rules})"
+    least = f"ceil(ln({delta} / (CAST(%s AS DOUBLE) * {n_rules})) / ln(1 - {risk / n_rules}))"
+    cuts = ", ".join(f"('{r}', {i}, {c})" for r, cs in RULES.items() for i, c in enumerate(cs))
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
+    tail = f"""CASE WHEN k > n_good * {risk / n_rules} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
+      + i * ln({risk / n_rules}) + (n_good - i) * ln(1 - {risk / n_rules}))) FROM range(0, 100000) r(i) WHERE i <= k) END"""
+    failed = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {r} >= c.cuts['{r}'] THEN '{r}' END" for r in RULES) + "], lambda x: x IS NOT NULL), ',')"
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, range(8) r(o) GROUP BY 1),
+n AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper,
+  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes,
+  len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines FROM w LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {share("n_symbols", "n_words")} AS symbol_share, {share("n_upper", "word_chars")} AS upper_share,
+  {share("n_dup_lines", "n_lines")} AS dup_line_share, {share("n_repeat_words", "n_words")} AS repeat_share, {share("n_echoes", "n_words")} AS echo_share FROM n),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(s))), lambda c, i:
+    CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, (i // 8)::INT + 1, 1))) ELSE c END) % 2 = 1
+      THEN xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, (i // 8)::INT + 1, 1))) ELSE c END) // 2, 3988292384)
+      ELSE (CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, (i // 8)::INT + 1, 1))) ELSE c END) // 2 END), 4294967295) AS crc
+  FROM (SELECT doc_id, doc_id::VARCHAR AS s FROM labels WHERE quality = 1)),
+good AS (SELECT f.* FROM f JOIN crc USING (doc_id) WHERE crc % 5 <> 0),
+per AS (SELECT lang, count(*) AS n FROM good GROUP BY 1),
+limits AS (SELECT count(*) + 1 AS most FROM per WHERE n >= {least % "2"}),
+strata AS (SELECT lang, CASE WHEN n >= {least % "(SELECT most FROM limits)"} THEN lang ELSE '' END AS stratum FROM per),
+cut(rule, i, cut) AS (VALUES {cuts}),
+counted AS (SELECT stratum, rule, i, cut, count(*) AS n_good, count(*) FILTER ({value} >= cut) AS k FROM good JOIN strata USING (lang), cut GROUP BY ALL),
+tested AS (SELECT stratum, rule, i, cut, {tail} <= {level} AS holds FROM counted),
+kept AS (SELECT stratum, rule, cut, bool_and(holds) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tested),
+best AS (SELECT stratum, rule, min(cut)::DOUBLE AS cut FROM kept WHERE ok GROUP BY 1, 2),
+c AS (SELECT s.stratum, map_from_entries(list((rule, cut)) FILTER (rule IS NOT NULL)) AS cuts FROM (SELECT DISTINCT stratum FROM strata) s LEFT JOIN best USING (stratum) GROUP BY 1),
+v AS (SELECT f.*, {failed} AS rules FROM f LEFT JOIN c ON c.stratum = CASE WHEN f.lang IN (SELECT stratum FROM strata) THEN f.lang ELSE '' END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rules, '') = '' AS kept, coalesce(rules, '') AS rules FROM v
+"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import mixing
+from docloom.llm import mixing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +26,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality_rules import quality_verdicts
 
-    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*base, F.array_join("rule_failed", ",").alias("rules"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +94,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op2_quality_rules": quality_rules.oracle_sql(),
 }
