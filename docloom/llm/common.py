@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: ASCII white space between words: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's default of 10,000 rows makes Arrow batches of texts that take a good part of an executor's memory, in the JVM
+#: and in Python; where the session has that default, the operators set 1,000.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A table of at most so many rows may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -37,6 +40,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(_BATCH_ROWS) == "10000":
+            spark.conf.set(_BATCH_ROWS, "1000")
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Units. A text is normalised as the model says (a leading space, spaces as U+2581) and cut where no piece can reach
-across: before a run of U+2581 that follows something else, and around characters that are in no piece of two or more
-characters. Encoding a text is encoding its units one after the other, and equal units encode alike.
+Units. A text is normalised as the model says (a leading space, spaces as U+2581) and cut wherever no piece can reach
+across: between two characters that stand next to each other in no piece. That is before every space, around punctuation
+that no piece joins, and inside odd words. Encoding a text is encoding its units one after the other, and equal units
+encode alike. Cutting, counting and looking up are done in numpy, a unit being known by a 64-bit hash.
 
 Lattice. The distinct units are a table. Their substrings of bounded length are exploded and equi-joined to the piece
 table (one row per piece of the vocabulary, so it may be broadcast); the matches are a unit's edges. Edges are grouped by
@@ -17,8 +18,8 @@ model's own type decides. Characters without a piece fall back to bytes. Units o
 mask is a long) are encoded by the library.
 
 Texts. The frequent units, at most `head` by a cut from the counts' histogram, go to all tasks. The others are dealt to
-the input partitions that hold them and written as one small file each, which that partition's task reads back: the
-texts themselves are never shuffled. The input is read twice with the same partitions; a unit that is in neither place
+the input partitions that hold them and written to one folder each, which that partition's task reads back: the texts
+themselves are never shuffled. The input is read twice with the same partitions; a unit that is in neither place
 (a partition was cut otherwise) is encoded by the library.
 
 Defined results: a null or empty text has no pieces. Every row gives one row, also where ids repeat or are null. U+2581
@@ -27,8 +28,6 @@ in a text decodes to a space, as in the library. An empty table gives an empty r
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,13 +41,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import frequency_cut
-from docloom.llm.common import Scratch, let, slices, spans_of_bytes, texts_of
-from docloom.llm.rolling import ranges
+from docloom.llm.common import Scratch, let, slices, spans_of_bytes, text_buffers, texts_of
+from docloom.llm.rolling import prefix_sums, ranges, window_hashes
 
 SPACE = "▁"
 #: Characters of a unit that the fold takes: borders are the bits of a long.
 LONGEST = 60
 HEAD = 1 << 18
+#: Bytes of text that a task works on at a time; the arrays take some hundred bytes for each.
+SLICE = 1 << 19
+#: Code points below this are looked up in a table of pairs.
+LOW = 0x180
 #: So many groups of a task are held in memory before Spark turns to sorting them.
 _IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -64,16 +67,33 @@ class Model:
     unknown: int
     prefix: bool
     spell: list[bytes]
-    split: re.Pattern
+    #: pairs of neighbouring characters in pieces, x << 21 | y, sorted; and a table of those of low code points
+    pairs: np.ndarray
+    low: np.ndarray
 
     @property
     def longest_piece(self) -> int:
         return max(map(len, self.pieces))
 
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.split.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code points of all normalised texts, first and end of each unit, its text)."""
+        lead = SPACE if self.prefix else ""
+        normal = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
+        points = np.frombuffer("".join(normal).encode("utf-32-le"), "<u4")
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in normal])]).astype(np.int64)
+        cut = np.ones(len(points) + 1, bool)
+        if len(points) > 1:
+            small = np.where(points < LOW, points, np.where(points == ord(SPACE), LOW, LOW + 1)).astype(np.int64)
+            joined = self.low[small[:-1], small[1:]]
+            other = np.flatnonzero((small[:-1] > LOW) | (small[1:] > LOW))
+            code = points[other].astype(np.int64) << 21 | points[other + 1]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            joined[other] = self.pairs[at] == code
+            cut[1:-1] = ~joined
+        cut[offsets] = True
+        start = np.flatnonzero(cut[:-1])
+        row = np.searchsorted(offsets, start, side="right") - 1
+        return points, start, np.concatenate([start[1:], [len(points)]])[: len(start)], row
 
     def by_library(self, unit: str) -> list[int]:
         """The library's ids of one unit, without the leading space that it would add."""
@@ -112,11 +132,15 @@ def model(path: str) -> Model:
             raise ValueError("user-defined and unused pieces are not supported")
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         raise ValueError("a piece reaches across a space")
-    joins = {c for p in pieces if len(p) > 1 for c in p} - {SPACE}
-    inside = "".join(re.escape(c) for c in sorted(joins))
-    split = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|.", re.DOTALL)
+    found = {(ord(x), ord(y)) for p in pieces for x, y in zip(p, p[1:])}  # noqa: B905
+    pairs = np.array(sorted(x << 21 | y for x, y in found), np.int64)
+    place = lambda x: x if x < LOW else LOW if x == ord(SPACE) else None
+    low = np.zeros((LOW + 2, LOW + 2), bool)
+    for x, y in found:
+        if place(x) is not None and place(y) is not None:
+            low[place(x), place(y)] = True
     processor = SentencePieceProcessor(model_file=path)
-    return Model(processor, proto.trainer_spec.model_type == 1, pieces, byte_ids, unknown, norm.add_dummy_prefix, spell, split)
+    return Model(processor, proto.trainer_spec.model_type == 1, pieces, byte_ids, unknown, norm.add_dummy_prefix, spell, pairs, low)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -243,97 +267,110 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     return found.withColumn("ids", ids).drop("edges")
 
 
+def _strings(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    whole = points.tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 def _unit_batches(path: str):
     """Texts -> (unit, part, n): what this partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, seen = model(path), TaskContext.get().partitionId(), Counter()
+        m, part = model(path), TaskContext.get().partitionId()
+        place: dict[int, int] = {}
+        names: list[str] = []
+        counts = np.zeros(1 << 16, np.int64)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array([part] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["unit", "part", "n"]
-            )
-            seen.clear()
-            return out
-
-        for batch in slices(batches, 4 << 20):
-            for text in texts_of(batch.column("text")):
-                seen.update(m.units(text))
-            if len(seen) > 200_000:
+            cols = [pa.array(names, pa.string()), pa.array(np.full(len(names), part, np.int32)), pa.array(counts[: len(names)])]
+            return pa.RecordBatch.from_arrays(cols, names=["unit", "part", "n"])
+
+        for batch in slices(batches, SLICE):
+            points, start, end, _ = m.split(texts_of(batch.column("text")))
+            hashes, at, n = np.unique(window_hashes(prefix_sums(points), start, end), return_index=True, return_counts=True)
+            listed = hashes.tolist()
+            new = [i for i, h in enumerate(listed) if h not in place]
+            names += _strings(points, start[at[new]], end[at[new]])
+            place.update(zip([listed[i] for i in new], range(len(place), len(place) + len(new)), strict=True))
+            if len(names) > len(counts):
+                counts = np.concatenate([counts, np.zeros(max(len(counts), len(new)), np.int64)])
+            counts[np.fromiter(map(place.__getitem__, listed), np.int64, len(listed))] += n
+            if len(names) > 250_000:
                 yield flush()
-        if seen:
+                place, names, counts = {}, [], np.zeros(1 << 16, np.int64)
+        if names:
             yield flush()
 
     return run
 
 
-def _long_batches(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [model(path).by_library(u) for u in batch.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
-
-    return run
-
-
-def _write_batches(root: str):
-    """Rows (part, unit, ids) sorted by part -> one file per part, named by its part and attempt; returns (part, file)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, where = pafs.FileSystem.from_uri(root)
-        fs.create_dir(where, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        now, rows = None, []
-
-        def write() -> pa.RecordBatch:
-            name = f"{now}-{attempt}.parquet"
-            pq.write_table(pa.Table.from_batches(rows), f"{where}/{name}", filesystem=fs, compression="lz4")
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name])], names=["part", "file"])
-
-        for batch in batches:
-            parts = batch.column("part").to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else []
-            for a, b in zip(edges[:-1], edges[1:]):  # noqa: B905
-                if now is not None and parts[a] != now:
-                    yield write()
-                    rows.clear()
-                now = int(parts[a])
-                rows.append(batch.slice(a, b - a).select(["unit", "ids"]))
-        if rows:
-            yield write()
-
-    return run
-
-
-def _encode_batches(path: str, head, files: dict[int, str], root: str):
+class _Table:
+    """Ids by the hashes of units: sorted hashes, and the ids one after the other."""
+
+    def __init__(self, units: pa.Array, ids: pa.Array):
+        whole = "".join(names := units.to_pylist())
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        ends = np.cumsum(np.array([len(x) for x in names], np.int64))
+        raw, offsets = text_buffers(ids)
+        hashes = window_hashes(prefix_sums(points), ends - np.diff(ends, prepend=0), ends)
+        order = np.argsort(hashes)
+        self.hashes, self.flat = hashes[order], raw.view(">i4").astype(np.int32)
+        self.start, self.size = (offsets[:-1] // 4)[order], (np.diff(offsets) // 4)[order]
+
+    def joined(self, other: _Table) -> _Table:
+        """Both tables' units; `other` adds those that are missing here."""
+        out = object.__new__(_Table)
+        hashes = np.concatenate([self.hashes, other.hashes])
+        order = np.argsort(hashes, kind="stable")
+        out.hashes, out.flat = hashes[order], np.concatenate([self.flat, other.flat])
+        out.start = np.concatenate([self.start, other.start + len(self.flat)])[order]
+        out.size = np.concatenate([self.size, other.size])[order]
+        return out
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and which are there."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+
+def _own_units(root: str, part: int) -> Iterator[pa.Table]:
+    """(unit, ids) tables that were written for an input partition."""
+    fs, where = pafs.FileSystem.from_uri(root)
+    for f in fs.get_file_info(pafs.FileSelector(f"{where}/part={part}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                yield pq.ParquetFile(source).read(columns=["unit", "ids"])
+
+
+def _encode_batches(path: str, head, root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known, own = model(path), head.value, {}
-        name = files.get(TaskContext.get().partitionId())
-        if name:
-            fs, where = pafs.FileSystem.from_uri(root)
-            mine = pq.read_table(f"{where}/{name}", filesystem=fs)
-            own = dict(zip(mine.column("unit").to_pylist(), mine.column("ids").to_pylist(), strict=True))
-
-        def spelled(unit: str) -> bytes:
-            found = known.get(unit)
-            if found is None:
-                found = own.get(unit)
-            if found is None:
-                found = own[unit] = np.array(m.by_library(unit), ">i4").tobytes()
-            return found
-
-        for batch in slices(batches, 2 << 20):
-            ids = [b"".join(map(spelled, m.units(t))) for t in texts_of(batch.column("text"))]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(ids), ">i4").astype("<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+        m, known = model(path), _Table(*(c.combine_chunks() for c in head.value.columns))
+        for mine in _own_units(root, TaskContext.get().partitionId()):
+            known = known.joined(_Table(*(c.combine_chunks() for c in mine.columns)))
+        for batch in slices(batches, SLICE):
+            texts = texts_of(batch.column("text"))
+            points, start, end, row = m.split(texts)
+            hashes, at, which = np.unique(window_hashes(prefix_sums(points), start, end), return_index=True, return_inverse=True)
+            place, there = known.find(hashes)
+            if not there.all():
+                lost = _strings(points, start[at[~there]], end[at[~there]])
+                known = known.joined(_Table(pa.array(lost), pa.array([np.array(m.by_library(u), ">i4").tobytes() for u in lost], pa.binary())))
+                place, _ = known.find(hashes)
+            place = place[which]
+            sizes = known.size[place]
+            flat = known.flat[ranges(known.start[place], sizes)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, sizes, minlength=len(texts)).astype(np.int64))])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "piece_ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> DataFrame:
-    """docs (text and other columns) with `piece_ids`, an array of ints. Reads `scratch` later."""
+def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD, decoded: bool = False) -> DataFrame:
+    """docs (text and other columns) with `piece_ids`, an array of ints. Reads `scratch` later.
+
+    With `decoded` the ids are decoded again in the same worker process, as by `decode`.
+    """
     spark, docs = docs.sparkSession, docs.drop("piece_ids")
     held = docs.select("text").mapInArrow(_unit_batches(path), "unit string, part int, n long")
     # fine partitions, so that a task's units and edges are grouped in memory; grouping by sorting would spill all edges
@@ -347,15 +384,16 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD) -> Da
         spark.conf.set(_IN_MEMORY, grouped)
     cut = frequency_cut(table, head)
     # at most `head` rows
-    known = table.where(F.col("n") >= cut).select("unit", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True)))
+    shared = spark.sparkContext.broadcast(table.where(F.col("n") >= cut).select("unit", "ids").toArrow())
     rare = table.where(F.col("n") < cut).select(F.explode("parts").alias("part"), "unit", "ids")
     root = scratch.path("parts")
-    written = rare.repartition("part").sortWithinPartitions("part").mapInArrow(_write_batches(root), "part int, file string")
-    # one row per input partition
-    files = dict(scratch.table(written, "files").toPandas().itertuples(index=False))
-    schema = docs.withColumn("piece_ids", F.lit(None).cast("array<int>")).schema
-    return docs.mapInArrow(_encode_batches(path, shared, files, root), schema)
+    rare.repartition("part").write.partitionBy("part").parquet(root)
+    run = _encode_batches(path, shared, root)
+    out = docs.withColumn("piece_ids", F.lit(None).cast("array<int>"))
+    if not decoded:
+        return docs.mapInArrow(run, out.schema)
+    back = _decode_batches(path)
+    return docs.drop("decoded").mapInArrow(lambda batches: back(run(batches)), out.drop("decoded").withColumn("decoded", F.lit("")).schema)
 
 
 def _packed(ids: Column) -> Column:
@@ -381,7 +419,7 @@ def _decode_batches(path: str):
         m = model(path)
         for batch in batches:
             sizes = np.concatenate([[0], np.cumsum(batch.column("piece_ids").value_lengths().fill_null(0).to_numpy())])
-            for a, b in spans_of_bytes(sizes, 500_000):
+            for a, b in spans_of_bytes(sizes, 200_000):
                 part = batch.slice(a, b - a)
                 ids = part.column("piece_ids").flatten().to_numpy()
                 texts = [x.decode(errors="replace") for x in spelled(m, ids, sizes[a : b + 1] - sizes[a])]
@@ -400,7 +438,7 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, n_chars, round_trip): digests of each text's ids, and whether they decode to it."""
     scratch = Scratch(docs.sparkSession, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(rows, path, scratch), path)
+    both = encode(rows, path, scratch, decoded=True)
     ids = F.col("piece_ids")
     digest = F.crc32(F.array_join(ids, " ").cast("binary"))
     same = F.col("decoded") == F.translate("text", SPACE, " ")

@@ -35,9 +35,10 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of value(raw[k]) m^k over i <= k < j, modulo 2^64."""
+    """S with S[j] - S[i] = sum of value(raw[k]) m^k over i <= k < j, modulo 2^64; raw holds bytes or code points."""
     up, _ = _Powers.to(len(raw) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
+    values = _BYTES[raw] if raw.dtype == np.uint8 else mix((raw.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(raw)], dtype=np.uint64)])
 
 
 def window_hashes(sums: np.ndarray, first: np.ndarray | slice, last: np.ndarray | slice) -> np.ndarray:
