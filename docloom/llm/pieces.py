@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.bpe import frequency_cut
 from docloom.llm.common import Scratch, let, slices, spans_of_bytes, text_buffers, texts_of
-from docloom.llm.rolling import prefix_sums, ranges, window_hashes
+from docloom.llm.rolling import distinct, prefix_sums, ranges, window_hashes
 
 SPACE = "▁"
 #: Characters of a unit that the fold takes: borders are the bits of a long.
@@ -287,7 +287,7 @@ def _unit_batches(path: str):
 
         for batch in slices(batches, SLICE):
             points, start, end, _ = m.split(texts_of(batch.column("text")))
-            hashes, at, n = np.unique(window_hashes(prefix_sums(points), start, end), return_index=True, return_counts=True)
+            hashes, at, _, n = distinct(window_hashes(prefix_sums(points), start, end))
             listed = hashes.tolist()
             new = [i for i, h in enumerate(listed) if h not in place]
             names += _strings(points, start[at[new]], end[at[new]])
@@ -350,7 +350,7 @@ def _encode_batches(path: str, head, root: str):
         for batch in slices(batches, SLICE):
             texts = texts_of(batch.column("text"))
             points, start, end, row = m.split(texts)
-            hashes, at, which = np.unique(window_hashes(prefix_sums(points), start, end), return_index=True, return_inverse=True)
+            hashes, at, which, _ = distinct(window_hashes(prefix_sums(points), start, end))
             place, there = known.find(hashes)
             if not there.all():
                 lost = _strings(points, start[at[~there]], end[at[~there]])

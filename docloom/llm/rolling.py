@@ -51,3 +51,15 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + size[0] - 1, then the next, as one array of indices."""
     ends = np.cumsum(size)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, which value each place has, counts), by one unstable sort."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[first], order[first], which, np.diff(first, append=len(order))
