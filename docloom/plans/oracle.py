@@ -15,10 +15,8 @@ def first(name: str, number: bool = False) -> str:
     return f"nullif(trim(regexp_extract(content, '{name}:\\s*{value}', 1)), '')"
 
 
-PREFIX = (
-    "WITH "
-    + corpus_sql().strip()
-    + r""",
+_REST = (
+    r""",
 raw AS (SELECT path, content, mtime_s, regexp_extract(path, '[^/]*$') AS file_name FROM corpus),
 docs0 AS (
   SELECT path, content, mtime_s, file_name, regexp_replace(file_name, '\.[^.]*$', '') AS stem, strlen(content) AS size,
@@ -44,6 +42,9 @@ up AS (
 )
 """
 )
+PREFIX = "WITH " + corpus_sql().strip() + _REST
+#: Over the corpus with a file per row of documents.
+WHOLE_PREFIX = "WITH " + corpus_sql(whole=True).strip() + _REST
 
 
 def words(x: str) -> str:

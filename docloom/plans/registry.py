@@ -17,7 +17,7 @@ from docloom.functions import links as L
 from docloom.functions import text as T
 from docloom.operators import diff, export, graph, links, lint, registry, rewrite, schema, search, stats, verify
 from docloom.plans import tables
-from docloom.plans.oracle import PREFIX, first, words
+from docloom.plans.oracle import PREFIX, WHOLE_PREFIX, first, words
 from docloom.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _corpus(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: query(tables.docs(spark, sf_dir))
-    if sql:
-        ORACLE_SQL[name] = PREFIX.rstrip() + ("," + sql.strip()[1:] if sql.strip().startswith("+") else " " + sql)
+    """Register a query over the corpus, and as whole_<name> over the corpus with a file per row of documents."""
+    for key, prefix, whole in ((name, PREFIX, False), (f"whole_{name}", WHOLE_PREFIX, True)):
+        QUERIES[key] = lambda spark, sf_dir, whole=whole: query(tables.docs(spark, sf_dir, whole))
+        if sql:
+            ORACLE_SQL[key] = prefix.rstrip() + ("," + sql.strip()[1:] if sql.strip().startswith("+") else " " + sql)
 
 
 def _direct(name: str, query: Callable[..., DataFrame], names: tuple[str, ...], sql: str | None = None) -> None:

@@ -128,16 +128,29 @@ corpus AS (
 )
 """
 
+#: The same corpus with one file per row of documents, each with its whole text: k is doc_id, and the nation and the segment
+#: are those of the customer at doc_id modulo the number of customers.
+WHOLE_SQL = (
+    r"""
+base AS (
+  SELECT doc_id AS k, n_nationkey + 1 AS n, n_regionkey + 1 AS r, c_mktsegment AS seg, text AS body
+  FROM (SELECT doc_id, text, doc_id % m AS c FROM {documents} CROSS JOIN (SELECT count(*) AS m FROM {customer}) s) d
+  JOIN {customer} ON c_custkey = c JOIN {nation} ON c_nationkey = n_nationkey
+),
+"""
+    + CORPUS_SQL[CORPUS_SQL.index("kids AS") :].replace("CASE WHEN k % 10 = 7 THEN 'Short.' ELSE coalesce(body, '') END", "coalesce(body, '')")
+)
+
 
-def corpus_sql(sha: str = "sha256(", close: str = ")", **tables: str) -> str:
+def corpus_sql(sha: str = "sha256(", close: str = ")", whole: bool = False, **tables: str) -> str:
     """The WITH list of the synthetic corpus for an engine other than Spark."""
     names = {t: tables.get(t, t) for t in TABLES}
-    return CORPUS_SQL.format(sha=sha, close=close, **names)
+    return (WHOLE_SQL if whole else CORPUS_SQL).format(sha=sha, close=close, **names)
 
 
-def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content, mtime) of the synthetic corpus over the star-schema tables of sf_dir."""
-    sql = CORPUS_SQL.replace("{sha}", "sha2(").replace("{close}", ", 256)")
+def synthetic(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(path, content, mtime) of the synthetic corpus over the star-schema tables of sf_dir; `whole` takes all documents."""
+    sql = (WHOLE_SQL if whole else CORPUS_SQL).replace("{sha}", "sha2(").replace("{close}", ", 256)")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     return spark.sql(f"WITH {sql} SELECT path, content, timestamp_seconds(mtime_s) AS mtime FROM corpus", **tables)
 
