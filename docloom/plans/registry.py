@@ -282,6 +282,23 @@ a AS (SELECT * FROM f WHERE doc_id < 100), b0 AS (SELECT * FROM f WHERE (doc_id
 b AS (SELECT file_name, max(text) AS text, arg_max(n, text) AS n FROM b0 GROUP BY 1)
 SELECT coalesce(a.file_name, b.file_name) AS file_name, CASE WHEN a.file_name IS NULL THEN 'added' WHEN b.file_name IS NULL THEN 'deleted' ELSE 'modified' END AS change, a.n AS old_lines, b.n AS new_lines
 FROM a FULL JOIN b USING (file_name) WHERE a.file_name IS NULL OR b.file_name IS NULL OR a.text <> b.text""")
+
+
+def _whole_diff(d: DataFrame) -> DataFrame:
+    """All documents against a version of all: every seventh dropped, every fifth with another line, every eleventh also
+    under a new name."""
+    old = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), "doc_id", F.col("text").alias("content"))
+    kept = old.where("doc_id % 7 <> 3").withColumn("content", F.when(F.expr("doc_id % 5 = 2"), F.concat("content", F.lit("\nedited"))).otherwise(F.col("content")))
+    added = old.where("doc_id % 11 = 5").withColumn("file_name", F.concat(F.lit("new-"), "file_name"))
+    named = lambda x: x.drop("doc_id").withColumn("path", F.col("file_name"))
+    return diff.corpora(named(old), named(kept.unionByName(added)))
+
+
+_direct("whole_diff", _whole_diff, ("documents",), """
+WITH f AS (SELECT doc_id, text, len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)))::BIGINT AS n FROM documents)
+SELECT doc_id || '.md' AS file_name, 'deleted' AS change, n AS old_lines, NULL::BIGINT AS new_lines FROM f WHERE doc_id % 7 = 3
+UNION ALL SELECT doc_id || '.md', 'modified', n, len(string_split(text, chr(10))) + 1 FROM f WHERE doc_id % 7 <> 3 AND doc_id % 5 = 2
+UNION ALL SELECT 'new-' || doc_id || '.md', 'added', NULL, n FROM f WHERE doc_id % 11 = 5""")
 _direct("line_similarity", lambda d: d.alias("a").join(d.alias("b"), F.col("a.doc_id") + 1 == F.col("b.doc_id")).select(F.col("a.doc_id").alias("doc_id"), diff.line_changes(F.col("a.text"), F.col("b.text")).alias("c")).select("doc_id", "c.*"), ("documents",), r"""
 WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents),
 p AS (SELECT a.doc_id, len(list_filter(b.l, lambda y: NOT list_contains(a.l, y))) AS ad, len(list_filter(a.l, lambda y: NOT list_contains(b.l, y))) AS re, greatest(len(a.l), len(b.l)) AS m FROM x a JOIN x b ON a.doc_id + 1 = b.doc_id)

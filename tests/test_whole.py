@@ -16,3 +16,9 @@ def test_corpus_holds_every_text(spark):
 
 def test_corpus_queries_have_whole_twins():
     assert {f"whole_{n}" for n in ("v21_hash_integrity", "l014_absolute_link", "links_classify", "tree", "compiled", "export_index")} <= set(registry.QUERIES)
+
+
+def test_diff_compares_every_document(spark):
+    got = {r["change"]: r["n"] for r in registry.QUERIES["whole_diff"](spark, SMALL).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids = range(1000)
+    assert got == {"deleted": sum(i % 7 == 3 for i in ids), "modified": sum(i % 7 != 3 and i % 5 == 2 for i in ids), "added": sum(i % 11 == 5 for i in ids)}
