@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import frontmatter as Y
@@ -12,6 +14,23 @@ from docloom.functions import links as L
 from docloom.functions import text as T
 
 
+class Rounds:
+    """Tables written round by round in the shared folder, so that no plan grows with their number. Spark removes the
+    folder at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='docloom-')}/rounds-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        self.n = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+
 def parents(docs: DataFrame) -> DataFrame:
     """(node, parent) by file stems; no row for a missing or null parent."""
     pairs = docs.select(F.col("stem").alias("node"), Y.first_field(F.col("content"), "parent_id").alias("parent"))
@@ -140,6 +159,53 @@ def cycles(pairs: DataFrame, longest: int = 4) -> DataFrame:
     return found.distinct()
 
 
+def _spread(pairs: DataFrame, labels: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, label): labels follow the edges (src, dst) until no node gets a smaller one. Only nodes whose label fell in
+    the last round send theirs on."""
+    fresh = labels
+    while not fresh.isEmpty():
+        sent = pairs.join(fresh, pairs.src == fresh.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        merged = rounds.write(labels.join(sent, "node", "left").select("node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("fell")))
+        labels, fresh = merged.select("node", "label"), merged.where("fell").select("node", "label")
+    return labels
+
+
+def cyclic(pairs: DataFrame) -> DataFrame:
+    """(node, component): every node on a cycle of whatever length, with the least node of its strongly connected component.
+
+    Edges that cannot lie on a cycle are peeled to a fixed point. Each node then takes the least node that reaches it; where
+    that node is its own label, what reaches it back within its label is its component. Both steps repeat on the rest.
+    """
+    rounds = Rounds(pairs.sparkSession)
+    left = rounds.write(pairs.select("src", "dst").where("src <> dst").distinct())
+    nodes = left.select(F.col("src").alias("node"))
+    found = rounds.write(nodes.select("node", F.col("node").alias("component")).limit(0))
+    n = left.count()
+    while n:
+        before = None
+        while n and n != before:
+            before, left = n, rounds.write(peel(left, 1))
+            n = left.count()
+        if not n:
+            break
+        both = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        labels = _spread(left, both.withColumn("label", F.col("node")), rounds)
+        a, b = labels.toDF("src", "la"), labels.toDF("dst", "lb")
+        inside = rounds.write(left.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst", F.col("la").alias("label")))
+        back = rounds.write(labels.where("node = label"))
+        seen = back
+        while not back.isEmpty():
+            step = inside.join(back.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+            back = rounds.write(step.join(seen, "node", "left_anti"))
+            seen = rounds.write(seen.unionByName(back))
+        own = seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+        found = rounds.write(found.union(seen.join(own, "label").select("node", F.col("label").alias("component"))))
+        gone = seen.select("node")
+        left = rounds.write(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        n = left.count()
+    return found
+
+
 def id_tree(docs: DataFrame) -> DataFrame:
     """(doc_id, parent_id, depth, module, is_leaf) with parents derived from the ids themselves."""
     from docloom.functions import ids as I

@@ -204,6 +204,23 @@ WITH e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7 + l_suppkey) % 40 AS
 SELECT a.src || ',' || a.dst AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION SELECT a.src || ',' || a.dst || ',' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
 
+
+
+def _whole_supply(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Edges between parts from all rows of lineitem."""
+    n = part.agg(F.count(F.lit(1)).alias("n"))
+    return lineitem.select("l_partkey", "l_suppkey").distinct().crossJoin(F.broadcast(n)).select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n")).alias("dst"))
+
+
+_whole_supplied = """e AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem), f AS (SELECT src, dst FROM e WHERE src <> dst)"""
+_direct("whole_cycles", lambda x, p: graph.cycles(_whole_supply(x, p), 3).select(F.array_join("path", ",").alias("path")), ("lineitem", "part"), f"""
+WITH {_whole_supplied}
+SELECT a.src || ',' || a.dst AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || ',' || a.dst || ',' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
+_direct("whole_cyclic", lambda x, p: graph.cyclic(_whole_supply(x, p)), ("lineitem", "part"), f"""
+WITH RECURSIVE {_whole_supplied}, r AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM r JOIN f ON r.dst = f.src)
+SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src GROUP BY 1""")
+
 # --- statistics -------------------------------------------------------------------------------------------------------
 _corpus("stats_by_module", stats.by_module, f"SELECT split_part(doc_id, '.', 1) AS module_id, count(*) AS documents, sum({words('body')})::BIGINT AS words FROM docs WHERE doc_id IS NOT NULL GROUP BY 1")
 _corpus("stats_by_status", stats.by_status, "SELECT coalesce(status, 'sin_status') AS status, count(*) AS n FROM docs GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docloom.operators import graph
 from docloom.plans import registry, tables
 
 SMALL = "/root/testdata/sf0.01"
@@ -22,3 +23,10 @@ def test_diff_compares_every_document(spark):
     got = {r["change"]: r["n"] for r in registry.QUERIES["whole_diff"](spark, SMALL).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = range(1000)
     assert got == {"deleted": sum(i % 7 == 3 for i in ids), "modified": sum(i % 7 != 3 and i % 5 == 2 for i in ids), "added": sum(i % 11 == 5 for i in ids)}
+
+
+def test_long_cycles_are_found(spark):
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    pairs = spark.createDataFrame([*ring, (8, 20), (20, 21), (21, 22), (22, 20), (22, 30), (40, 0), (31, 31), (50, 60), (60, 50), (22, 50)], "src long, dst long")
+    got = {r["node"]: r["component"] for r in graph.cyclic(pairs).collect()}
+    assert got == {**dict.fromkeys(range(9), 0), 20: 20, 21: 20, 22: 20, 50: 50, 60: 50}
