@@ -18,15 +18,14 @@ FORMATS = {
 }
 
 
-def compiled(docs: DataFrame, module_prefix: str | None = None, preview: int | None = None) -> DataFrame:
-    """(path, title, module, anchor, section): what a compiled document holds, drafts left out, in order of path."""
+def compiled(docs: DataFrame, module_prefix: str | None = None) -> DataFrame:
+    """(path, title, module, anchor, section): what a compiled document holds, drafts left out, each section whole."""
     d = docs.where(~Y.is_draft(F.col("content"))).withColumn("module", Y.first_field(F.col("content"), "module"))
     if module_prefix:
         d = d.where(F.col("stem").startswith(module_prefix))
-    text = F.trim(Y.body(F.col("content")))
-    shown = text if preview is None else F.array_join(F.slice(T.lines(text), 1, preview), "\n")
+    text = F.when(Y.closing_offset(F.col("content")).isNull(), F.col("content")).otherwise(T.trim(Y.body(F.col("content"))))
     title = F.coalesce(Y.first_field(F.col("content"), "title"), F.col("stem"))
-    return d.select("path", title.alias("title"), "module", T.slug(F.col("stem")).alias("anchor"), shown.alias("section"))
+    return d.select("path", title.alias("title"), "module", T.slug(F.col("stem")).alias("anchor"), text.alias("section"))
 
 
 def contents(sections: DataFrame) -> DataFrame:
@@ -64,11 +63,13 @@ def html_section(title: Column, text: Column) -> Column:
     return F.concat(F.lit("<section><h2>"), escape(title), F.lit("</h2><pre>"), escape(text), F.lit("</pre></section>"))
 
 
-def single_text(sections: DataFrame) -> DataFrame:
-    """One row with everything, in order of path. It is as long as the corpus: meant for small ones; write_files scales."""
+def single_text(sections: DataFrame, preview: int | None = None) -> DataFrame:
+    """One row with everything, in order of path, or the first `preview` lines of that. It is as long as the corpus: meant
+    for small ones; write_files scales."""
     parts = F.array_sort(F.collect_list(F.struct("path", "title", "section")))
     text = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("# "), p["title"], F.lit("\n\n"), p["section"])), "\n\n")
-    return sections.agg(text.alias("text"))
+    shown = text if preview is None else F.array_join(F.slice(T.lines(text), 1, preview), "\n")
+    return sections.agg(shown.alias("text"))
 
 
 def write_files(docs: DataFrame, root: str) -> DataFrame:

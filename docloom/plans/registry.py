@@ -353,7 +353,9 @@ _corpus("schema_defaults", schema.defaults, "SELECT path, 'status' AS field, 'dr
 _corpus("predictions", lambda d: schema.predictions(d, "2024-02-20").where("kind = 'stale_document'"), """+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL)
 SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30""")
 _corpus("fix_routes", lambda d: schema.routed(verify.verify(d), "phase").groupBy("anomaly", "action", "auto_safe").agg(F.count(F.lit(1)).alias("n")))
-_corpus("compiled", lambda d: export.compiled(d, preview=50).select("path", "title", "module", "anchor", F.length("section").cast("long").alias("n")))
+_corpus("compiled", lambda d: export.compiled(d).select("path", "title", "module", "anchor", F.length("section").cast("long").alias("n")), rf"""
+SELECT path, {first('title')} AS title, {first('module')} AS module, lower(replace(replace(stem, '.', '-'), ' ', '-')) AS anchor, length(regexp_replace(body, '^\s+|\s+$', '', 'g'))::BIGINT AS n
+FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true')""")
 _corpus("compiled_contents", lambda d: export.contents(export.compiled(d)), rf"""SELECT path, '- [' || coalesce({first('title')}, stem) || '](#' || lower(replace(replace(stem, '.', '-'), ' ', '-')) || ')' AS line FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true')""")
 _corpus("export_index", lambda d: export.index(d, "M1", ("Cust-", "C_")), rf"""SELECT path, CASE WHEN starts_with(file_name, 'Cust-') THEN 'C_' || substr(file_name, 6) ELSE file_name END AS target, {first('title')} AS title, {words('content')}::BIGINT AS words, substr(sha256(content), 1, 16) AS hash FROM docs WHERE contains({first('module')}, 'M1')""")
 _corpus("export_budget", lambda d: export.token_budget(d, 20_000), "+ s AS (SELECT path, ceil(length(content) / 4)::BIGINT AS tokens FROM docs), t AS (SELECT path, tokens, sum(tokens) OVER (ORDER BY path)::BIGINT AS total FROM s) SELECT * FROM t WHERE total <= 20000")

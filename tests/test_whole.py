@@ -1,9 +1,12 @@
 """Queries over whole tables: nothing is left out by id, size or number."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from docloom.operators import graph
+from docloom.operators import export, graph
 from docloom.plans import registry, tables
+from docloom.sources import corpus
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -30,3 +33,13 @@ def test_long_cycles_are_found(spark):
     pairs = spark.createDataFrame([*ring, (8, 20), (20, 21), (21, 22), (22, 20), (22, 30), (40, 0), (31, 31), (50, 60), (60, 50), (22, 50)], "src long, dst long")
     got = {r["node"]: r["component"] for r in graph.cyclic(pairs).collect()}
     assert got == {**dict.fromkeys(range(9), 0), 20: 20, 21: 20, 22: 20, 50: 50, 60: 50}
+
+
+def test_compiled_counts_the_whole_body(spark):
+    files = [("a.md", "---\ntitle: a\n---\n" + "\n".join(["line"] * 80), datetime(2024, 1, 1))]
+    docs = corpus.documents(spark.createDataFrame(files, "path string, content string, mtime timestamp"))
+    assert export.compiled(docs).select(F.length("section")).first()[0] == 80 * 5 - 1
+    assert len(export.single_text(export.compiled(docs), preview=50).first()["text"].split("\n")) == 50
+    long = tables.docs(spark, SMALL, whole=True).where("length(content) > 20000").select("path")
+    n = registry.QUERIES["whole_compiled"](spark, SMALL).join(long, "path").agg(F.min("n")).first()[0]
+    assert n is not None and n > 15000
