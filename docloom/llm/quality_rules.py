@@ -33,6 +33,8 @@ RULES = {
 RISK = 0.05
 DELTA = 0.05
 WINDOW = 8
+#: Labelled rows for certifying when one in five is to stay free for checking the risk.
+FOLD = "pmod(crc32(cast(doc_id as string)), 5) <> 0"
 
 
 def _shifted(values: Column, step: int) -> tuple[Column, Column]:
@@ -167,14 +169,13 @@ def apply_cutoffs(stats: DataFrame, cutoffs: DataFrame, stratum: str, rules: dic
 
 
 def quality_verdicts(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", holdout_rows: str = "pmod(crc32(cast(doc_id as string)), 5) <> 0",
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", holdout_rows: str = "true",
     risk: float = RISK, delta: float = DELTA, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of `docs` (doc_id, text, a stratum column): base statistics, base_failed, rule_failed, kept, and
     the columns named in `carry`.
 
-    Cutoffs come from the labelled rows that `holdout_rows` selects; the others stay free for checking the risk. The
-    texts are read once: their statistics are written to a scratch table, and labels are joined to that.
+    Cutoffs come from all labelled rows, or from those that `holdout_rows` selects, as FOLD does. The texts are read once: their statistics are written to a scratch table, and labels are joined to that.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -185,8 +186,9 @@ def quality_verdicts(
     return scratch.finish(apply_cutoffs(stats, cutoffs, "_stratum").withColumnRenamed("_stratum", "stratum"))
 
 
-def oracle_sql(risk: float = RISK, delta: float = DELTA) -> str:
-    """quality_verdicts in DuckDB SQL, from the tables documents and labels; the verdict's rules joined by commas."""
+def oracle_sql(risk: float = RISK, delta: float = DELTA, fold: bool = True) -> str:
+    """quality_verdicts in DuckDB SQL, from the tables documents and labels, with the cutoffs of FOLD or of all labelled
+    rows; the verdict's rules joined by commas."""
     n_rules = len(RULES)
     level = f"{delta} / ((SELECT most FROM limits) * {n_rules})"
     least = f"ceil(ln({delta} / (CAST(%s AS DOUBLE) * {n_rules})) / ln(1 - {risk / n_rules}))"
@@ -214,7 +216,7 @@ crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, range(0,
       THEN xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, (i // 8)::INT + 1, 1))) ELSE c END) // 2, 3988292384)
       ELSE (CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, (i // 8)::INT + 1, 1))) ELSE c END) // 2 END), 4294967295) AS crc
   FROM (SELECT doc_id, doc_id::VARCHAR AS s FROM labels WHERE quality = 1)),
-good AS (SELECT f.* FROM f JOIN crc USING (doc_id) WHERE crc % 5 <> 0),
+good AS (SELECT f.* FROM f JOIN crc USING (doc_id) WHERE {"crc % 5 <> 0" if fold else "true"}),
 per AS (SELECT lang, count(*) AS n FROM good GROUP BY 1),
 limits AS (SELECT count(*) + 1 AS most FROM per WHERE n >= {least % "2"}),
 strata AS (SELECT lang, CASE WHEN n >= {least % "(SELECT most FROM limits)"} THEN lang ELSE '' END AS stratum FROM per),

@@ -23,14 +23,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "shuffle_key", "text")
 
 
-def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_quality_rules(spark: SparkSession, sf_dir: str, holdout_rows: str = quality_rules.FOLD) -> DataFrame:
     from docloom.llm.quality_rules import quality_verdicts
 
-    out = quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), holdout_rows=holdout_rows)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*base, F.array_join("rule_failed", ",").alias("rules"))
 
 
+def op2_quality_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts with cutoffs from all labelled rows; op2_quality_rules keeps the fold that its SQL has."""
+    return op2_quality_rules(spark, sf_dir, "true")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.bpe import token_counts
 
@@ -82,6 +87,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op2_quality_rules_all": op2_quality_rules_all,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_jpeg": op5_jpeg,
@@ -95,4 +101,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_quality_rules": quality_rules.oracle_sql(),
+    "op2_quality_rules_all": quality_rules.oracle_sql(fold=False),
 }

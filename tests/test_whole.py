@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from docloom.llm import quality_rules
 from docloom.operators import export, graph
 from docloom.plans import registry, tables
 from docloom.sources import corpus
@@ -43,3 +44,12 @@ def test_compiled_counts_the_whole_body(spark):
     long = tables.docs(spark, SMALL, whole=True).where("length(content) > 20000").select("path")
     n = registry.QUERIES["whole_compiled"](spark, SMALL).join(long, "path").agg(F.min("n")).first()[0]
     assert n is not None and n > 15000
+
+
+def test_all_labels_certify(spark):
+    good = [(i, " ".join(f"w{j}" for j in range(25)), "en") for i in range(500)]
+    docs = spark.createDataFrame([*good, (1000, " ".join(f"w{j}" + "#" * 5 for j in range(25)), "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    failed = lambda **how: [r["doc_id"] for r in quality_rules.quality_verdicts(docs, labels, **how).where("size(rule_failed) > 0").collect()]
+    assert failed() == [1000]
+    assert failed(holdout_rows=quality_rules.FOLD) == []
