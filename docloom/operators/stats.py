@@ -52,9 +52,10 @@ def by_status(docs: DataFrame) -> DataFrame:
 
 
 def by_type(docs: DataFrame, most: int = 15) -> DataFrame:
-    """The most frequent types, and a row for how many there are beyond."""
+    """The most frequent types, and, where there are more, a row with a null type and the number of types beyond."""
     counts = docs.groupBy(F.coalesce("doc_type", F.lit("sin_tipo")).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "doc_type").limit(most)
+    beyond = counts.agg((F.count(F.lit(1)) - most).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("doc_type"), "n")
+    return counts.orderBy(F.desc("n"), "doc_type").limit(most).union(beyond)
 
 
 def sizes(docs: DataFrame) -> DataFrame:

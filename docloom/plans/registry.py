@@ -187,6 +187,13 @@ _corpus("trace", lambda d: graph.trace(d, "Reg-1", 3, True).where("ref_type in (
   SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
   UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1')
 SELECT source, target, 'child' AS ref_type, depth FROM below UNION ALL SELECT node, parent, 'parent', 1 FROM up2 WHERE node = 'Reg-1'""")
+_corpus("trace_all", lambda d: graph.trace(d, "Reg-1", 3, True), _edges + r""", below AS (
+  SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
+  UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1'),
+wk AS (SELECT stem AS src, trim(split_part(split_part(unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)), '/', -1), '|', 1)) AS dst FROM docs),
+lk AS (SELECT src AS source, dst AS target, 'link' AS ref_type FROM wk WHERE src = 'Reg-1' AND dst <> src UNION ALL SELECT src, dst, 'backlink' FROM wk WHERE dst = 'Reg-1' AND src <> dst)
+SELECT source, target, 'child' AS ref_type, depth FROM below UNION ALL SELECT node, parent, 'parent', 1 FROM up2 WHERE node = 'Reg-1'
+UNION ALL SELECT source, target, ref_type, 1 FROM (SELECT * FROM lk ORDER BY ref_type DESC, source, target LIMIT 100)""")
 _corpus("tree", lambda d: graph.tree(d).select("node", "depth", "doc_kind", "children", "is_last", "is_orphan", "words", F.array_join("sort_path", "/").alias("place")))
 _corpus("tree_text", lambda d: graph.tree_text(graph.tree(d)).select(F.array_join("sort_path", "/").alias("place"), "line"))
 _corpus("id_tree", graph.id_tree, r"""+ o AS (SELECT DISTINCT doc_id FROM docs WHERE regexp_full_match(doc_id, '\d+(\.\d+)*')),
@@ -352,6 +359,10 @@ UNION ALL SELECT path, 'id', 'missing_required', NULL FROM docs WHERE doc_id IS
 _corpus("schema_defaults", schema.defaults, "SELECT path, 'status' AS field, 'draft' AS default FROM docs WHERE status IS NULL".replace("AS default", 'AS "default"'))
 _corpus("predictions", lambda d: schema.predictions(d, "2024-02-20").where("kind = 'stale_document'"), """+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL)
 SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30""")
+_corpus("predictions_all", lambda d: schema.predictions(d, "2024-02-20"), r"""+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL),
+k AS (SELECT path, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) + len(regexp_extract_all(content, '\[([^\]]*)\]\(([^)]+)\)')) AS n FROM docs)
+SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30
+UNION ALL SELECT path, 'broken_link_risk', 'low', n::BIGINT FROM k WHERE n > 10""")
 _corpus("fix_routes", lambda d: schema.routed(verify.verify(d), "phase").groupBy("anomaly", "action", "auto_safe").agg(F.count(F.lit(1)).alias("n")))
 _corpus("compiled", lambda d: export.compiled(d).select("path", "title", "module", "anchor", F.length("section").cast("long").alias("n")), rf"""
 SELECT path, {first('title')} AS title, {first('module')} AS module, lower(replace(replace(stem, '.', '-'), ' ', '-')) AS anchor, length(regexp_replace(body, '^\s+|\s+$', '', 'g'))::BIGINT AS n

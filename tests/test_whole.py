@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from docloom.llm import quality_rules
-from docloom.operators import export, graph
+from docloom.operators import export, graph, schema, stats
 from docloom.plans import registry, tables
 from docloom.sources import corpus
 
@@ -53,3 +53,20 @@ def test_all_labels_certify(spark):
     failed = lambda **how: [r["doc_id"] for r in quality_rules.quality_verdicts(docs, labels, **how).where("size(rule_failed) > 0").collect()]
     assert failed() == [1000]
     assert failed(holdout_rows=quality_rules.FOLD) == []
+
+
+def _docs(spark, contents):
+    rows = [(f"{n}.md", c, datetime(2024, 1, 1)) for n, c in contents.items()]
+    return corpus.documents(spark.createDataFrame(rows, "path string, content string, mtime timestamp"))
+
+
+def test_types_beyond_are_counted(spark):
+    docs = _docs(spark, {f"d{i}": f"---\nid: {i}\ntype: t{i}\n---\n" for i in range(17)})
+    assert [r["n"] for r in stats.by_type(docs).where("doc_type is null").collect()] == [2]
+    assert stats.by_type(docs, 17).count() == 17
+
+
+def test_all_kinds_are_returned(spark):
+    assert {r["ref_type"] for r in registry.QUERIES["trace_all"](spark, SMALL).collect()} == {"child", "parent", "backlink"}
+    docs = _docs(spark, {"a": "---\nid: 1\n---\n" + " ".join(f"[[x{i}]]" for i in range(11)), "b": "[[x]]"})
+    assert [(r["path"], r["kind"], r["n"]) for r in schema.predictions(docs, "2024-02-20").collect()] == [("a.md", "broken_link_risk", 11)]
