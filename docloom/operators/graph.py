@@ -99,12 +99,13 @@ def trace(docs: DataFrame, node: str, depth: int = 3, backlinks: bool = False, m
     return parent.union(child).union(links.orderBy(F.desc("ref_type"), "source", "target").limit(most))
 
 
-def tree(docs: DataFrame, levels: int = 12, depth: int | None = None, kind: str | None = None, orphans_only: bool = False) -> DataFrame:
+def tree(docs: DataFrame, depth: int | None = None, kind: str | None = None, orphans_only: bool = False) -> DataFrame:
     """The hierarchy in preorder: (node, depth, parent, doc_kind, children, is_last, is_orphan, words, sort_path).
 
     Roots have no parent, or one that isn't there. Children are sorted by name; a node's sort path is the names from the
-    root, so ordering by it is preorder. Built level by level with one join each; `kind` prunes subtrees, `orphans_only`
-    does not.
+    root, so ordering by it is preorder. Built level by level with one join each, until a level is empty or `depth` is
+    reached; each level is written, so the plan does not grow. Nodes on or below a cycle have no root: without `depth` and
+    `kind` they follow as orphans of depth 0 and kind "cyclic". `kind` prunes subtrees, `orphans_only` does not.
     """
     up = parents(docs).groupBy("node").agg(F.max("parent").alias("parent"))
     words = docs.groupBy(F.col("stem").alias("node")).agg(F.max(T.words(F.col("content"))).alias("words"))
@@ -121,13 +122,19 @@ def tree(docs: DataFrame, levels: int = 12, depth: int | None = None, kind: str
         df = df.withColumn("doc_kind", name).withColumn("depth", F.lit(level))
         return df.where(F.col("doc_kind") == kind) if kind else df
 
-    level = with_kind(nodes.where("known is null").withColumn("sort_path", F.array("node")), 0)
-    out = level
-    for i in range(1, (levels if depth is None else depth) + 1):
+    rounds = Rounds(docs.sparkSession)
+    nodes = rounds.write(nodes)
+    level = rounds.write(with_kind(nodes.where("known is null").withColumn("sort_path", F.array("node")), 0))
+    out, i = level, 0
+    while (depth is None or i < depth) and not level.isEmpty():
+        i += 1
         below = level.select(F.col("node").alias("parent"), F.col("sort_path").alias("above"))
-        level = with_kind(nodes.where("known").join(below, "parent").withColumn("sort_path", F.concat("above", F.array("node"))).drop("above"), i)
-        out = out.unionByName(level)
+        level = rounds.write(with_kind(nodes.where("known").join(below, "parent").withColumn("sort_path", F.concat("above", F.array("node"))).drop("above"), i))
+        out = rounds.write(out.unionByName(level))
     out = out.withColumn("is_orphan", is_orphan)
+    if depth is None and kind is None:
+        lost = nodes.join(out.select("node"), "node", "left_anti").withColumns({"sort_path": F.array("node"), "doc_kind": F.lit("cyclic"), "depth": F.lit(0), "is_orphan": F.lit(True)})
+        out = out.unionByName(lost)
     out = out.where("is_orphan") if orphans_only else out
     return out.select("node", "depth", "parent", "doc_kind", "children", "is_last", "is_orphan", "words", "sort_path")
 

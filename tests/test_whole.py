@@ -70,3 +70,11 @@ def test_all_kinds_are_returned(spark):
     assert {r["ref_type"] for r in registry.QUERIES["trace_all"](spark, SMALL).collect()} == {"child", "parent", "backlink"}
     docs = _docs(spark, {"a": "---\nid: 1\n---\n" + " ".join(f"[[x{i}]]" for i in range(11)), "b": "[[x]]"})
     assert [(r["path"], r["kind"], r["n"]) for r in schema.predictions(docs, "2024-02-20").collect()] == [("a.md", "broken_link_risk", 11)]
+
+
+def test_deep_and_cyclic_nodes_stay_in_the_tree(spark):
+    contents = {f"n{i:02d}": f"---\nid: 1\n{f'parent_id: n{i - 1:02d}' if i else ''}\n---\n" for i in range(16)}
+    contents |= {a: f"---\nid: 1\nparent_id: {b}\n---\n" for a, b in (("x", "y"), ("y", "x"), ("z", "x"))}
+    got = {r["node"]: (r["depth"], r["doc_kind"], r["is_orphan"]) for r in graph.tree(_docs(spark, contents)).collect()}
+    assert len(got) == 19 and got["n15"] == (15, "leaf", False)
+    assert {got[n] for n in "xyz"} == {(0, "cyclic", True)}
