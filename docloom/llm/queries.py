@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, quality_rules
+from docloom.llm import chat, mixing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_quality_rules": quality_rules.oracle_sql(),
     "op2_quality_rules_all": quality_rules.oracle_sql(fold=False),
+    "op8_chat": chat.ORACLE_SQL,
 }

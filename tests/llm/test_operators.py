@@ -462,20 +462,30 @@ def test_conversations(spark, monkeypatch):
         given[c].append(rest)
     assert sum(map(len, got.values())) == len(rows)
     for c, turns in given.items():
-        roles = [chat.role_of(r) for _, r, _ in turns]
-        mine = [(chat.KNOWN[r["new_role"]], r["operation"], tuple(chat.KNOWN[x] for x in r["inserted"].split(",") if x)) for r in got[c]]
-        assert sum(len(m[2]) for m in mine) * 2 + sum("merge" in m[1] for m in mine) + 2 * len(chat.ENDING[chat.repair(roles)[-1][0]]) >= 0
-        if len(turns) <= 7:
-            assert "".join(r["fragment"] for r in sorted(got[c], key=lambda r: order((r["turn"], r["role"])))) == "".join(chat.fragments([t or "" for _, _, t in turns], chat.repair(roles), 0, True))
-    ordered = sorted(got[777], key=lambda r: r["turn"])
-    moves = [(chat.KNOWN[r["new_role"]], r["operation"], tuple(chat.KNOWN[x] for x in r["inserted"].split(",") if x)) for r in ordered]
-    roles = [chat.role_of(r) for _, r, _ in given[777]]
-    assert price_of(roles, moves) == price_of(roles, chat.repair(roles))
-    heads = [chat.KNOWN[x.split("\n", 1)[0]] for x in "".join(r["fragment"] for r in ordered).split("<|im_start|>")[1:]]
-    assert legal(heads)
+        mine = sorted(got[c], key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(len(turns)))
+        assert [(r["turn"], r["role"]) for r in mine] == [(t, r) for t, r, _ in turns]
+        moves = chat.repair([chat.role_of(r) for _, r, _ in turns])
+        assert [(chat.KNOWN[r["new_role"]], r["operation"], tuple(chat.KNOWN[x] for x in r["inserted"].split(",") if x)) for r in mine] == moves
+        assert [r["inserted_after"] for r in mine] == [""] * (len(turns) - 1) + [",".join(chat.ROLES[x] for x in chat.ENDING[moves[-1][0]])]
+        whole = "".join(r["fragment"] for r in mine)
+        assert whole == "".join(chat.fragments([t or "" for _, _, t in turns], moves, 0, True))
+        assert legal([chat.KNOWN[x.split("\n", 1)[0]] for x in whole.split("<|im_start|>")[1:]])
     assert chat.repair_conversations(df.limit(0)).count() == 0
 
 
+def test_repair_does_not_depend_on_cuts():
+    rng = random.Random(5)
+    for _ in range(4000):
+        roles = [rng.randint(0, 3) for _ in range(rng.randint(2, 8))]
+        whole = chat.repair(roles)
+        cuts = [[c] for c in range(1, len(roles))] + [sorted(rng.sample(range(1, len(roles)), rng.randint(1, len(roles) - 1)))]
+        for cut in cuts:
+            parts = [roles[a:b] for a, b in zip([0, *cut], [*cut, len(roles)])]  # noqa: B905
+            ends = chat.borders([chat.segment_matrix(x) for x in parts])
+            assert [m for x, (first, last) in zip(parts, ends, strict=True) for m in chat.repair(x, first, last)] == whole, (roles, cut)
+
+
 # --- 9: classifier ----------------------------------------------------------------------------------------------------
 def texts_and_labels(n, seed):
     rng = random.Random(seed)
