@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, slices, texts_of
-from docloom.llm.rolling import prefix_sums, ranges, window_hashes
+from docloom.llm.rolling import Words, distinct_spans, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -240,7 +240,7 @@ def plain_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class IdCache:
-    """Ids of texts; each distinct pre-token, known by a 64-bit hash of its bytes, is encoded once per `room`."""
+    """Ids of texts; each distinct pre-token is encoded once per `room`. Hashes only group equal pre-tokens, by distinct_spans."""
 
     kept: dict[str, IdCache] = {}
 
@@ -255,12 +255,12 @@ class IdCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, self.kind)
         self.start = np.zeros(1 << 16, np.int64)  # start[i] .. start[i + 1] are the ids of place i
 
-    def _learn(self, hashes: list[int], strings: list[str]) -> None:
-        n, found = len(self.place), piece_ids(self.path, strings)
+    def _learn(self, units: list[bytes]) -> None:
+        n, found = len(self.place), piece_ids(self.path, [x.decode() for x in units])
         sizes = np.array([len(x) for x in found], np.int64)
         if n + len(found) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(found)), np.int64)])
@@ -270,7 +270,7 @@ class IdCache:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), self.kind)])
         self.ids[at : at + total] = np.fromiter((i for x in found for i in x), self.kind, total)
         self.start[n + 1 : n + 1 + len(found)] = at + np.cumsum(sizes)
-        self.place.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.place.update(zip(units, range(n, n + len(found)), strict=True))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a byte array with offsets."""
@@ -288,14 +288,14 @@ class IdCache:
         if not keep.any():
             return out
         start, end, row = start[keep], end[keep], row[keep]
-        hashes, at, which = np.unique(window_hashes(prefix_sums(raw), start, end), return_index=True, return_inverse=True)
+        at, which, _ = distinct_spans(Words(raw), start, end - start)
         if len(self.place) > self.room:
             self._clear()
-        listed = hashes.tolist()
-        missing = [i for i, h in enumerate(listed) if h not in self.place]
+        whole = raw.tobytes()
+        listed = [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        missing = [x for x in listed if x not in self.place]
         if missing:
-            whole = raw.tobytes()
-            self._learn([listed[i] for i in missing], [whole[start[at[i]] : end[at[i]]].decode() for i in missing])
+            self._learn(missing)
         place = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[which]
         sizes = self.start[place + 1] - self.start[place]
         flat = self.ids[ranges(self.start[place], sizes)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +15,46 @@ from pyspark.sql import functions as F
 #: ASCII white space between words: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's default of 10,000 rows makes Arrow batches of texts that take a good part of an executor's memory, in the JVM
-#: and in Python; where the session has that default, the operators set 1,000.
+#: and in Python; where the session has that default, the operators set 1,000 until their scratch tables go.
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A table of at most so many rows may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that the driver and all executors see: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Without either, a temporary folder serves where driver and executors are one machine, and a cluster is refused: a folder
+    of one machine would lose what its executors write.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not where and context.getCheckpointDir():
+        where = context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
         where = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
     return where
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block; what was there before is put back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables in the shared folder, dropped together once their readers are done.
 
@@ -40,7 +63,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        if spark.conf.get(_BATCH_ROWS) == "10000":
+        self._shortened = spark.conf.get(_BATCH_ROWS) == "10000"
+        if self._shortened:
             spark.conf.set(_BATCH_ROWS, "1000")
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -57,6 +81,8 @@ class Scratch:
 
     def drop(self) -> None:
         self._fs.delete(self._path, True)
+        if self._shortened:
+            self.spark.conf.set(_BATCH_ROWS, "10000")
 
     def finish(self, df: DataFrame) -> DataFrame:
         """The result as a checkpoint, which Spark removes when nothing refers to it; the scratch tables go."""
@@ -74,15 +100,23 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left"
     return df.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
-def with_row(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with a unique long `_row` that is the same whenever it is read.
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a unique long column that is the same whenever it is read, and that column's name, which docs doesn't use.
 
-    That is doc_id where it is unique and never null; otherwise rows are numbered once, in a scratch table.
+    It is doc_id where that is unique and never null; otherwise rows are numbered once, in a scratch table.
     """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"] and dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def with_row(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """`numbered`, for docs without a column _row."""
+    return numbered(docs, scratch)[0]
 
 
 def let(value: Column, body) -> Column:

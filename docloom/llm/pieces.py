@@ -3,11 +3,12 @@
 Units. A text is normalised as the model says (a leading space, spaces as U+2581) and cut wherever no piece can reach
 across: between two characters that stand next to each other in no piece. That is before every space, around punctuation
 that no piece joins, and inside odd words. Encoding a text is encoding its units one after the other, and equal units
-encode alike. Cutting, counting and looking up are done in numpy, a unit being known by a 64-bit hash.
+encode alike. Cutting, counting and looking up are done in numpy: units are grouped by 64-bit keys and then compared.
 
 Lattice. The distinct units are a table. Their substrings of bounded length are exploded and equi-joined to the piece
-table (one row per piece of the vocabulary, so it may be broadcast); the matches are a unit's edges. Edges are grouped by
-unit, which is how the table is partitioned already, and folded with the higher-order function `aggregate`:
+table (one row per piece of the vocabulary; broadcast if that has at most VOCABULARY rows); the matches are a unit's edges.
+Edges are grouped by unit, which is how the table is partitioned already, and folded with the higher-order function
+`aggregate`:
 
   * unigram models: Viterbi. The fold goes over end positions and keeps the best score and the last edge of each.
   * BPE models: the fold replays the merges. Its state is a bit mask of the borders between segments; each step takes,
@@ -17,10 +18,11 @@ The Viterbi path over a BPE model's scores, which are merge ranks, is not what S
 model's own type decides. Characters without a piece fall back to bytes. Units of more than `LONGEST` characters (the
 mask is a long) are encoded by the library.
 
-Texts. The frequent units, at most `head` by a cut from the counts' histogram, go to all tasks. The others are dealt to
-the input partitions that hold them and written to one folder each, which that partition's task reads back: the texts
-themselves are never shuffled. The input is read twice with the same partitions; a unit that is in neither place
-(a partition was cut otherwise) is encoded by the library.
+Texts. The frequent units, at most `head` by a cut from the counts' histogram, go to all tasks. The others are joined to
+the input partitions that hold them, a row per unit and partition, and written to one folder for each partition, which that
+partition's task reads back: the texts themselves are never shuffled, and no row grows with the number of partitions. The
+input is read twice with the same partitions; a unit that is in neither place (a partition was cut otherwise) is encoded by
+the library.
 
 Defined results: a null or empty text has no pieces. Every row gives one row, also where ids repeat or are null. U+2581
 in a text decodes to a space, as in the library. An empty table gives an empty result.
@@ -41,13 +43,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import frequency_cut
-from docloom.llm.common import Scratch, let, slices, spans_of_bytes, text_buffers, texts_of
-from docloom.llm.rolling import distinct, prefix_sums, ranges, window_hashes
+from docloom.llm.common import Scratch, let, settings, slices, spans_of_bytes, text_buffers, texts_of
+from docloom.llm.rolling import Words, distinct_spans, ranges
 
 SPACE = "▁"
 #: Characters of a unit that the fold takes: borders are the bits of a long.
 LONGEST = 60
 HEAD = 1 << 18
+#: A vocabulary of at most so many pieces is broadcast.
+VOCABULARY = 1 << 18
+#: Files that the units of one input partition are dealt to at most.
+FILES = 8
 #: Bytes of text that a task works on at a time; the arrays take some hundred bytes for each.
 SLICE = 1 << 19
 #: Code points below this are looked up in a table of pairs.
@@ -73,7 +79,12 @@ class Model:
 
     @property
     def longest_piece(self) -> int:
-        return max(map(len, self.pieces))
+        return max(map(len, self.pieces), default=1)
+
+    @property
+    def merges_unknown(self) -> bool:
+        """Without byte pieces a run of unknown characters is one unknown piece, as in the library."""
+        return min(self.byte_ids) < 0
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code points of all normalised texts, first and end of each unit, its text)."""
@@ -96,14 +107,8 @@ class Model:
         return points, start, np.concatenate([start[1:], [len(points)]])[: len(start)], row
 
     def by_library(self, unit: str) -> list[int]:
-        """The library's ids of one unit, without the leading space that it would add."""
-        if not self.prefix:
-            return self.processor.encode(unit)
-        if unit.startswith(SPACE):
-            return self.processor.encode(unit[1:]) if len(unit) > 1 else [self.processor.piece_to_id(SPACE)]
-        # a character that merges with nothing keeps the added space apart
-        ids = self.processor.encode("\n" + unit)
-        return ids[len(self.processor.encode("\n")) :]
+        """The library's ids of one unit, without the leading space that it would add to a text."""
+        return self.processor.encode(unit)
 
 
 @lru_cache(maxsize=2)
@@ -139,15 +144,16 @@ def model(path: str) -> Model:
     for x, y in found:
         if place(x) is not None and place(y) is not None:
             low[place(x), place(y)] = True
-    processor = SentencePieceProcessor(model_file=path)
-    return Model(processor, proto.trainer_spec.model_type == 1, pieces, byte_ids, unknown, norm.add_dummy_prefix, spell, pairs, low)
+    norm.add_dummy_prefix, prefix = False, norm.add_dummy_prefix  # units have theirs already
+    processor = SentencePieceProcessor(model_proto=proto.SerializeToString())
+    return Model(processor, proto.trainer_spec.model_type == 1, pieces, byte_ids, unknown, prefix, spell, pairs, low)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, rank): one row per piece; rank 0 has the best score, ties by id."""
+    """(piece, id, rank, score): one row per piece; rank 0 has the best score, ties by id."""
     found = model(path).pieces
     order = sorted(found, key=lambda p: (-found[p][1], found[p][0]))
-    return spark.createDataFrame([(p, found[p][0], r) for r, p in enumerate(order)], "piece string, id int, rank long")
+    return spark.createDataFrame([(p, found[p][0], r, float(found[p][1])) for r, p in enumerate(order)], "piece string, id int, rank long, score double")
 
 
 #: An edge is a long: rank, start, length and id, so that edges in ascending order are the best first.
@@ -162,8 +168,9 @@ def _size(e: Column) -> Column:
     return F.shiftright(e, _SIZE).bitwiseAND(F.lit(63))
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """`units` (unit, ...) with `edges`, the pieces found in each unit, the best score first."""
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, small: bool = True) -> DataFrame:
+    """`units` (unit, ...) with `edges`, the pieces found in each unit, the best score first: (edge, score). `small` says that
+    the piece table may be broadcast."""
     n = F.length("unit")
     starts = units.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
     cut = starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(longest)))))
@@ -171,10 +178,12 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     keys = [c for c in units.columns if c != "unit"]
     lead = (F.col("i") == 0) & (F.col("k") == 1)
     cut = cut.select("unit", *[F.when(lead, F.col(c)).alias(c) for c in keys], "i", "k", F.substring(F.col("unit"), F.col("i") + 1, F.col("k")).alias("piece"))
-    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | lead)
+    found = cut.join(F.broadcast(pieces) if small else pieces.hint("merge"), "piece", "left").where(F.col("id").isNotNull() | lead)
     shift = lambda c, by: F.shiftleft(F.col(c).cast("long"), by)
     edge = shift("rank", 32).bitwiseOR(shift("i", _START)).bitwiseOR(shift("k", _SIZE)).bitwiseOR(F.col("id").cast("long"))
-    return found.groupBy("unit").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keys], F.sort_array(F.collect_list(edge)).alias("edges"))
+    both = F.struct(edge.alias("edge"), F.col("score").alias("score")) if "score" in pieces.columns else edge
+    listed = F.collect_list(F.when(F.col("id").isNotNull(), both))
+    return found.groupBy("unit").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keys], F.sort_array(listed).alias("edges"))
 
 
 def _bits(low: Column, high: Column) -> Column:
@@ -209,17 +218,17 @@ def bpe_borders(edges: Column, n: Column) -> Column:
     return let(longer, lambda e: F.when(F.size(e) == 0, whole).otherwise(F.aggregate(steps, whole, lambda b, _: merge(b, e))))
 
 
-def viterbi_borders(edges: Column, n: Column, scores: Column, unknown_score: float) -> Column:
-    """Mask of the borders of the best path. `scores` maps an edge's id to its score; a character without a piece costs
-    `unknown_score`. Of equally good paths the one with the longer last piece is taken."""
+def viterbi_borders(edges: Column, n: Column, unknown_score: float) -> Column:
+    """Mask of the borders of the best path over edges with scores; a character without a piece costs `unknown_score`. Of
+    equally good paths the one with the longer last piece is taken."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
 
     def step(best: Column, end: Column, e: Column) -> Column:
-        into = F.filter(e, lambda x: _start(x) + _size(x) == end)
+        into = F.filter(e, lambda x: _start(x["edge"]) + _size(x["edge"]) == end)
         at = lambda i: F.get(best, i.cast("int"))
-        ways = F.transform(into, lambda x: F.struct((at(_start(x))["score"] + F.try_element_at(scores, x.bitwiseAND(F.lit(_ID)).cast("int"))).alias("score"), (-_start(x)).alias("back")))
+        ways = F.transform(into, lambda x: F.struct((at(_start(x["edge"]))["score"] + x["score"]).alias("score"), (-_start(x["edge"])).alias("back")))
         alone = F.struct((at(end - 1)["score"] + F.lit(unknown_score)).alias("score"), (-(end - 1)).cast("long").alias("back"))
-        way = F.when(F.exists(into, lambda x: _size(x) == 1), F.array_max(ways)).otherwise(F.array_max(F.array_append(ways, alone)))
+        way = F.when(F.exists(into, lambda x: _size(x["edge"]) == 1), F.array_max(ways)).otherwise(F.array_max(F.array_append(ways, alone)))
         grown = lambda w: F.struct(w["score"].alias("score"), (at(-w["back"])["mask"] + _bits(end, end + 1)).alias("mask"))
         return F.concat(best, F.transform(F.array(way), grown))
 
@@ -255,15 +264,17 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     """`units` (unit, ...), partitioned by unit, with `ids` of each unit of at most LONGEST characters."""
     m = model(path)
     n = F.length("unit")
-    found = lattice(units, piece_table(units.sparkSession, path), m.longest_piece)
+    table = piece_table(units.sparkSession, path)
+    found = lattice(units, table if m.unigram else table.drop("score"), m.longest_piece, len(m.pieces) <= VOCABULARY)
     if m.unigram:
-        scores = F.map_from_arrays(*(F.array(*[F.lit(x) for x in xs]) for xs in zip(*m.pieces.values(), strict=True)))
         worst = min(s for _, s in m.pieces.values()) - 10.0
-        fold = lambda _: viterbi_borders(F.col("edges"), n, scores, worst)
+        plain = F.transform("edges", lambda e: e["edge"])
+        fold = lambda _: viterbi_borders(F.col("edges"), n, worst)
     else:
+        plain = F.col("edges")
         fold = lambda e: bpe_borders(e, n)
     # each step is bound by `let`: inside a lambda it would run again for each element
-    ids = let(masks(F.col("edges")), lambda e: let(fold(e), lambda mask: unit_ids(F.col("unit"), e, mask, m.byte_ids, m.unknown)))
+    ids = let(masks(plain), lambda e: let(fold(e), lambda mask: unit_ids(F.col("unit"), e, mask, m.byte_ids, m.unknown)))
     return found.withColumn("ids", ids).drop("edges")
 
 
@@ -272,65 +283,78 @@ def _strings(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str
     return [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
+def _distinct_units(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct unit, which one each place has, counts); code points take two bytes where they fit."""
+    wide = 4 if points.max(initial=0) > 0xFFFF else 2
+    raw = np.ascontiguousarray(points.astype(f"<u{wide}")).view(np.uint8)
+    return distinct_spans(Words(raw), start * wide, (end - start) * wide)
+
+
 def _unit_batches(path: str):
     """Texts -> (unit, part, n): what this partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, part = model(path), TaskContext.get().partitionId()
-        place: dict[int, int] = {}
-        names: list[str] = []
+        place: dict[str, int] = {}
         counts = np.zeros(1 << 16, np.int64)
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array(names, pa.string()), pa.array(np.full(len(names), part, np.int32)), pa.array(counts[: len(names)])]
+            cols = [pa.array(place, pa.string()), pa.array(np.full(len(place), part, np.int32)), pa.array(counts[: len(place)])]
             return pa.RecordBatch.from_arrays(cols, names=["unit", "part", "n"])
 
         for batch in slices(batches, SLICE):
             points, start, end, _ = m.split(texts_of(batch.column("text")))
-            hashes, at, _, n = distinct(window_hashes(prefix_sums(points), start, end))
-            listed = hashes.tolist()
-            new = [i for i, h in enumerate(listed) if h not in place]
-            names += _strings(points, start[at[new]], end[at[new]])
-            place.update(zip([listed[i] for i in new], range(len(place), len(place) + len(new)), strict=True))
-            if len(names) > len(counts):
-                counts = np.concatenate([counts, np.zeros(max(len(counts), len(new)), np.int64)])
-            counts[np.fromiter(map(place.__getitem__, listed), np.int64, len(listed))] += n
-            if len(names) > 250_000:
+            at, _, n = _distinct_units(points, start, end)
+            here = [place.setdefault(x, len(place)) for x in _strings(points, start[at], end[at])]
+            if len(place) > len(counts):
+                counts = np.concatenate([counts, np.zeros(max(len(counts), len(here)), np.int64)])
+            counts[here] += n
+            if len(place) > 250_000:
                 yield flush()
-                place, names, counts = {}, [], np.zeros(1 << 16, np.int64)
-        if names:
+                place, counts = {}, np.zeros(1 << 16, np.int64)
+        if place:
             yield flush()
 
     return run
 
 
 class _Table:
-    """Ids by the hashes of units: sorted hashes, and the ids one after the other."""
-
-    def __init__(self, units: pa.Array, ids: pa.Array):
-        whole = "".join(names := units.to_pylist())
-        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-        ends = np.cumsum(np.array([len(x) for x in names], np.int64))
-        raw, offsets = text_buffers(ids)
-        hashes = window_hashes(prefix_sums(points), ends - np.diff(ends, prepend=0), ends)
-        order = np.argsort(hashes)
-        self.hashes, self.flat = hashes[order], raw.view(">i4").astype(np.int32)
-        self.start, self.size = (offsets[:-1] // 4)[order], (np.diff(offsets) // 4)[order]
-
-    def joined(self, other: _Table) -> _Table:
-        """Both tables' units; `other` adds those that are missing here."""
-        out = object.__new__(_Table)
-        hashes = np.concatenate([self.hashes, other.hashes])
-        order = np.argsort(hashes, kind="stable")
-        out.hashes, out.flat = hashes[order], np.concatenate([self.flat, other.flat])
-        out.start = np.concatenate([self.start, other.start + len(self.flat)])[order]
-        out.size = np.concatenate([self.size, other.size])[order]
-        return out
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes, and which are there."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+    """Ids of units: keys of the units in order, the units themselves, and the ids one after the other."""
+
+    def __init__(self, units: list[str], flat: np.ndarray, size: np.ndarray):
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+        self.words = Words(points.view(np.uint8))
+        length = np.array([len(x) for x in units], np.int64) * 4
+        place = np.cumsum(length) - length
+        keys = self.words.keys(place, length)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place, self.length = keys[order], place[order], length[order]
+        self.flat, self.size = flat, size[order]
+        self.start = (np.cumsum(size) - size)[order]
+
+    @classmethod
+    def of(cls, tables: list[pa.Table]) -> _Table:
+        units, parts, sizes = [], [], []
+        for t in tables:
+            units += t.column("unit").to_pylist()
+            raw, offsets = text_buffers(t.column("ids").combine_chunks())
+            parts.append(raw.view(">i4").astype(np.int32))
+            sizes.append(np.diff(offsets) // 4)
+        none = np.zeros(0, np.int64)
+        return cls(units, np.concatenate([none.astype(np.int32), *parts]), np.concatenate([none, *sizes]))
+
+    def find(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the units at start .. end of code points, and which are there: keys are looked up, units compared."""
+        if not len(self.keys) or not len(start):
+            return np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+        words = Words(np.ascontiguousarray(points.astype("<u4")).view(np.uint8))
+        first, size = start * 4, (end - start) * 4
+        keys = words.keys(first, size)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = (self.keys[at] == keys) & (self.length[at] == size)
+        pick = np.flatnonzero(there)
+        there[pick] = words.equal(first[pick], self.words, self.place[at[pick]], size[pick])
+        return at, there
 
 
 def _own_units(root: str, part: int) -> Iterator[pa.Table]:
@@ -344,23 +368,39 @@ def _own_units(root: str, part: int) -> Iterator[pa.Table]:
 
 def _encode_batches(path: str, head, root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = model(path), _Table(*(c.combine_chunks() for c in head.value.columns))
-        for mine in _own_units(root, TaskContext.get().partitionId()):
-            known = known.joined(_Table(*(c.combine_chunks() for c in mine.columns)))
+        m = model(path)
+        known = _Table.of([head.value, *_own_units(root, TaskContext.get().partitionId())])
+        others: dict[str, np.ndarray] = {}  # by the library: long units, and what is in neither place
         for batch in slices(batches, SLICE):
             texts = texts_of(batch.column("text"))
             points, start, end, row = m.split(texts)
-            hashes, at, which, _ = distinct(window_hashes(prefix_sums(points), start, end))
-            place, there = known.find(hashes)
-            if not there.all():
+            at, which, _ = _distinct_units(points, start, end)
+            place, there = known.find(points, start[at], end[at])
+            flat = known.flat
+            if there.all():
+                first, size = known.start[place], known.size[place]
+            else:
+                first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                first[there], size[there] = known.start[place[there]], known.size[place[there]]
                 lost = _strings(points, start[at[~there]], end[at[~there]])
-                known = known.joined(_Table(pa.array(lost), pa.array([np.array(m.by_library(u), ">i4").tobytes() for u in lost], pa.binary())))
-                place, _ = known.find(hashes)
-            place = place[which]
-            sizes = known.size[place]
-            flat = known.flat[ranges(known.start[place], sizes)]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, sizes, minlength=len(texts)).astype(np.int64))])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                if len(others) > 20_000:
+                    others.clear()
+                for x in lost:
+                    if x not in others:
+                        others[x] = np.array(m.by_library(x), np.int32)
+                found = [others[x] for x in lost]
+                size[~there] = more = np.array([len(x) for x in found], np.int64)
+                first[~there] = len(flat) + np.cumsum(more) - more
+                flat = np.concatenate([flat, *found])
+            first, size = first[which], size[which]
+            ids = flat[ranges(first, size)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, size, minlength=len(texts)).astype(np.int64))])
+            if m.merges_unknown and len(ids):
+                keep = np.concatenate([[True], (ids[1:] != m.unknown) | (ids[:-1] != m.unknown)])
+                keep[ends[:-1][ends[:-1] < len(ids)]] = True
+                ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+                ids = ids[keep]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "piece_ids"])
 
     return run
@@ -372,22 +412,22 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, head: int = HEAD, decod
     With `decoded` the ids are decoded again in the same worker process, as by `decode`.
     """
     spark, docs = docs.sparkSession, docs.drop("piece_ids")
-    held = docs.select("text").mapInArrow(_unit_batches(path), "unit string, part int, n long")
+    found = docs.select("text").mapInArrow(_unit_batches(path), "unit string, part int, n long")
+    held = scratch.table(found.where(F.length("unit") <= LONGEST), "held")
     # fine partitions, so that a task's units and edges are grouped in memory; grouping by sorting would spill all edges
-    finer = held.where(F.length("unit") <= LONGEST).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    distinct = finer.groupBy("unit").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
-    grouped = spark.conf.get(_IN_MEMORY)
-    spark.conf.set(_IN_MEMORY, 1 << 17)
-    try:
-        table = scratch.table(encode_units(distinct, path).select("unit", "n", "parts", _packed(F.col("ids")).alias("ids")), "units")
-    finally:
-        spark.conf.set(_IN_MEMORY, grouped)
+    finer = held.select("unit", "n").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
+    counted = finer.groupBy("unit").agg(F.sum("n").alias("n"))
+    with settings(spark, {_IN_MEMORY: str(1 << 17)}):
+        table = scratch.table(encode_units(counted, path).select("unit", "n", _packed(F.col("ids")).alias("ids")), "units")
     cut = frequency_cut(table, head)
     # at most `head` rows
-    shared = spark.sparkContext.broadcast(table.where(F.col("n") >= cut).select("unit", "ids").toArrow())
-    rare = table.where(F.col("n") < cut).select(F.explode("parts").alias("part"), "unit", "ids")
+    frequent = table.where(F.col("n") >= cut).select("unit", "ids")
+    shared = spark.sparkContext.broadcast(frequent.toArrow())
+    # frequent units go first, by a broadcast of at most `head` units: what is left has no hot key
+    rest = held.select("unit", "part").join(F.broadcast(frequent.select("unit")), "unit", "left_anti")
+    rare = rest.join(table.where(F.col("n") < cut).select("unit", "ids").hint("shuffle_hash"), "unit")
     root = scratch.path("parts")
-    rare.repartition("part").write.partitionBy("part").parquet(root)
+    rare.repartition("part", F.pmod(F.xxhash64("unit"), F.lit(FILES))).write.partitionBy("part").parquet(root)
     run = _encode_batches(path, shared, root)
     out = docs.withColumn("piece_ids", F.lit(None).cast("array<int>"))
     if not decoded:

@@ -1,8 +1,13 @@
-"""Polynomial hashes of byte windows, in numpy: equal strings have equal hashes wherever they stand."""
+"""Polynomial hashes of byte windows, in numpy: equal strings have equal hashes wherever they stand.
+
+Unequal strings may have equal hashes (long ones can be made to), so whoever needs equality compares the bytes as well, as
+`distinct_spans` does.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -63,3 +68,69 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     return ordered[first], order[first], which, np.diff(first, append=len(order))
+
+
+#: Masks of the lowest 0 .. 8 bytes of a word.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer strings are hashed and compared one by one.
+_WORDWISE = 256
+
+
+class Words:
+    """A byte array whose eight bytes from any place on are read as one number."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        self.at = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+
+    def keys(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64-bit keys of strings: of those of at most seven bytes no two share one, longer ones may."""
+        out = self.at[start] & _LOWEST[np.minimum(size, 8)]
+        out ^= np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)
+        out = mix(out)
+        live, k = np.flatnonzero((size > 8) & (size <= _WORDWISE)), 8
+        while len(live):
+            word = self.at[start[live] + k] & _LOWEST[np.minimum(size[live] - k, 8)]
+            out[live] = mix(out[live] * np.uint64(_MULTIPLIER) + word + np.uint64(k))
+            k += 8
+            live = live[size[live] > k]
+        for i in np.flatnonzero(size > _WORDWISE).tolist():
+            out[i] = xxh3_64_intdigest(self.raw[start[i] : start[i] + size[i]].tobytes())
+        return out
+
+    def equal(self, first: np.ndarray, other: Words, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether self.raw[first : first + size] and other.raw[second : second + size] are the same bytes."""
+        out = np.ones(len(size), bool)
+        for i in np.flatnonzero(size > _WORDWISE).tolist():
+            out[i] = np.array_equal(self.raw[first[i] : first[i] + size[i]], other.raw[second[i] : second[i] + size[i]])
+        live, k = np.flatnonzero((size > 0) & (size <= _WORDWISE)), 0
+        while len(live):
+            differ = (self.at[first[live] + k] ^ other.at[second[live] + k]) & _LOWEST[np.minimum(size[live] - k, 8)]
+            out[live[differ != 0]] = False
+            k += 8
+            live = live[(differ == 0) & (size[live] > k)]
+        return out
+
+
+def distinct_spans(words: Words, start: np.ndarray, size: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct string, which one each place has, counts) for spans of bytes.
+
+    Spans are grouped by their keys; longer ones are compared byte by byte with the first of their group, and what differs
+    from it, by a collision, is told apart by its bytes.
+    """
+    _, at, which, counts = distinct(words.keys(start, size) if keys is None else keys)
+    first = at[which]
+    wrong = size != size[first]
+    long = np.flatnonzero((size > (7 if keys is None else 0)) & ~wrong & (first != np.arange(len(first))))
+    twin = first[long]
+    wrong[long] = ~words.equal(start[long], words, start[twin], size[long])
+    if not wrong.any():
+        return at, which, counts
+    found: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(wrong).tolist():
+        which[i] = found.setdefault(words.raw[start[i] : start[i] + size[i]].tobytes(), len(at) + len(found))
+        if len(found) > len(more):
+            more.append(i)
+    at = np.concatenate([at, np.array(more, np.int64)])
+    return at, which, np.bincount(which, minlength=len(at))

@@ -555,7 +555,7 @@ def test_viterbi_against_all_paths(spark):
     scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "ba": -2.0, "aba": -3.5, "bb": -1.1, "abb": -2.0}
     found = {p: (i, s) for i, (p, s) in enumerate(scores.items())}
     order = sorted(found, key=lambda p: (-found[p][1], found[p][0]))
-    table = spark.createDataFrame([(p, found[p][0], r) for r, p in enumerate(order)], "piece string, id int, rank long")
+    table = spark.createDataFrame([(p, found[p][0], r, found[p][1]) for r, p in enumerate(order)], "piece string, id int, rank long, score double")
     words = ["".join(w) for n in range(1, 6) for w in itertools.product("abx", repeat=n)]
 
     def paths(w):
@@ -567,10 +567,74 @@ def test_viterbi_against_all_paths(spark):
                 out += [([piece, *p], s + score) for p, s in paths(w[len(piece) :])]
         return out
 
-    values = F.map_from_arrays(F.array(*[F.lit(i) for i, _ in found.values()]), F.array(*[F.lit(s) for _, s in found.values()]))
     units = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
-    got = pieces.lattice(units, table, 3).withColumn("m", pieces.viterbi_borders(F.col("edges"), F.length("unit"), values, -20.0)).collect()
+    got = pieces.lattice(units, table, 3).withColumn("m", pieces.viterbi_borders(F.col("edges"), F.length("unit"), -20.0)).collect()
     for r in got:
         cuts = [i for i in range(len(r["unit"]) + 1) if r["m"] >> i & 1]
         mine = [r["unit"][a:b] for a, b in itertools.pairwise(cuts)]
         assert sum(scores.get(p, -20.0) for p in mine) == pytest.approx(max(s for _, s in paths(r["unit"])))
+
+
+def unigram_model(file, fallback):
+    """A unigram model written by hand: pieces of syllables with scores in quarters, so that sums are exact."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    proto.trainer_spec.byte_fallback = fallback
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    proto.normalizer_spec.escape_whitespaces = True
+    kind = proto.SentencePiece
+    listed = [("<unk>", 0.0, kind.UNKNOWN), ("<s>", 0.0, kind.CONTROL), ("</s>", 0.0, kind.CONTROL)]
+    listed += [(f"<0x{b:02X}>", 0.0, kind.BYTE) for b in range(256)] if fallback else []
+    rng = random.Random(17)
+    letters = "antherosiply"
+    found = {*letters, "▁", *["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(250)], "ing", "th", "er", "an", "the", "re", "on"}
+    found |= {"▁" + x for x in list(found)[:150] if x != "▁"}
+    listed += [(x, -rng.randint(4, 60) / 4, kind.NORMAL) for x in sorted(found)]
+    for piece, score, type_ in listed:
+        proto.pieces.add(piece=piece, score=score, type=type_)
+    file.write_bytes(proto.SerializeToString())
+    return str(file)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_models_go_through_the_viterbi_fold(make, spark, tmp_path, fallback):
+    from sentencepiece import SentencePieceProcessor
+
+    path = unigram_model(tmp_path / "unigram.model", fallback)
+    rng = random.Random(19)
+    texts = ["", "the", "  anther  on ", "x\ny zz", "naïve the漢字 the", "a" * 70 + " the " + "z" * 80, *[prose(rng, rng.randint(1, 60)) for _ in range(60)]]
+    lib = SentencePieceProcessor(model_file=path)
+    for head in (1 << 18, 3):
+        out = pieces.encode(make(texts), path, Scratch(spark, "t"), head=head).collect()
+        assert [r["piece_ids"] for r in out] == lib.encode([r["text"] for r in out])
+
+
+def test_colliding_units_get_their_own_ids(make, spark):
+    """Two words of 1024 letters that every polynomial hash modulo 2^64 takes for one."""
+    word = lambda a, b: "".join((a, b)[i.bit_count() & 1] for i in range(1024))
+    twins = [word("a", "b"), word("b", "a")]
+    raw = np.frombuffer("".join(twins).encode(), np.uint8)
+    sums = rolling.prefix_sums(raw)
+    assert len(set(rolling.window_hashes(sums, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    texts = [*twins, " ".join(twins), " ".join(twins[::-1])]
+    whole = "".join(texts).encode()
+    got = bpe.IdCache(BPE).encode(np.frombuffer(whole, np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [x.tolist() for x in got] == [bpe.tokenizer(BPE).encode(t, add_special_tokens=False).ids for t in texts]
+    from sentencepiece import SentencePieceProcessor
+
+    out = pieces.encode(make(texts), PIECES, Scratch(spark, "t")).collect()
+    assert [r["piece_ids"] for r in out] == SentencePieceProcessor(model_file=PIECES).encode([r["text"] for r in out])
+
+
+def test_spans_with_equal_keys_are_told_apart():
+    raw = np.frombuffer(b"abcabdabcabd" + b"x" * 300 + b"x" * 299 + b"y", np.uint8)
+    start, size = np.array([0, 3, 6, 9, 0, 12, 312]), np.array([3, 3, 3, 3, 4, 300, 300])
+    strings = [raw[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    for keys in (None, np.zeros(len(start), np.uint64)):
+        at, which, counts = rolling.distinct_spans(rolling.Words(raw), start, size, keys)
+        assert [strings[at[w]] for w in which] == strings and len(at) == len(set(strings))
+        assert counts.tolist() == [strings.count(strings[i]) for i in at]
