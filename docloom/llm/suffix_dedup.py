@@ -7,19 +7,26 @@ with the least hash within p's 200 bytes (the leftmost of equals). Equal strings
 only positions with one anchor value need comparing: an anchor value is a bucket of suffixes. Positions with one anchor
 are neighbours, so a text falls into fragments, about one per 80 bytes, each a range of positions in one bucket.
 
-  1. Each text yields its fragments: (anchor, hash of the fragment's bytes, doc, first position, positions). Fragments
-     that repeat within a task are settled there and only one goes on, so a hot passage sends one row per task.
-  2. Sorted by anchor, equal fragments settle each other: all their positions repeat. A fragment alone in its bucket
-     repeats nowhere and is dropped. What is left are buckets with several distinct fragments.
-  3. The bytes of those fragments, one of each kind, are fetched and dealt by bucket. A task takes whole buckets up to
-     a block of text and sorts them suffix bucket by suffix bucket: first by their next seven bytes, then, however long
-     the tie, by the rank of the next cover sample. The cover is D = {0, 1, 3} modulo 7: any two positions reach samples
-     at one common distance below seven, and the samples' ranks to 224 bytes are computed once for the block, by doubling.
-     Neighbours in that order are compared byte by byte over 200 bytes.
+  1. Each text yields its fragments: (anchor, digest of the fragment's bytes, doc, first position, positions). The digest
+     is BLAKE2b of 128 bits under a random key of the run, so no input can be made to collide. Of the fragments that are
+     equal within a task two go on, so a hot passage sends two rows per task; the others are settled as copies.
+  2. Sorted by anchor and digest, of each kind of fragment the first two are kept for the sort and the further ones are
+     settled as copies of them. A fragment alone in its bucket repeats nowhere and is dropped. What is left are buckets with
+     several fragments.
+  3. The bytes of those fragments are fetched and dealt by bucket. A task takes whole buckets up to a block of text and
+     sorts them suffix bucket by suffix bucket: first by their next seven bytes, then, however long the tie, by the rank of
+     the next cover sample. The cover is D = {0, 1, 3} modulo 7: any two positions reach samples at one common distance below
+     seven, and the samples' ranks to 224 bytes are computed once for the block, by doubling. Neighbours in that order are
+     compared byte by byte over 200 bytes.
   4. The spans join the texts again; what they cover is cut.
 
-Memory is bounded by the block and by HOT. A bucket with more than HOT distinct fragments (a common phrase within
-different surroundings) is not sorted in one task: its positions are dealt by the hash of their strings instead.
+Hot buckets. A common phrase within ever different surroundings is one anchor with very many kinds of fragments. Such a
+bucket is dealt again by classes of offsets: positions whose anchor lies 16 c to 16 c + 15 bytes on all cover the same 185
+bytes around it, so equal strings have these bytes in common and anchor, class and their digest name a smaller bucket. If
+that is still large, classes of one offset follow, whose 185 bytes are the whole 200, so that only equal strings are left
+together. Buckets with more than HOT fragments are dealt so after step 2; those that a sample of SAMPLE texts shows to be
+common are dealt so from the start, lest all their rows meet in one task of step 2. The sample decides how the work is dealt,
+never the result. Memory is bounded by the block, by HOT and by one text with its spans.
 
 Defined results: a null text is empty. Texts shorter than 200 bytes lose nothing. Cuts ignore character borders; the
 kept text drops what is no longer UTF-8, the digest is of the bytes. Every row is a text of its own, also where ids
@@ -29,14 +36,16 @@ repeat or are null. An empty table gives an empty result. Extra columns are not
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, join_small, slices, text_buffers, with_row
+from docloom.llm.common import Scratch, join_small, numbered, slices, text_buffers
 from docloom.llm.rolling import mix, prefix_sums, ranges, window_hashes
 
 LENGTH = 200
@@ -45,18 +54,23 @@ GRAM = 40
 CHUNK = 1 << 20
 #: Bytes of fragments that a task sorts at a time.
 BLOCK = 4 << 20
-#: Distinct fragments from which on a bucket is dealt by position.
-HOT = 50_000
+#: Fragments over which a bucket is dealt by classes of offsets, and how wide these are, one after the other.
+HOT = 1_000
+CLASSES = (16, 1)
+#: Texts in the sample for common anchors, and the kinds of fragments there that make an anchor common.
+SAMPLE, COMMON = 4_000, 12
+#: Most anchors that are dealt so from the start; any others are found after step 2.
+MOST_COMMON = 4_096
 COVER, PERIOD = (0, 1, 3), 7
 
 def fragments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, fragment hash, row, first position in the row, positions, anchor - first) of all rows' fragments.
+    """(anchor hash, row, first position in the row, positions, anchor - first) of all rows' fragments.
 
     `raw` holds the rows' bytes one after the other. The fragments of a row cover its start positions without overlap.
     """
     n = len(raw)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
     sums = prefix_sums(raw)
     grams = np.arange(n - gram + 1)
     hashes = window_hashes(sums, slice(0, n - gram + 1), slice(gram, n + 1))
@@ -82,7 +96,7 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first, after = first[real], after[real]
     at = anchor[first]
     row = np.searchsorted(offsets, first, side="right") - 1
-    return hashes[at], window_hashes(sums, first, after + length - 1), row, first - offsets[row], after - first, at - first
+    return hashes[at], row, first - offsets[row], after - first, at - first
 
 
 def _pieces_of(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -116,138 +130,202 @@ def _merge(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return row[starts], first[starts], reach[ends] - row[starts] * big
 
 
-_FRAGMENTS = "route long, anchor long, whole long, doc long, first long, n long, at int, state int"
+def split(anchor: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(which fragment, first, positions, anchor - first, class) of fragments cut into classes of `width` offsets."""
+    top = at // width
+    count = top - (at - n + 1) // width + 1
+    which = np.repeat(np.arange(len(n)), count)
+    class_ = ranges(top - count + 1, count)
+    begin = np.maximum(0, at[which] - class_ * width - width + 1)
+    end = np.minimum(n[which] - 1, at[which] - class_ * width)
+    return which, first[which] + begin, end - begin + 1, at[which] - begin, class_
+
+
+def _digests(whole: memoryview, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """(n, 2) numbers: 128-bit digests of whole[start:end] under the key."""
+    blake = hashlib.blake2b
+    found = [blake(whole[a:b], digest_size=16, key=key).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
+def _keys(whole: memoryview, base: np.ndarray, found: tuple[np.ndarray, ...], anchor: np.ndarray, width: int, key: bytes) -> np.ndarray:
+    """Names of the smaller buckets that `split` makes: by anchor, class, and the bytes that the class has in common. `base`
+    is where each fragment's text begins."""
+    which, first, _, at, class_ = found
+    start = base + first + at - class_ * width
+    common = _digests(whole, start, start + LENGTH - width + 1, key)[:, 0].view(np.uint64)
+    return mix(anchor.view(np.uint64)[which] ^ mix((class_ + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + width))) ^ common
+
+
+_FRAGMENTS = "route long, anchor long, whole long, other long, doc long, first long, n long, at int, done boolean"
+_NAMES = ["route", "anchor", "whole", "other", "doc", "first", "n", "at", "done"]
+
+
+def _thinned(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of fragments: of each kind two, and merged spans (done) of the others."""
+    if not len(anchor):
+        return
+    order = np.lexsort((digest[:, 1], digest[:, 0], anchor))
+    a, d = anchor[order], digest[order]
+    same = (a[1:] == a[:-1]) & (d[1:] == d[:-1]).all(axis=1)
+    done = np.zeros(len(anchor), bool)
+    done[order[2:][same[1:] & same[:-1]]] = True
+    rows, at_row = np.unique(doc[done], return_inverse=True)
+    srow, sfirst, slast = _merge(at_row, first[done], first[done] + n[done])
+    keep, spans = ~done, len(srow)
+    none = np.zeros(spans, np.int64)
+    sdoc = rows[srow] if spans else none
+    longs = [
+        (anchor[keep].view(np.int64), mix(sdoc.astype(np.uint64)).view(np.int64)), (anchor[keep].view(np.int64), none), (digest[keep, 0], none),
+        (digest[keep, 1], none), (doc[keep], sdoc), (first[keep], sfirst), (n[keep], slast - sfirst),
+    ]
+    cols = [*(np.concatenate(c) for c in longs), np.concatenate([at[keep], none]).astype(np.int32), np.arange(int(keep.sum()) + spans) >= int(keep.sum())]
+    for i in range(0, len(cols[0]), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in cols], names=_NAMES)
+
+
+def _fragment_batches(key: bytes, common: np.ndarray):
+    """Texts -> fragments; those with a common anchor by classes of offsets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8 << 20):
+            raw, offsets = text_buffers(batch.column("text"))
+            docs = batch.column("row").to_numpy()
+            whole = memoryview(raw)
+            found = []
+            for a, b, x, y in _pieces_of(offsets, LENGTH):
+                local = np.clip(offsets[a : b + 1], x, y) - x
+                anchor, row, first, n, at = fragments(raw[x:y], local)
+                row, first = row + a, first + (x - int(offsets[a]) if b - a == 1 else 0)
+                start = offsets[row] + first
+                hot = np.isin(anchor, common) if len(common) else np.zeros(len(anchor), bool)
+                if hot.any():
+                    parts = split(anchor[hot], first[hot], n[hot], at[hot], CLASSES[0])
+                    which, f, m, t, _ = parts
+                    base = offsets[row[hot]][which]
+                    found.append((_keys(whole, base, parts, anchor[hot], CLASSES[0], key), _digests(whole, base + f, base + f + m + LENGTH - 1, key), row[hot][which], f, m, t))
+                    anchor, row, first, n, at, start = (c[~hot] for c in (anchor, row, first, n, at, start))
+                found.append((anchor, _digests(whole, start, start + n + LENGTH - 1, key), row, first, n, at))
+            if found:
+                anchor, digest, row, first, n, at = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield from _thinned(anchor, digest, docs[row], first, n, at)
 
-def _fragment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """State 0: met once in this part of the task; 1: the first of several; 2: spans that are settled already."""
-    for batch in batches:
+    return run
+
+
+def _class_batches(key: bytes, width: int):
+    """Rows (row, text, opened) -> their fragments by classes of offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8 << 20):
+            raw, offsets = text_buffers(batch.column("text"))
+            row, anchor, first, n, at = _opened(batch)
+            parts = split(anchor, first, n, at, width)
+            which, f, m, t, _ = parts
+            base, whole = offsets[row][which], memoryview(raw)
+            names = _keys(whole, base, parts, anchor, width, key)
+            yield from _thinned(names, _digests(whole, base + f, base + f + m + LENGTH - 1, key), batch.column("row").to_numpy()[row][which], f, m, t)
+
+    return run
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(which row of the batch, anchor, first, n, at) of all entries of the column `opened`."""
+    opened = batch.column("opened")
+    flat = opened.flatten()
+    row = np.repeat(np.arange(len(opened)), opened.value_lengths().fill_null(0).to_numpy())
+    return row, *(flat.field(c).to_numpy().astype(np.int64) for c in ("anchor", "first", "n", "at"))
+
+
+def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (anchor, kind) of their fragments, for the sample."""
+    for batch in slices(batches, 8 << 20):
         raw, offsets = text_buffers(batch.column("text"))
-        docs = batch.column("row").to_numpy()
-        found = []
+        whole = memoryview(raw)
         for a, b, x, y in _pieces_of(offsets, LENGTH):
-            local = np.clip(offsets[a : b + 1], x, y) - x
-            anchor, whole, row, first, n, at = fragments(raw[x:y], local)
-            found.append((anchor, whole, row + a, first + (x - int(offsets[a]) if b - a == 1 else 0), n, at))
-        if not found:
-            continue
-        anchor, whole, row, first, n, at = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not len(anchor):
-            continue
-        order = np.lexsort((whole, anchor))
-        same = (anchor[order][1:] == anchor[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-        state = np.zeros(len(anchor), np.int32)
-        state[order[1:][same]] = 2
-        state[order[:-1][same & ~np.concatenate([[False], same[:-1]])]] = 1
-        done = state == 2
-        srow, sfirst, slast = _merge(row[done], first[done], first[done] + n[done])
-        keep = ~done
-        zeros = np.zeros(len(srow), np.int64)
-        cols = (
-            np.concatenate([anchor[keep].view(np.int64), mix(docs[srow].astype(np.uint64)).view(np.int64)]),
-            np.concatenate([anchor[keep].view(np.int64), zeros]),
-            np.concatenate([whole[keep].view(np.int64), zeros]),
-            np.concatenate([docs[row[keep]], docs[srow]]),
-            np.concatenate([first[keep], sfirst]),
-            np.concatenate([n[keep], slast - sfirst]),
-        )
-        small = (np.concatenate([at[keep], zeros]).astype(np.int32), np.concatenate([state[keep], np.full(len(srow), 2, np.int32)]))
-        for i in range(0, len(cols[0]), 200_000):
-            part = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (*cols, *small)], names=["route", "anchor", "whole", "doc", "first", "n", "at", "state"])
+            anchor, row, first, n, _ = fragments(raw[x:y], np.clip(offsets[a : b + 1], x, y) - x)
+            start = offsets[row + a] + first + (x - int(offsets[a]) if b - a == 1 else 0)
+            kind = _digests(whole, start, start + n + LENGTH - 1, b"")[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(kind)], names=["anchor", "kind"])
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors with many kinds of fragments in a sample of about SAMPLE texts: at most MOST_COMMON numbers."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.select("text").sample(share, 7).mapInArrow(_anchor_batches, "anchor long, kind long").distinct()
+    counts = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= COMMON)
+    found = counts.orderBy(F.desc("kinds"), "anchor").limit(MOST_COMMON).select("anchor").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
 _SETTLED = "doc long, first long, n long, anchor long, at int, full boolean, open boolean"
 
 
 def _settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, whole) -> `full` rows, which repeat wholly, and `open` rows, whose bytes must be compared.
+    """Rows sorted by (anchor, whole, other) -> `open` rows, whose bytes are sorted and compared: the first two of each kind,
+    and any that are not alone in their bucket; and `full` rows, further copies of a kind.
 
-    One row per kind of fragment is held back until the next kind shows whether the bucket has several.
+    The first two rows of the last kind are held back until the next kind shows whether their bucket has several.
     """
-    names = ["anchor", "whole", "doc", "first", "n", "at"]
+    names = ["anchor", "whole", "other", "doc", "first", "n", "at"]
 
     def emit(cols: tuple[np.ndarray, ...], full: np.ndarray, open_: np.ndarray) -> Iterator[pa.RecordBatch]:
         pick = full | open_
         if pick.any():
-            anchor, _, doc, first, n, at = (c[pick] for c in cols)
+            anchor, _, _, doc, first, n, at = (c[pick] for c in cols)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc), pa.array(first), pa.array(n), pa.array(anchor), pa.array(at.astype(np.int32)), pa.array(full[pick]), pa.array(open_[pick])],
                 names=["doc", "first", "n", "anchor", "at", "full", "open"],
             )
 
-    held: tuple[np.ndarray, ...] | None = None  # the last kind's first row
-    times, several = 0, False  # how often that kind has come, and whether its bucket has another
+    held: tuple[np.ndarray, ...] | None = None
+    several = False  # whether the held rows' bucket has another kind
     for batch in batches:
         cols = tuple(batch.column(c).to_numpy().astype(np.int64) for c in names)
-        state = batch.column("state").to_numpy()
-        done = state == 2
+        done = batch.column("done").to_numpy(zero_copy_only=False)
         if done.any():
             no = np.zeros(int(done.sum()), bool)
             yield from emit(tuple(c[done] for c in cols), ~no, no)
-            cols, state = tuple(c[~done] for c in cols), state[~done]
-        if not len(state):
+            cols = tuple(c[~done] for c in cols)
+        if not len(cols[0]):
             continue
-        weight = np.where(state == 1, 2, 1).astype(np.int64)
         if held is not None:
             cols = tuple(np.concatenate([h, c]) for h, c in zip(held, cols, strict=True))
-            weight = np.concatenate([[times], weight])
-        anchor, whole = cols[:2]
-        heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])]))
-        is_head = np.zeros(len(anchor), bool)
-        is_head[heads] = True
-        kind = np.cumsum(is_head) - 1
-        count = np.add.reduceat(weight, heads)
+        anchor, whole, other = cols[:3]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])])
+        heads = np.flatnonzero(new)
+        kind = np.cumsum(new) - 1
+        place = np.arange(len(anchor)) - heads[kind]
         bucket = np.concatenate([[0], np.cumsum(anchor[heads][1:] != anchor[heads][:-1])])
-        kinds = np.bincount(bucket)
-        multi = kinds[bucket] > 1
+        multi = np.bincount(bucket)[bucket] > 1
         if several and held is not None:
             multi[bucket == 0] = True
-        full = count[kind] > 1
-        open_ = is_head & multi[kind]
+        twice = np.diff(heads, append=len(anchor)) > 1
+        full = place > 1
+        open_ = ~full & (twice | multi)[kind]
+        last = slice(heads[-1], min(heads[-1] + 2, len(anchor)))
         keep = np.ones(len(anchor), bool)
-        keep[heads[-1]] = False  # the last kind's first row waits
+        keep[last] = False
         yield from emit(tuple(c[keep] for c in cols), full[keep], open_[keep])
-        held = tuple(c[heads[-1] : heads[-1] + 1] for c in cols)
-        times, several = int(count[-1]), bool(multi[-1])
+        held, several = tuple(c[last] for c in cols), bool(multi[-1])
     if held is not None:
-        yield from emit(held, np.array([times > 1]), np.array([several]))
+        n = len(held[0])
+        yield from emit(held, np.zeros(n, bool), np.full(n, several or n > 1))
 
 
 def _bytes_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, opened: list of (first, n, anchor, at)) -> one row per fragment with its bytes."""
-    for batch in batches:
+    """Rows (row, text, opened) -> one row per fragment with its bytes."""
+    for batch in slices(batches, 8 << 20):
         raw, offsets = text_buffers(batch.column("text"))
-        opened = batch.column("opened")
-        flat = opened.flatten()
-        row = np.repeat(np.arange(len(opened)), opened.value_lengths().fill_null(0).to_numpy())
-        first, n = flat.field("first").to_numpy(), flat.field("n").to_numpy()
-        start = offsets[row] + first
-        size = n + LENGTH - 1
+        row, anchor, first, n, at = _opened(batch)
+        docs, start, size = batch.column("row").to_numpy()[row], offsets[row] + first, n + LENGTH - 1
         for i in range(0, len(row), 20_000):
             part = slice(i, i + 20_000)
             data = raw[ranges(start[part], size[part])]
             ends = np.concatenate([[0], np.cumsum(size[part])]).astype(np.int32)
             content = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            cols = [flat.field("anchor").slice(i, 20_000), batch.column("row").take(pa.array(row[part])), flat.field("first").slice(i, 20_000), flat.field("n").slice(i, 20_000)]
-            yield pa.RecordBatch.from_arrays([*cols, flat.field("at").slice(i, 20_000), content], names=["anchor", "doc", "first", "n", "at", "content"])
-
-
-def _position_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, opened) -> one row per start position, in the shape of fragments: the string's hash is its kind."""
-    for batch in batches:
-        raw, offsets = text_buffers(batch.column("text"))
-        docs = batch.column("row").to_numpy()
-        for i, opened in enumerate(batch.column("opened").to_pylist()):
-            text = raw[offsets[i] : offsets[i + 1]]
-            sums = prefix_sums(text)
-            first = ranges(np.array([x["first"] for x in opened]), np.array([x["n"] for x in opened]))
-            anchor = np.repeat(np.array([x["anchor"] for x in opened], np.int64), [x["n"] for x in opened])
-            whole = window_hashes(sums, first, first + LENGTH)
-            route = mix(anchor.view(np.uint64) ^ whole)
-            ones = np.ones(len(first), np.int64)
-            cols = [route.view(np.int64), anchor, whole.view(np.int64), ones * docs[i], first, ones, (ones * 0).astype(np.int32), (ones * 0).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["route", "anchor", "whole", "doc", "first", "n", "at", "state"])
+            longs = [pa.array(c[part]) for c in (anchor, docs, first, n)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(at[part].astype(np.int32)), content], names=["anchor", "doc", "first", "n", "at", "content"])
 
 
 def _words(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -416,55 +494,56 @@ def _cut_batches(with_text: bool):
     return run
 
 
-def repeated_spans(numbered: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """(doc, first, n): runs of start positions whose strings repeat. `numbered` has (row, text), row being unique."""
-
-    def settle(found: DataFrame) -> DataFrame:
-        return found.repartition("route").sortWithinPartitions("route", "anchor", "whole").mapInArrow(_settle_batches, _SETTLED)
+def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(doc, first, n): runs of start positions whose strings repeat. `docs` has (row, text), row being unique."""
+    key = secrets.token_bytes(16)  # the same in all tasks of this run, whenever they run
 
     def with_opened(rows: DataFrame) -> DataFrame:
-        opened = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "anchor", "at")).alias("opened"))
-        return numbered.join(opened.hint("merge"), numbered.row == opened.doc).select("row", "text", "opened")
-
-    settled = scratch.table(settle(numbered.mapInArrow(_fragment_batches, _FRAGMENTS)), "settled")
-    opened = settled.where("open")
-    spans = settled.where("full").select("doc", "first", "n")
-    common = scratch.table(opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor", F.lit(True).alias("hot")), "hot")
-    if not common.isEmpty():
-        opened = scratch.table(join_small(opened, common, ["anchor"]), "opened")
-        by_position = with_opened(opened.where("hot")).mapInArrow(_position_batches, _FRAGMENTS)
-        spans = spans.union(settle(by_position).where("full").select("doc", "first", "n"))
-        opened = opened.where("hot is null")
-    pieces = with_opened(opened).mapInArrow(_bytes_batches, "anchor long, doc long, first long, n long, at int, content binary")
-    return spans.union(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, "doc long, first long, n long"))
-
-
-def without_repeats(numbered: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of `numbered` (row, text); reads `scratch` later."""
-    spans = scratch.table(repeated_spans(numbered, scratch), "spans")
+        opened = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "anchor", "at")).alias("opened"))  # of one text
+        return docs.join(opened.hint("merge"), docs.row == opened.doc).select("row", "text", "opened")
+
+    found = docs.mapInArrow(_fragment_batches(key, common_anchors(docs)), _FRAGMENTS)
+    spans, open_ = [], []
+    for i, width in enumerate((*CLASSES, None)):
+        dealt = found.repartition("route").sortWithinPartitions("route", "anchor", "whole", "other")
+        settled = scratch.table(dealt.mapInArrow(_settle_batches, _SETTLED), f"settled{i}")
+        spans.append(settled.where("full").select("doc", "first", "n"))
+        rows = settled.where("open").drop("full", "open")
+        large = scratch.table(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor", F.lit(True).alias("hot")), f"hot{i}")
+        if width is None or large.isEmpty():
+            open_.append(rows)
+            break
+        marked = scratch.table(join_small(rows, large, ["anchor"]), f"opened{i}")
+        open_.append(marked.where("hot is null").drop("hot"))
+        found = with_opened(marked.where("hot")).mapInArrow(_class_batches(key, width), _FRAGMENTS)
+    pieces = with_opened(reduce(DataFrame.unionByName, open_)).mapInArrow(_bytes_batches, "anchor long, doc long, first long, n long, at int, content binary")
+    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, "doc long, first long, n long")
+    return reduce(DataFrame.union, [*spans, sorted_])
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of `docs` (row, text); reads `scratch` later."""
+    spans = scratch.table(repeated_spans(docs, scratch), "spans")
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    joined = numbered.join(per.hint("merge"), F.col("row") == F.col("doc"), "left").select("row", "text", "spans")
+    joined = docs.join(per.hint("merge"), F.col("row") == F.col("doc"), "left").select("row", "text", "spans")
     return joined.mapInArrow(_cut_batches(with_text), _RESULT)
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
-    cut = without_repeats(rows.select(F.col("_row").alias("row"), "text"), scratch, False).drop("kept")
-    out = cut.join(rows.select(F.col("_row").alias("doc"), "doc_id"), "doc")
+    rows, row = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
+    cut = without_repeats(rows.select(F.col(row).alias("row"), "text"), scratch, False).drop("kept")
+    out = cut.join(rows.select(F.col(row).alias("doc"), "doc_id"), "doc")
     return scratch.finish(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the repeated bytes cut from `text` and n_chars, if there, counted anew.
-
-    The result reads scratch tables, which stay until the session ends.
-    """
+    """The rows of docs with the repeated bytes cut from `text` and n_chars, if there, counted anew."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    rows = with_row(docs, scratch)
-    cut = without_repeats(rows.select(F.col("_row").alias("row"), "text"), scratch, True).select(F.col("doc").alias("_row"), F.col("kept").alias("text"))
-    out = rows.drop("text").join(cut, "_row")
+    rows, row = numbered(docs, scratch)
+    cut = without_repeats(rows.select(F.col(row).alias("row"), "text"), scratch, True).select(F.col("doc").alias(row), F.col("kept").alias("text"))
+    out = rows.drop("text").join(cut, row)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return scratch.finish(out.select(*docs.columns))

@@ -357,10 +357,11 @@ def passages():
     return [*texts, texts[0], texts[5], "", None, "q" * 1000, "ab" * 300, "z" * 60_000 + "y", *AWKWARD]
 
 
-@pytest.mark.parametrize("hot", [50_000, 5])
-def test_repeated_bytes(make, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "common"), [(50_000, 10**9), (5, 10**9), (1, 10**9), (50_000, 3), (1, 2)])
+def test_repeated_bytes(make, monkeypatch, hot, common):
     texts = passages()
     monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (hot,))
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(make(texts).repartition(3)).collect()}
     assert [got[i] for i in range(len(texts))] == cut_repeats(texts)
 
