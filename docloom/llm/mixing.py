@@ -11,9 +11,12 @@ A hot source costs nothing extra: its size is an aggregation with map-side sums,
 sources are few (counted first), and by a join that splits hot keys where they are not.
 
 Defined results: a null source is the source "". Null texts have no characters and are never drawn more often than their
-source. A source without characters has rate 0. Rows with equal or null doc_id draw alike. A source that `weights` does
-not name has weight 0. An empty table gives an empty result. Extra columns are kept, but for the names copy_no and
-shuffle_key, which are replaced.
+source. A source without characters has rate 0. Rows with equal doc_id draw alike, rows with a null doc_id by their
+texts. A source that `weights` does not name has weight 0. An empty table gives an empty result. Extra columns are kept, but
+for the names copy_no and shuffle_key, which are replaced.
+
+Very many rows of one doc_id, or of one text without an id, would share a shuffle key; the rows are therefore dealt by that
+key and a hash of the row's text and place in its input, so that they spread, and sorted within a partition by the key.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from docloom.llm.common import join_small, let
 #: Means are split into parts of at most so much; a part's distribution function is an array of TERMS entries.
 CHUNK = 16.0
 TERMS = 90
+#: Places that rows with one shuffle key are dealt to.
+SPREAD = 256
 #: Share of a source without explicit weights: its size to this power.
 POWER = 0.7
 
@@ -60,10 +65,14 @@ def distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda a: a["sums"])
 
 
-def copies(parts: Column, sums: Column, seed: int) -> Column:
+def name_of(docs: DataFrame) -> Column:
+    """What a row's draws depend on: its doc_id, or its text where that is null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def copies(parts: Column, sums: Column, seed: int, name: Column) -> Column:
     """Number of copies of a row: for each part, how many values of the distribution function lie below its draw."""
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda j: let(uniform(F.lit(f"draw{seed}"), doc, j.cast("string")), lambda u: F.size(F.filter(sums, lambda s: s < u)))
+    draw = lambda j: let(uniform(F.lit(f"draw{seed}"), name, j.cast("string")), lambda u: F.size(F.filter(sums, lambda s: s < u)))
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, j: a + draw(j))
 
 
@@ -72,11 +81,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     rates = source_rates(docs, weights, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK).cast("int"))
     tables = rates.withColumn("_mix_parts", parts).select("_mix_source", "_mix_parts", distribution(F.col("rate") / F.col("_mix_parts")).alias("_mix_sums"))
-    drawn = join_small(docs.drop("copy_no", "shuffle_key").withColumn("_mix_source", F.coalesce("source", F.lit(""))), tables, ["_mix_source"])
-    counted = drawn.withColumn("_mix_n", copies(F.col("_mix_parts"), F.col("_mix_sums"), seed)).drop("_mix_source", "_mix_parts", "_mix_sums").where(F.col("_mix_n") > 0)
+    at = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(SPREAD))
+    named = docs.drop("copy_no", "shuffle_key").withColumns({"_mix_source": F.coalesce("source", F.lit("")), "_mix_name": name_of(docs), "_mix_at": at})
+    drawn = join_small(named, tables, ["_mix_source"])
+    counted = drawn.withColumn("_mix_n", copies(F.col("_mix_parts"), F.col("_mix_sums"), seed, F.col("_mix_name"))).drop("_mix_source", "_mix_parts", "_mix_sums").where(F.col("_mix_n") > 0)
     many = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_n")
-    key = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
-    return many.withColumn("shuffle_key", F.substring(key, 1, 16)).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.col("_mix_name"), F.col("copy_no").cast("string")))
+    keyed = many.withColumn("shuffle_key", F.substring(key, 1, 16)).drop("_mix_name")
+    return keyed.repartition("shuffle_key", "_mix_at").drop("_mix_at").sortWithinPartitions("shuffle_key")
 
 
 ORACLE_SQL = f"""
@@ -87,12 +99,12 @@ parts AS (SELECT s, greatest(1, ceil(rate / {CHUNK})::INT) m, rate / greatest(1,
 terms AS (SELECT s, k, CASE WHEN mean > 0 THEN exp(-mean + k * ln(mean) - lgamma(k + 1)) ELSE (k = 0)::INT END term FROM parts, range({TERMS}) t(k)),
 cdf AS (SELECT s, k, sum(term) OVER (PARTITION BY s ORDER BY k) c FROM terms),
 draws AS (
-  SELECT d.doc_id, d.source, d.text, p.s, (('0x' || substr(md5('draw11:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT + 0.5) / pow(2, 52) u, j
-  FROM (SELECT *, row_number() OVER () rn FROM documents) d JOIN parts p ON p.s = coalesce(d.source, ''), range(1, 100) r(j) WHERE j <= p.m
+  SELECT d.doc_id, d.source, d.text, name, p.s, (('0x' || substr(md5('draw11:' || name || ':' || j), 1, 13))::BIGINT + 0.5) / pow(2, 52) u, j
+  FROM (SELECT *, row_number() OVER () rn, coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, ''))) AS name FROM documents) d JOIN parts p ON p.s = coalesce(d.source, ''), range(1, 100) r(j) WHERE j <= p.m
 ),
 counted AS (
-  SELECT doc_id, source, text, sum((SELECT count(*) FROM cdf WHERE cdf.s = draws.s AND cdf.c < draws.u))::INT n FROM draws GROUP BY ALL
+  SELECT doc_id, source, text, name, sum((SELECT count(*) FROM cdf WHERE cdf.s = draws.s AND cdf.c < draws.u))::INT n FROM draws GROUP BY ALL
 )
-SELECT doc_id, source, copy_no::INT AS copy_no, substr(md5('place11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no), 1, 16) AS shuffle_key, text
+SELECT doc_id, source, copy_no::INT AS copy_no, substr(md5('place11:' || name || ':' || copy_no), 1, 16) AS shuffle_key, text
 FROM counted, range(1, 1000) c(copy_no) WHERE copy_no <= n
 """

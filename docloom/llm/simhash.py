@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, slices, texts_of
+from docloom.llm.common import BROADCAST_ROWS, Scratch, slices, texts_of
 
 MOST = 4
 SHINGLE = 4
@@ -45,6 +45,8 @@ BUDGETS = tuple(MOST * n // len(RING) for n in range(1, len(RING) + 1))
 LONG_KEYS_FROM = 1 << 22
 #: Buckets up to this size are compared in one block.
 BLOCK = 1024
+#: Rows of a node from which on it may be a hub.
+HUB = 128
 
 
 def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
@@ -267,34 +269,38 @@ def links(classes: DataFrame, chain: int) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for every node that has an edge.
 
-    Alternates large-star and small-star steps until nothing changes. A step's minimum is an aggregation with map-side
-    combine, and its join is one that adaptive execution can split at a hub.
+    Alternates large-star and small-star steps until no row changes. A step's minimum is an aggregation with map-side
+    combine. The nodes with the most rows, hubs of HUB rows at least and at most BROADCAST_ROWS of them, get their minimum by
+    broadcast, so a hub's rows stay where they are; any other node has fewer rows than each of those, or than HUB.
     """
 
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+    def star(pairs: DataFrame, larger: bool, name: str) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if larger:
             both = both.union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = both.join(lowest.hint("merge"), "u")
+        lowest = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}m")
+        hubs = lowest.where(F.col("n") >= HUB).orderBy(F.desc("n"), "u").limit(BROADCAST_ROWS).select("u", "m")  # bounded
+        marked = both.join(F.broadcast(hubs), "u", "left")
+        hung = marked.where("m is not null").unionByName(marked.where("m is null").drop("m").join(lowest.select("u", "m").hint("merge"), "u"))
         if larger:
             moved = hung.where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             moved = hung.select(F.col("m").alias("a"), F.col("v").alias("b")).union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return moved.where(F.col("a") < F.col("b")).distinct()
+        return scratch.table(moved.where(F.col("a") < F.col("b")).distinct(), name)
 
     pairs = scratch.table(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}0")
-    sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("a") % 1000003)).first()
-    before, turn = sign(pairs), 0
-    while True:
+    turn, n = 0, pairs.count()
+    while n:
         turn += 1
-        pairs = scratch.table(star(scratch.table(star(pairs, True), f"{name}{turn}l"), False), f"{name}{turn}")
-        after = sign(pairs)
-        if after == before:
-            return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(pairs.select(F.col("a"), F.col("a")).distinct())
-        before = after
+        after = star(star(pairs, True, f"{name}{turn}l"), False, f"{name}{turn}")
+        was, n = n, after.count()
+        # both have distinct rows: as many rows, and none that is new, are the same rows
+        if n == was and after.join(pairs, ["a", "b"], "left_anti").isEmpty():
+            break
+        pairs = after
+    return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(pairs.select(F.col("a"), F.col("a")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

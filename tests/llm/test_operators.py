@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, byte_cnn, chat, jpeg, mixing, pieces, quality_rules, rolling, simhash, suffix_dedup, token_files
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, settings
 
 from .conftest import AWKWARD, prose
 
@@ -46,6 +46,16 @@ def test_mixing_awkward(awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0 and mixing.mix(awkward, {}).count() == 0
 
 
+def test_rows_without_ids_are_spread(make):
+    rng = random.Random(3)
+    docs = make([prose(rng, 8) for _ in range(600)], [None] * 600).union(make([None] * 600, [None] * 600)).withColumn("source", F.lit("a"))
+    out = mixing.mix(docs, total=2.0).withColumn("p", F.spark_partition_id())
+    assert len({r["shuffle_key"] for r in out.where("text is not null").collect()}) > 400
+    with settings(docs.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        sizes = [r["n"] for r in out.groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+
+
 # --- 2: quality rules -------------------------------------------------------------------------------------------------
 def base(text):
     words = re.findall(SPACE, text or "")
