@@ -24,6 +24,9 @@ partition's task reads back: the texts themselves are never shuffled, and no row
 input is read twice with the same partitions; a unit that is in neither place (a partition was cut otherwise) is encoded by
 the library.
 
+A text is worked through in parts of about SLICE characters, cut before spaces, so memory holds one text, its ids, and some
+hundred bytes for each character of a part (a longer run without a space is one part).
+
 Defined results: a null or empty text has no pieces. Every row gives one row, also where ids repeat or are null. U+2581
 in a text decodes to a space, as in the library. An empty table gives an empty result.
 """
@@ -86,25 +89,40 @@ class Model:
         """Without byte pieces a run of unknown characters is one unknown piece, as in the library."""
         return min(self.byte_ids) < 0
 
-    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(code points of all normalised texts, first and end of each unit, its text)."""
-        lead = SPACE if self.prefix else ""
-        normal = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
-        points = np.frombuffer("".join(normal).encode("utf-32-le"), "<u4")
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in normal])]).astype(np.int64)
+    def parts(self, texts: list[str], most: int = SLICE) -> tuple[list[str], list[int]]:
+        """Normalised texts cut into parts of about `most` characters, before spaces, which no piece reaches across; and the
+        text of each part."""
+        out, row = [], []
+        for i, text in enumerate(texts):
+            a, lead = 0, SPACE if self.prefix and text else ""
+            while a < len(text):
+                b = len(text)
+                if b - a > most:
+                    cut = text.rfind(" ", a + 1, a + most)
+                    b = cut if cut > 0 else text.find(" ", a + most) % (len(text) + 1)
+                out.append(lead + text[a:b].replace(" ", SPACE))
+                row.append(i)
+                a, lead = b, ""
+        return out, row
+
+    def split(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code points of all parts, first and end of each unit, its part)."""
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         cut = np.ones(len(points) + 1, bool)
         if len(points) > 1:
             small = np.where(points < LOW, points, np.where(points == ord(SPACE), LOW, LOW + 1)).astype(np.int64)
             joined = self.low[small[:-1], small[1:]]
             other = np.flatnonzero((small[:-1] > LOW) | (small[1:] > LOW))
-            code = points[other].astype(np.int64) << 21 | points[other + 1]
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            joined[other] = self.pairs[at] == code
+            if len(self.pairs):
+                code = points[other].astype(np.int64) << 21 | points[other + 1]
+                at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+                joined[other] = self.pairs[at] == code
             cut[1:-1] = ~joined
         cut[offsets] = True
         start = np.flatnonzero(cut[:-1])
-        row = np.searchsorted(offsets, start, side="right") - 1
-        return points, start, np.concatenate([start[1:], [len(points)]])[: len(start)], row
+        part = np.searchsorted(offsets, start, side="right") - 1
+        return points, start, np.concatenate([start[1:], [len(points)]])[: len(start)], part
 
     def by_library(self, unit: str) -> list[int]:
         """The library's ids of one unit, without the leading space that it would add to a text."""
@@ -290,28 +308,36 @@ def _distinct_units(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> t
     return distinct_spans(Words(raw), start * wide, (end - start) * wide)
 
 
+def _runs(parts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of parts of about `most` characters."""
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return spans_of_bytes(np.concatenate([[0], np.cumsum(sizes)]), 2 * most)
+
+
 def _unit_batches(path: str):
     """Texts -> (unit, part, n): what this partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part = model(path), TaskContext.get().partitionId()
+        m, partition = model(path), TaskContext.get().partitionId()
         place: dict[str, int] = {}
         counts = np.zeros(1 << 16, np.int64)
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array(place, pa.string()), pa.array(np.full(len(place), part, np.int32)), pa.array(counts[: len(place)])]
+            cols = [pa.array(place, pa.string()), pa.array(np.full(len(place), partition, np.int32)), pa.array(counts[: len(place)])]
             return pa.RecordBatch.from_arrays(cols, names=["unit", "part", "n"])
 
         for batch in slices(batches, SLICE):
-            points, start, end, _ = m.split(texts_of(batch.column("text")))
-            at, _, n = _distinct_units(points, start, end)
-            here = [place.setdefault(x, len(place)) for x in _strings(points, start[at], end[at])]
-            if len(place) > len(counts):
-                counts = np.concatenate([counts, np.zeros(max(len(counts), len(here)), np.int64)])
-            counts[here] += n
-            if len(place) > 250_000:
-                yield flush()
-                place, counts = {}, np.zeros(1 << 16, np.int64)
+            parts, _ = m.parts(texts_of(batch.column("text")))
+            for a, b in _runs(parts):
+                points, start, end, _ = m.split(parts[a:b])
+                at, _, n = _distinct_units(points, start, end)
+                here = [place.setdefault(x, len(place)) for x in _strings(points, start[at], end[at])]
+                if len(place) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(here)), np.int64)])
+                counts[here] += n
+                if len(place) > 250_000:
+                    yield flush()
+                    place, counts = {}, np.zeros(1 << 16, np.int64)
         if place:
             yield flush()
 
@@ -366,40 +392,53 @@ def _own_units(root: str, part: int) -> Iterator[pa.Table]:
                 yield pq.ParquetFile(source).read(columns=["unit", "ids"])
 
 
+class _Encoder:
+    """Ids of parts of texts: units from the table, and from the library what is in neither place, such as long units."""
+
+    def __init__(self, m: Model, known: _Table):
+        self.m, self.known = m, known
+        self.others: dict[str, np.ndarray] = {}
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each part has)."""
+        known = self.known
+        points, start, end, part = self.m.split(parts)
+        at, which, _ = _distinct_units(points, start, end)
+        place, there = known.find(points, start[at], end[at])
+        flat = known.flat
+        if there.all():
+            first, size = known.start[place], known.size[place]
+        else:
+            first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            first[there], size[there] = known.start[place[there]], known.size[place[there]]
+            lost = _strings(points, start[at[~there]], end[at[~there]])
+            if len(self.others) > 20_000:
+                self.others.clear()
+            for x in lost:
+                if x not in self.others:
+                    self.others[x] = np.array(self.m.by_library(x), np.int32)
+            found = [self.others[x] for x in lost]
+            size[~there] = more = np.array([len(x) for x in found], np.int64)
+            first[~there] = len(flat) + np.cumsum(more) - more
+            flat = np.concatenate([flat, *found])
+        first, size = first[which], size[which]
+        return flat[ranges(first, size)], np.bincount(part, size, minlength=len(parts)).astype(np.int64)
+
+
 def _encode_batches(path: str, head, root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        known = _Table.of([head.value, *_own_units(root, TaskContext.get().partitionId())])
-        others: dict[str, np.ndarray] = {}  # by the library: long units, and what is in neither place
+        coder = _Encoder(m, _Table.of([head.value, *_own_units(root, TaskContext.get().partitionId())]))
         for batch in slices(batches, SLICE):
-            texts = texts_of(batch.column("text"))
-            points, start, end, row = m.split(texts)
-            at, which, _ = _distinct_units(points, start, end)
-            place, there = known.find(points, start[at], end[at])
-            flat = known.flat
-            if there.all():
-                first, size = known.start[place], known.size[place]
-            else:
-                first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                first[there], size[there] = known.start[place[there]], known.size[place[there]]
-                lost = _strings(points, start[at[~there]], end[at[~there]])
-                if len(others) > 20_000:
-                    others.clear()
-                for x in lost:
-                    if x not in others:
-                        others[x] = np.array(m.by_library(x), np.int32)
-                found = [others[x] for x in lost]
-                size[~there] = more = np.array([len(x) for x in found], np.int64)
-                first[~there] = len(flat) + np.cumsum(more) - more
-                flat = np.concatenate([flat, *found])
-            first, size = first[which], size[which]
-            ids = flat[ranges(first, size)]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, size, minlength=len(texts)).astype(np.int64))])
+            parts, row = m.parts(texts_of(batch.column("text")))
+            done = [coder.ids(parts[a:b]) for a, b in _runs(parts)]
+            ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in done)])
+            sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.array(row, np.int64), sizes, minlength=batch.num_rows).astype(np.int64))])
             if m.merges_unknown and len(ids):
                 keep = np.concatenate([[True], (ids[1:] != m.unknown) | (ids[:-1] != m.unknown)])
                 keep[ends[:-1][ends[:-1] < len(ids)]] = True
-                ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-                ids = ids[keep]
+                ends, ids = np.concatenate([[0], np.cumsum(keep)])[ends], ids[keep]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "piece_ids"])
 
@@ -441,17 +480,23 @@ def _packed(ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
-def spelled(m: Model, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """What the ids between each two offsets spell, by gathers from the pieces' bytes."""
+def _spelling(m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all pieces one after the other, their sizes)."""
     table = [x.replace(SPACE.encode(), b" ") for x in m.spell]
-    flat = np.frombuffer(b"".join(table), np.uint8)
-    size = np.array([len(x) for x in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table], np.int64)
+
+
+def spelled(m: Model, ids: np.ndarray, offsets: np.ndarray, most: int = 200_000) -> list[bytes]:
+    """What the ids between each two offsets spell, by gathers from the pieces' bytes, `most` ids at a time."""
+    flat, size = _spelling(m)
     start = np.cumsum(size) - size
-    lengths = size[ids]
-    ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
-    raw = flat[ranges(start[ids], lengths)].tobytes()
+    raw, lengths = [], size[ids]
+    for a in range(0, len(ids), most):
+        raw.append(flat[ranges(start[ids[a : a + most]], lengths[a : a + most])].tobytes())
+    whole = b"".join(raw)
     lead = 1 if m.prefix else 0
-    return [raw[a + lead : b] if lead and raw[a : a + 1] == b" " and b > a else raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]  # noqa: B905
+    ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+    return [whole[a + lead : b] if lead and whole[a : a + 1] == b" " and b > a else whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]  # noqa: B905
 
 
 def _decode_batches(path: str):

@@ -562,6 +562,21 @@ def test_pieces_match_the_library(awkward, spark, head):
     assert pieces.encoded_documents(awkward, PIECES).where("not round_trip").count() == 0
 
 
+def test_long_texts_are_encoded_in_parts(make, spark, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(23)
+    texts = [prose(rng, 400), "  two  spaces " * 40, "x" * 900 + " " + "y" * 300, "", " ", "a b"]
+    m = pieces.model(PIECES)
+    parts, row = m.parts(texts, 50)
+    assert max(map(len, parts)) > 100 and ["".join(p for p, r in zip(parts, row, strict=True) if r == i) for i in range(len(texts))] == ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+    coder = pieces._Encoder(m, pieces._Table.of([]))
+    ids = [sum((coder.ids([p])[0].tolist() for p, r in zip(parts, row, strict=True) if r == i), []) for i in range(len(texts))]
+    assert ids == SentencePieceProcessor(model_file=PIECES).encode(texts)
+    flat, ends = np.array(sum(ids, [])), np.cumsum([0, *map(len, ids)])
+    assert [x.decode() for x in pieces.spelled(m, flat, ends, 7)] == texts
+
+
 def test_viterbi_against_all_paths(spark):
     scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "ba": -2.0, "aba": -3.5, "bb": -1.1, "abb": -2.0}
     found = {p: (i, s) for i, (p, s) in enumerate(scores.items())}
