@@ -11,6 +11,10 @@ three components to a unit, so 192 bytes make a unit. The file is an ordinary 4:
 its own Huffman tables, a restart marker every few units, and the payload's length in a comment; units past the payload,
 which fill the last row, are blocks of zeros.
 
+Memory. Files are written and read in groups of restart segments, which stand alone: beside a text, its file, two bytes for
+each coefficient and the payload, a task holds arrays for about GROUP blocks or bytes at a time. The format's limit of 65535
+pixels a side bounds a payload at 12.8 GB.
+
 Defined results: a null or empty text is one unit of 192 spaces. Equal payloads give equal files. A file that is not
 baseline, is cut short or has bad codes raises ValueError. Every row gives one row, also where ids repeat or are null.
 """
@@ -29,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices, text_buffers
+from docloom.llm.common import slices, spans_of_bytes, text_buffers
 
 UNIT = 192
 #: Units between restart markers.
 RESTART = 4
 _NOTE = b"payload "
+#: Blocks that are coded, and bytes of segments that are decoded, at a time.
+GROUP = 1 << 15
 
 
 def canonical(counts: list[int]) -> list[tuple[int, int]]:
@@ -164,15 +170,24 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     units = [len(p) // UNIT for p in payloads]
     grids = [grid(n) for n in units]
     cells = [c * r for c, r in grids]
-    blocks = np.zeros((3 * sum(cells), 64), np.int64)
+    blocks = np.full((3 * sum(cells), 64), 128, np.uint8)
     segment_of_unit, at, seg = [], 0, 0
     seg_of_file = [0]
     for p, n, c in zip(payloads, units, cells, strict=True):
-        blocks[3 * at : 3 * (at + n)] = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int64) - 128
-        segment_of_unit.append(seg + np.arange(c) // RESTART)
+        blocks[3 * at : 3 * (at + n)] = np.frombuffer(p, np.uint8).reshape(-1, 64)
+        segment_of_unit.append(seg + np.arange(c, dtype=np.int32) // RESTART)
         at, seg = at + c, seg + -(-c // RESTART)
         seg_of_file.append(seg)
-    data, ends = _segment_bytes(blocks, np.repeat(np.concatenate(segment_of_unit), 3))
+    segment = np.repeat(np.concatenate(segment_of_unit), 3)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(segment)]])
+    coded, ends_of, total = [], [], 0
+    for a, b in spans_of_bytes(cuts, GROUP):
+        part = slice(cuts[a], cuts[b])
+        raw, ends = _segment_bytes(blocks[part].astype(np.int64) - 128, segment[part] - segment[cuts[a]])
+        coded.append(raw)
+        ends_of.append(ends + total)
+        total += len(raw)
+    data, ends = np.concatenate(coded), np.concatenate(ends_of)
     # bytes FF in the data are followed by 00
     full = np.flatnonzero(data == 0xFF)
     data = np.insert(data, full + 1, 0)
@@ -268,9 +283,8 @@ def parse(raw: bytes) -> Scan:
     keep[stuffed] = False
     keep[marks] = keep[marks + 1] = False
     clean = data[:end][keep].tobytes()
-    gone = np.zeros(end + 1, np.int64)
-    gone[1:] = np.cumsum(~keep)
-    edges = [0, *(marks - gone[marks]).tolist(), len(clean)]
+    gone = np.searchsorted(np.sort(np.concatenate([stuffed, marks, marks + 1])), marks)
+    edges = [0, *(marks - gone).tolist(), len(clean)]
     out.segments = [clean[a:b] for a, b in zip(edges, edges[1:])]  # noqa: B905
     return out
 
@@ -323,7 +337,10 @@ def decode(files: list[bytes], dc_only: bool = False) -> list[Decoded]:
             lane_file.append(i)
             lane_bytes.append(seg)
     lookups = np.concatenate([_lookup(t) for t in tables])
-    results = _decode_lanes(lane_bytes, np.array(lane_units), np.array(lane_pattern), patterns, lookups, dc_only)
+    results: list[np.ndarray] = []
+    sizes = np.cumsum([0, *map(len, lane_bytes)])
+    for a, b in spans_of_bytes(sizes, 64 * GROUP):
+        results += _decode_lanes(lane_bytes[a:b], np.array(lane_units[a:b]), np.array(lane_pattern[a:b]), patterns, lookups, dc_only)
     out, lane = [], 0
     for s in scans:
         mine = results[lane : lane + len(s.segments)]
@@ -414,7 +431,7 @@ def payload(d: Decoded) -> bytes:
     """What `encode` stored."""
     if d.scan.payload is None:
         raise ValueError("the file holds no payload")
-    return (d.blocks.astype(np.int64) + 128).astype(np.uint8).tobytes()[: d.scan.payload]
+    return (d.blocks + np.int16(128)).astype(np.uint8).tobytes()[: d.scan.payload]
 
 
 def thumbnail(d: Decoded) -> np.ndarray:
