@@ -153,30 +153,34 @@ _TURNS = "array<struct<turn: bigint, role: string, text: string>>"
 _SEGMENTS = f"conv_id long, part int, seq int, turns {_TURNS}"
 
 
-def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> segments of consecutive turns of one conversation, numbered in order within the partition."""
-    part, seq, now, turns, out = TaskContext.get().partitionId(), 0, None, [], []
+def _segment_batches(most: int):
+    """Sorted rows -> segments of at most `most` consecutive turns of one conversation, numbered in order within the partition."""
     kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        conv, number, lists = zip(*rows, strict=True)
-        cols = [pa.array(conv, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(number, pa.int32()), pa.array(lists, kind)]
-        return pa.RecordBatch.from_arrays(cols, names=["conv_id", "part", "seq", "turns"])
-
-    for batch in slices(batches, 4 << 20):
-        for row in batch.to_pylist():
-            if turns and (row["conv_id"] != now or len(turns) == SEGMENT):
-                out.append((now, seq, turns))
-                seq, turns = seq + 1, []
-            now = row["conv_id"]
-            turns.append({k: row[k] for k in ("turn", "role", "text")})
-        if len(out) > 256:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, now, turns, out = TaskContext.get().partitionId(), 0, None, [], []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            conv, number, lists = zip(*rows, strict=True)
+            cols = [pa.array(conv, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(number, pa.int32()), pa.array(lists, kind)]
+            return pa.RecordBatch.from_arrays(cols, names=["conv_id", "part", "seq", "turns"])
+
+        for batch in slices(batches, 4 << 20):
+            for row in batch.to_pylist():
+                if turns and (row["conv_id"] != now or len(turns) == most):
+                    out.append((now, seq, turns))
+                    seq, turns = seq + 1, []
+                now = row["conv_id"]
+                turns.append({k: row[k] for k in ("turn", "role", "text")})
+            if len(out) > 256:
+                yield batch_of(out)
+                out = []
+        if turns:
+            out.append((now, seq, turns))
+        if out:
             yield batch_of(out)
-            out = []
-    if turns:
-        out.append((now, seq, turns))
-    if out:
-        yield batch_of(out)
+
+    return run
 
 
 def _matrix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +252,7 @@ def _repair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
-def repair_conversations(conversations: DataFrame) -> DataFrame:
+def repair_conversations(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """One row per turn of (conv_id, turn, role, text): its place in the conversation, its repaired role, what was done, and
     its rendered fragment; a conversation's fragments in order of place are its transcript."""
     scratch = Scratch(conversations.sparkSession, "chat")
@@ -256,7 +260,7 @@ def repair_conversations(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # a written table: range bounds are sampled, so a second run could cut elsewhere
-    segments = scratch.table(dealt.mapInArrow(_segment_batches, _SEGMENTS).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))), "segments")
+    segments = scratch.table(dealt.mapInArrow(_segment_batches(segment), _SEGMENTS).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))), "segments")
     several = segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     matrices = segments.join(several, "key").select("key", "part", "seq", "turns").mapInArrow(_matrix_batches, "key string, part int, seq int, n long, costs array<bigint>")
     solved = matrices.repartition("key").sortWithinPartitions("key", "part", "seq").mapInArrow(_border_batches, _BORDERS)

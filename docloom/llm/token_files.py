@@ -1,7 +1,8 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length code with separate control bytes.
 
-The rows are dealt to shards by ranges of doc_id. A shard's task encodes its texts in order, ranks the ids by how often
-the shard uses them (most frequent first, ties by id), and writes one file to the shared folder:
+The rows are dealt to shards by ranges of doc_id; of an id with very many rows, by ranges of a hash as well. A shard's task
+encodes its texts in order, some thousand at a time, ranks the ids by how often these use them (most frequent first, ties by
+id), and writes a file to the shared folder:
 
     magic "DLTI0001"; header of 6 little-endian u64: number of documents, of ids, of distinct ids, bytes of data,
     id width (2 or 4), spare; then the document lengths (u32 each, in ids, with the end id), the distinct ids in rank
@@ -9,13 +10,13 @@ the shard uses them (most frequent first, ties by id), and writes one file to th
 
 Each control byte holds four 2-bit codes, lowest bits first: code c means that the rank takes c + 1 data bytes, little-
 endian. Control and data bytes stand apart, so decoding is a table lookup per control byte and gathers in numpy, with no
-branch per id. Ranks are the shard's own: a file can be read alone, and no second pass over the corpus is needed.
+branch per id. Ranks are the file's own: a file can be read alone, and no second pass over the corpus is needed.
 
 A file is written under a name of its own for each attempt and renamed when complete, and only the attempts whose rows
 Spark kept are in the manifest; so a lost executor leaves nothing half-written behind that is read.
 
-Defined results: a null text is empty and gives the end id alone. Rows with equal doc_id are ordered by text, rows with
-a null doc_id come first. An empty table gives no file and an empty result. Extra columns are not read.
+Defined results: a null text is empty and gives the end id alone. Rows with equal doc_id are ordered by text (by a hash and
+then by text if there are more of them than a file has rows), rows with a null doc_id come first. An empty table gives no file and an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import IdCache
-from docloom.llm.common import Scratch, slices, text_buffers
+from docloom.llm.common import Scratch, join_small, slices, text_buffers
 
 MAGIC = b"DLTI0001"
-#: Rows of a shard, about, by cuts of doc_id.
+#: Most rows of a file.
 SHARD_ROWS = 8_000
-#: A shard whose rows are long is written in parts of about so many ids; a longer text makes a part of its own.
+#: Most shards; with more rows, a shard writes several files.
+MOST_SHARDS = 10_000
+#: A file holds about so many ids at most; a longer text makes a file of its own.
 PART_IDS = 1 << 24
 
 
@@ -104,38 +108,38 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _writer(path: str, root: str, end_id: int):
-    """Rows (shard, doc_id, text) sorted by shard and doc_id -> files, one row each."""
-
-    def write(shard: int, part: int, ids: list[int | None], parts: list[np.ndarray]) -> pa.RecordBatch:
-        fs, where = _open(root)
-        fs.create_dir(where, recursive=True)
-        name = f"shard-{shard:08d}-{part:05d}-{uuid.uuid4().hex}.ids"
-        lengths = np.array([len(p) for p in parts], np.int64)
-        with fs.open_output_stream(f"{where}/.{name}") as out:
-            out.write(file_bytes(lengths, np.concatenate(parts)))
-        fs.move(f"{where}/.{name}", f"{where}/{name}")
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([x], pa.int64()) for x in (shard, part)), pa.array([name]), pa.array([int(lengths.sum())], pa.int64()), pa.array([ids], pa.list_(pa.int64()))],
-            names=["shard", "part", "file", "n_ids", "doc_ids"],
-        )
+def _writer(path: str, root: str, end_id: int, most: int, most_ids: int):
+    """Rows (doc_id, text) in order -> files of at most `most` rows and about `most_ids` ids, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = IdCache.of(path)
+        cache, shard = IdCache.of(path), TaskContext.get().partitionId()
         end = np.array([end_id], cache.kind)
-        now, seq, size, ids, parts = None, 0, 0, [], []
+        seq, size, ids, parts = 0, 0, [], []
+
+        def write() -> pa.RecordBatch:
+            fs, where = _open(root)
+            fs.create_dir(where, recursive=True)
+            name = f"shard-{shard:08d}-{seq:05d}-{uuid.uuid4().hex}.ids"
+            lengths = np.array([len(p) for p in parts], np.int64)
+            with fs.open_output_stream(f"{where}/.{name}") as out:
+                out.write(file_bytes(lengths, np.concatenate(parts)))
+            fs.move(f"{where}/.{name}", f"{where}/{name}")
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([x], pa.int64()) for x in (shard, seq)), pa.array([name]), pa.array([int(lengths.sum())], pa.int64()), pa.array([ids], pa.list_(pa.int64()))],
+                names=["shard", "part", "file", "n_ids", "doc_ids"],
+            )
+
         for batch in slices(batches, 4 << 20):
             encoded = cache.encode(*text_buffers(batch.column("text")))
-            for shard, doc, part in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
-                if parts and (shard != now or size + len(part) > PART_IDS):
-                    yield write(now, seq, ids, parts)
-                    seq, size, ids, parts = (seq + 1 if shard == now else 0), 0, [], []
-                now = shard
+            for doc, part in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                if parts and (len(parts) == most or size + len(part) > most_ids):
+                    yield write()
+                    seq, size, ids, parts = seq + 1, 0, [], []
                 ids.append(doc)
                 parts.append(np.concatenate([part, end]))
                 size += len(part) + 1
         if parts:
-            yield write(now, seq, ids, parts)
+            yield write()
 
     return run
 
@@ -158,24 +162,20 @@ def _reader(root: str):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, root: str, end_id: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, root: str, end_id: int = 0, shard_rows: int = SHARD_ROWS, part_ids: int = PART_IDS) -> DataFrame:
     """Writes all texts of docs (doc_id, text) to files under the URI `root`; returns the manifest (shard, part, file, n_ids, doc_ids)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0] or []
-    cuts = sorted(set(cuts)) if shards > 1 else []
-    # the number of cuts at or below doc_id, by binary search in the column of cuts
-    marks = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            shard = np.searchsorted(marks.value, ids.fill_null(-(1 << 63)).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), ids, batch.column("text")], names=["shard", "doc_id", "text"])
-
-    dealt = rows.mapInArrow(deal, "shard long, doc_id long, text string").repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "text")
-    return dealt.mapInArrow(_writer(path, root, end_id), "shard long, part long, file string, n_ids long, doc_ids array<long>")
+    order = ["doc_id"]
+    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
+    if not many.isEmpty():
+        key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")
+        marked = join_small(rows.withColumn("key", key), many.select(key, F.lit(True).alias("many")), ["key"])
+        # equal texts of one id may change places, so they are dealt by where they come from
+        rows = marked.select("doc_id", "text", *(F.when(F.col("many"), c).alias(n) for n, c in (("deal", F.xxhash64("text")), ("spread", F.monotonically_increasing_id() % 1024))))
+        order += ["deal", "spread"]
+    shards = max(1, min(MOST_SHARDS, -(-rows.count() // shard_rows)))
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return dealt.mapInArrow(_writer(path, root, end_id, shard_rows, part_ids), "shard long, part long, file string, n_ids long, doc_ids array<long>")
 
 
 def read_token_files(manifest: DataFrame, root: str) -> DataFrame:
