@@ -7,12 +7,18 @@ half; each filter is max-pooled over each chunk. The mean and the maximum over t
 which gives the probability that the text is of good quality. Max-pooling makes training cheap: the gradient goes to the
 one place per chunk and filter that won.
 
-The network is fitted on the driver to a bounded sample: at most `sample` labelled rows (whole texts, at most
-`sample_bytes` in all; rows in the order of a hash of their id, as many good ones as bad where there are enough). It is
-then sent to the tasks and scores every row. Only the text goes into a score; labels, lang, source and ids never do.
+The network is fitted on the driver to a bounded sample: at most `sample` labelled rows (whole texts of at most
+`longest` bytes each and `sample_bytes` in all; rows in the order of a hash of their id, as many good ones as bad where there
+are enough). It is then sent to the tasks and scores every row. Only the text goes into a score; labels, lang, source and
+ids never do.
+
+A text of more than LONG bytes is scored in parts: filters are pooled block by block anyway, and whether eight bytes occurred
+before is settled for one class of hashes after the other. Memory holds the text, two bytes for each of its bytes, and arrays
+of some hundred bytes for each byte of a part.
 
 Defined results: a null or empty text is scored like any other, as one chunk of padding. Every row gives one row, also
-where ids repeat or are null (a null id is not held out). No usable labels, or labels of one kind only: the network is
+where ids repeat or are null (a null id is not held out). Of rows with one labelled id the least text is learned, of several
+labels the greatest. No usable labels, or labels of one kind only: the network is
 not fitted and every score is the share of good labels, or 0.5. An empty table gives an empty result.
 """
 
@@ -32,6 +38,10 @@ HOP = 256
 WIDTH = 6
 FILTERS = 16
 GRAM = 8
+#: Places that the filters are applied to at a time: what they answer stays in the processor's cache.
+BLOCK = 32 * HOP
+#: Bytes over which a text is scored in parts, and bytes of a part.
+LONG = 4 << 20
 
 
 @dataclass
@@ -44,19 +54,23 @@ class Laid:
     ends: np.ndarray  # places whose window would leave the text
 
 
+def _grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """44 bits of a hash of the eight bytes at each of the first n places; past the end there are zeros."""
+    words = np.zeros(n, np.uint64)
+    padded = np.concatenate([raw, np.zeros(GRAM, np.uint8)])
+    for k in range(GRAM):
+        words = words << np.uint64(8) | padded[k : k + n]
+    return (words ^ (words >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+
+
 def _echoes(raw: np.ndarray, row: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether the eight bytes at each place stand earlier in the same text."""
     n = len(raw)
     out = np.zeros(n, np.uint8)
     if n < GRAM:
         return out
-    words = np.zeros(n, np.uint64)
-    padded = np.concatenate([raw, np.zeros(GRAM, np.uint8)])
-    for k in range(GRAM):
-        words = words << np.uint64(8) | padded[k : k + n]
-    # a text's number and 44 bits of a hash in one key, so that one sort does; a slice holds fewer than 2^20 texts
-    words = (words ^ (words >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    key = row.astype(np.uint64) << np.uint64(44) | words >> np.uint64(20)
+    # a text's number and the hash in one key, so that one sort does; a slice holds fewer than 2^20 texts
+    key = row.astype(np.uint64) << np.uint64(44) | _grams(raw, n)
     order = np.argsort(key, kind="stable")
     key = key[order]
     out[order[1:][key[1:] == key[:-1]]] = 1
@@ -65,16 +79,40 @@ def _echoes(raw: np.ndarray, row: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return out
 
 
-def lay(raw: np.ndarray, offsets: np.ndarray) -> Laid:
+def _long_echoes(raw: np.ndarray, part: int) -> np.ndarray:
+    """`_echoes` of one text, by classes of hashes: each pass over the text sorts what falls into its class."""
+    n = len(raw)
+    out = np.zeros(n, np.uint8)
+    classes = -(-n // part)
+    for c in range(classes):
+        keys, places = [], []
+        for a in range(0, n, part):
+            key = _grams(raw[a : a + part + GRAM], min(part, n - a))
+            mine = np.flatnonzero(key % np.uint64(classes) == c)
+            keys.append(key[mine])
+            places.append(mine + a)
+        key, place = np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        out[place[order[1:][key[1:] == key[:-1]]]] = 1
+    out[max(0, n - GRAM + 1) :] = 0
+    return out
+
+
+def lay(raw: np.ndarray, offsets: np.ndarray, long: int = LONG) -> Laid:
     sizes = np.diff(offsets)
     hops = np.maximum(1, -(-(sizes + WIDTH - 1) // HOP))
     base = np.concatenate([[0], np.cumsum(hops * HOP)])
     symbols, echo = np.zeros(int(base[-1]), np.uint8), np.zeros(int(base[-1]), np.uint8)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    to = np.arange(len(raw)) + (base[:-1] - offsets[:-1])[row]
-    symbols[to] = raw
-    echo[to] = _echoes(raw, row, offsets)
-    ends = (base[1:, None] - np.arange(1, WIDTH)[None, :]).ravel()
+    if len(sizes) == 1 and sizes[0] > long:
+        symbols[: len(raw)] = raw
+        echo[: len(raw)] = _long_echoes(raw, long)
+    else:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        to = np.arange(len(raw)) + (base[:-1] - offsets[:-1])[row]
+        symbols[to] = raw
+        echo[to] = _echoes(raw, row, offsets)
+    ends = (base[1:, None] - np.arange(WIDTH - 1, 0, -1)[None, :]).ravel()
     return Laid(symbols, echo, hops, ends)
 
 
@@ -97,21 +135,30 @@ class Net:
     def parts(self) -> list[np.ndarray]:
         return [self.tables, self.echo, self.bias, self.weights]
 
-    def answers(self, x: Laid) -> np.ndarray:
-        """(places, filters) before pooling."""
-        n = len(x.symbols)
-        out = np.take(self.echo + self.bias, x.echo, axis=0)
-        held = np.empty((n, self.bias.shape[0]), np.float32)
+    def answers(self, symbols: np.ndarray, echo: np.ndarray, first: int, last: int, ends: np.ndarray, out: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """(places, filters) of the places first .. last before pooling, in `out`; `ends` in order leave their text."""
+        out, n = out[: last - first], len(symbols)
+        np.take(self.echo + self.bias, echo[first:last], axis=0, out=out, mode="clip")
         for j in range(WIDTH):
-            np.take(self.tables[j], x.symbols, axis=0, out=held)
-            out[: n - j] += held[j:]
-        out[x.ends] = -np.inf
+            size = min(last + j, n) - first - j
+            np.take(self.tables[j], symbols[first + j : first + j + size], axis=0, out=held[:size], mode="clip")
+            out[:size] += held[:size]
+        a, b = np.searchsorted(ends, (first, last))
+        out[ends[a:b] - first] = -np.inf
         return out
 
+    def blocks(self, x: Laid) -> Iterator[tuple[int, np.ndarray]]:
+        """(first hop, answers by hop) of one block after the other; the arrays are used again."""
+        out, held = (np.empty((BLOCK, self.bias.shape[0]), np.float32) for _ in range(2))
+        for a in range(0, len(x.symbols), BLOCK):
+            b = min(a + BLOCK, len(x.symbols))
+            yield a // HOP, self.answers(x.symbols, x.echo, a, b, x.ends, out, held).reshape(-1, HOP, out.shape[1])
+
     def pooled(self, x: Laid) -> tuple[np.ndarray, np.ndarray]:
         """(chunks, filters) after pooling and rectifying, and each text's number of chunks."""
-        n = len(x.symbols) // HOP
-        by_hop = self.answers(x).reshape(n, HOP, -1).max(axis=1)
+        by_hop = np.empty((len(x.symbols) // HOP, self.bias.shape[0]), np.float32)
+        for hop, answers in self.blocks(x):
+            answers.max(axis=1, out=by_hop[hop : hop + len(answers)])
         firsts, chunks = _chunks(x.hops)
         return np.maximum(np.maximum(by_hop[firsts[0]], by_hop[firsts[1]]), 0), chunks
 
@@ -143,9 +190,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def gradients(net: Net, x: Laid, good: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Weighted mean cross-entropy and its gradients, in the order of Net.parts."""
     n, f = len(x.symbols) // HOP, net.bias.shape[0]
-    answers = net.answers(x).reshape(n, HOP, f)
-    place = answers.argmax(axis=1)
-    by_hop = np.take_along_axis(answers, place[:, None, :], axis=1)[:, 0]
+    place, by_hop = np.empty((n, f), np.int64), np.empty((n, f), np.float32)
+    for at, answers in net.blocks(x):
+        here = slice(at, at + len(answers))
+        answers.argmax(axis=1, out=place[here])
+        answers.max(axis=1, out=by_hop[here])
     (a, b), chunks = _chunks(x.hops)
     second = by_hop[b] > by_hop[a]
     raw = np.where(second, by_hop[b], by_hop[a])
@@ -200,17 +249,17 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = 12, batch: int = 64,
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: str, sample: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most `sample` whole texts with their labels, half of each kind where there are enough."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: str, sample: int, sample_bytes: int, longest: int) -> tuple[list[bytes], np.ndarray]:
+    """At most `sample` whole texts of at most `longest` bytes with their labels, half of each kind where there are enough."""
     marks = labels.where("quality in (0, 1)").where(F.expr(learn)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = marks.withColumn("order", F.xxhash64("doc_id"))
     some = marks.where("quality = 1").orderBy("order").limit(sample // 2).union(marks.where("quality = 0").orderBy("order").limit(sample // 2))
     # bounded by `sample` rows of ids, so they may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    fits = rows.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).where(F.col("size") <= sample_bytes // 16)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(some), "doc_id")
+    one = rows.groupBy("doc_id", "order", "quality").agg(F.min("text").alias("text"))
     texts, good, total = [], [], 0
-    for r in fits.orderBy("order").toLocalIterator():
-        text = (r["text"] or "").encode()
+    for r in one.orderBy("order").toLocalIterator():
+        text = r["text"].encode()
         if total + len(text) > sample_bytes:
             break
         total += len(text)
@@ -219,10 +268,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: str, sample: int,
     return texts, np.array(good)
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, learn: str = "crc32(cast(doc_id as string)) % 5 <> 0", sample: int = 3000, sample_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, learn: str = "crc32(cast(doc_id as string)) % 5 <> 0", sample: int = 3000, sample_bytes: int = 16 << 20, longest: int = 1 << 20) -> DataFrame:
     """(doc_id, score) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    texts, good = labelled_sample(docs, labels, learn, sample, sample_bytes)
+    texts, good = labelled_sample(docs, labels, learn, sample, sample_bytes, longest)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(set(good.tolist())) < 2:
         return rows.select("doc_id", F.lit(float(good.mean()) if len(good) else 0.5).alias("score"))
