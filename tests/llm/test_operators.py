@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -162,6 +163,24 @@ def test_token_files(awkward):
     assert token_files.token_files(awkward.limit(0), BPE).count() == 0
 
 
+@pytest.mark.parametrize(("most", "ids"), [(4, 1 << 24), (1000, 600)])
+def test_token_files_of_frequent_ids(make, spark, tmp_path, most, ids):
+    rng = random.Random(37)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(60)] + ["same"] * 30 + [None] * 30
+    docs = make(texts, [rng.choice([7, 8, None]) if i % 2 else i for i in range(60)] + [7] * 30 + [None] * 30).repartition(5)
+    root = f"file://{tmp_path}/ids"
+    manifest = token_files.write_token_files(docs, BPE, root, 0, most, ids).cache()
+    files = manifest.collect()
+    assert max(len(f["doc_ids"]) for f in files) <= most and all(f["n_ids"] <= ids or len(f["doc_ids"]) == 1 for f in files)
+    got = sorted(token_files.read_token_files(manifest, root).collect(), key=lambda r: r["start"])
+    assert [key(r["doc_id"]) for r in got] == sorted(key(r["doc_id"]) for r in got)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    crc = lambda x: zlib.crc32(np.array([*x, 0], "<u4").tobytes())
+    rows = docs.select("doc_id", "text").collect()
+    expected = sorted((key(r["doc_id"]), crc(x)) for r, x in zip(rows, token_ids([r["text"] for r in rows]), strict=True))
+    assert sorted((key(r["doc_id"]), r["ids_crc32"]) for r in got) == expected
+
+
 # --- 5: media ---------------------------------------------------------------------------------------------------------
 def test_jpeg_round_trip(awkward):
     media = jpeg.store(awkward)
@@ -245,6 +264,18 @@ def subsampled(width, height, rng):
     return head + data + b"\xff\xd9", values
 
 
+def test_long_jpegs_are_written_and_read_in_groups(monkeypatch):
+    rng = np.random.default_rng(33)
+    payloads = [rng.integers(0, 256, 192 * n).astype(np.uint8).tobytes() for n in (1, 700, 3, 90)]
+    whole = jpeg.encode(payloads)
+    monkeypatch.setattr(jpeg, "GROUP", 40)
+    assert jpeg.encode(payloads) == whole
+    read = jpeg.decode(whole)
+    assert [jpeg.payload(d) for d in read] == payloads
+    monkeypatch.undo()
+    assert [jpeg.feature(d) for d in jpeg.decode(whole)] == [jpeg.feature(d) for d in read]
+
+
 def test_jpeg_against_a_bitwise_decoder():
     rng = np.random.default_rng(6)
     payloads = [bytes(range(256)) * 3, b"\x80" * 384, (b"\x80" * 63 + b"\xff") * 15, b"\xff" * 1728, rng.integers(0, 256, 192 * 37, dtype=np.uint8).tobytes()]
@@ -396,8 +427,8 @@ def test_suffix_order(alphabet):
     rng = random.Random(10)
     raw = np.frombuffer(bytes(rng.choice(alphabet.encode()) for _ in range(900)) * 2, np.uint8)
     positions = np.arange(len(raw) - 230)
-    for bucket in (np.zeros(len(positions), np.int64), positions % 3):
-        order = suffix_dedup.suffix_order(raw, np.arange(len(raw)) + 3, positions, bucket, 200)
+    for bucket in (np.zeros(len(positions), np.int64), positions % 3, positions % 7, positions % 7 + (positions % 2) * (1 << 40)):
+        order = suffix_dedup.suffix_order(suffix_dedup._Big(raw), np.arange(len(raw)) + 3, positions, bucket, 200)
         keys = [(bucket[p], raw[p : p + 200].tobytes()) for p in positions[order]]
         assert keys == sorted(keys)
     hit = suffix_dedup.repeated_positions(raw, np.arange(len(raw)), positions, np.zeros(len(positions), np.int64))
@@ -458,14 +489,13 @@ def test_repairs_are_cheapest_and_legal():
             assert legal(heads) and text.count("<|im_end|>") == len(heads) == text.count("<|im_start|>")
 
 
-def test_conversations(spark, monkeypatch):
+def test_conversations(spark):
     rng = random.Random(11)
-    monkeypatch.setattr(chat, "SEGMENT", 7)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None, " User "]), f"x{t}") for c in range(25) for t in range(rng.randint(1, 6))]
     rows += [(777, t, rng.choice(["user", "assistant", "system"]), f"y{t}") for t in range(150)] + [(None, 1, "user", "n"), (None, None, None, None), (3, 0, "user", "x0"), (3, 0, "user", "x0")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, key string").repartition(3)
     got = collections.defaultdict(list)
-    for r in chat.repair_conversations(df).collect():
+    for r in chat.repair_conversations(df, 7).collect():
         got[r["conv_id"]].append(r)
     order = lambda r: tuple((v is not None, v if v is not None else "") for v in r)
     given = collections.defaultdict(list)
@@ -529,6 +559,52 @@ def test_gradients_match_differences():
         assert (up - down) / (2 * step) == pytest.approx(grad[at], rel=0.15, abs=2e-3)
 
 
+def slow_score(net, text):
+    """The network's probability for one text, place by place in plain Python."""
+    hops = max(1, -(-(len(text) + byte_cnn.WIDTH - 1) // 256))
+    padded = text + bytes(hops * 256 - len(text))
+    best = []
+    for hop in range(hops):
+        top = [-float("inf")] * 16
+        for p in range(hop * 256, min(hop * 256 + 256, len(padded) - byte_cnn.WIDTH + 1)):
+            echo = int(p + 8 <= len(text) and text.find(text[p : p + 8]) < p)
+            for f in range(16):
+                x = float(net.echo[echo, f]) + float(net.bias[f]) + sum(float(net.tables[j, padded[p + j], f]) for j in range(byte_cnn.WIDTH))
+                top[f] = max(top[f], x)
+        best.append(top)
+    chunks = [[max(0.0, *(x[f] for x in best[i : i + 2])) for f in range(16)] for i in range(max(1, hops - 1))]
+    mean, most = [sum(c[f] for c in chunks) / len(chunks) for f in range(16)], [max(c[f] for c in chunks) for f in range(16)]
+    z = sum(float(w) * x for w, x in zip(net.weights, [*mean, *most, 1.0], strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(29)
+    texts = [b"", b"a", b"abcdefgh" * 3, "naïve Über".encode(), *(prose(rng, n).encode() for n in (40, 90, 160, 300)), b"x" * 252, b"y" * 251, bytes(range(256)) * 3]
+    net = byte_cnn.Net.start(5)
+    net.echo[1] = np.linspace(-1, 1, 16)
+    net.bias += np.linspace(-0.5, 0.5, 16).astype(np.float32)
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    got = net.score(byte_cnn.lay(whole, np.cumsum([0, *map(len, texts)])))
+    assert got == pytest.approx([slow_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_long_texts_are_scored_in_parts():
+    rng = random.Random(31)
+    text = np.frombuffer((prose(rng, 3000) + prose(rng, 50) * 3).encode(), np.uint8)
+    net, ends = byte_cnn.Net.start(6), np.array([0, len(text)])
+    whole, parted = byte_cnn.lay(text, ends), byte_cnn.lay(text, ends, 1000)
+    assert (whole.echo == parted.echo).all() and whole.echo.any()
+    assert net.score(whole) == net.score(parted)
+
+
+def test_of_repeated_ids_one_text_is_learned(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c" * 20), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, quality int")
+    texts, good = byte_cnn.labelled_sample(docs, labels, "true", 10, 100, 19)
+    assert sorted(zip(texts, good.tolist(), strict=True)) == [(b"", 1), (b"d", 0)]
+
+
 def test_classifier_held_out(spark, make, awkward):
     rows = texts_and_labels(500, 13)
     docs = make([t for t, _ in rows])
