@@ -52,16 +52,18 @@ LENGTH = 200
 GRAM = 40
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
-#: Bytes of fragments that a task sorts at a time.
-BLOCK = 4 << 20
+#: Bytes of fragments that a task sorts at a time; a larger bucket makes a block of its own.
+BLOCK = 512 << 10
 #: Fragments over which a bucket is dealt by classes of offsets, and how wide these are, one after the other.
-HOT = 1_000
+HOT = 10_000
 CLASSES = (16, 1)
 #: Texts in the sample for common anchors, and the kinds of fragments there that make an anchor common.
 SAMPLE, COMMON = 4_000, 12
 #: Most anchors that are dealt so from the start; any others are found after step 2.
 MOST_COMMON = 4_096
 COVER, PERIOD = (0, 1, 3), 7
+#: Bits of a key that orders by bucket, bytes and rank at once.
+KEY_BITS = 63
 
 def fragments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(anchor hash, row, first position in the row, positions, anchor - first) of all rows' fragments.
@@ -328,52 +330,72 @@ def _bytes_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*longs, pa.array(at[part].astype(np.int32)), content], names=["anchor", "doc", "first", "n", "at", "content"])
 
 
-def _words(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The n <= 8 bytes at each position as one big-endian number; raw is padded."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(n):
-        out = out << np.uint64(8) | raw[at + k].astype(np.uint64)
+class _Big:
+    """Bytes whose next eight from any place on are read as one big-endian number, zeros following the last."""
+
+    def __init__(self, raw: np.ndarray):
+        self.at = np.ndarray(len(raw) + 1, ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+
+    def words(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The n = 1 .. 8 bytes at each place."""
+        return self.at[at].astype(np.uint64) >> np.uint64(64 - 8 * n)
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal values having equal ranks."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(values)])
     return out
 
 
-def cover_ranks(raw: np.ndarray, coordinate: np.ndarray, depth: int) -> np.ndarray:
+def cover_ranks(big: _Big, coordinate: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the cover samples by their next `depth` bytes at least (equal bytes, equal rank), at their positions.
 
     A sample is a position whose coordinate modulo 7 is in the cover. Its rank by 7 bytes is refined by doubling: the
     position 7, 14, 28, ... bytes on is a sample as well, or past the end (rank 0).
     """
-    n = len(coordinate)
-    is_sample = np.isin(coordinate % PERIOD, COVER)
-    where = np.flatnonzero(is_sample)
-    rank = np.zeros(n + depth * 2 + PERIOD, np.int64)
-    padded = np.concatenate([raw, np.zeros(PERIOD + 1, np.uint8)])
-    _, inverse = np.unique(_words(padded, where, PERIOD), return_inverse=True)
-    rank[where] = inverse + 1
+    residue = coordinate % PERIOD
+    where = np.flatnonzero((residue == COVER[0]) | (residue == COVER[1]) | (residue == COVER[2]))
+    rank = np.zeros(len(coordinate) + depth * 2 + PERIOD, np.int64)
+    rank[where] = _ranks(big.words(where, PERIOD))
     have = PERIOD
     while have < depth:
-        pair = rank[where] * (len(where) + 1) + rank[where + have]
-        _, inverse = np.unique(pair, return_inverse=True)
-        rank[where] = inverse + 1
+        rank[where] = _ranks(rank[where] * (len(where) + 1) + rank[where + have])
         have *= 2
     return rank
 
 
-def suffix_order(raw: np.ndarray, coordinate: np.ndarray, positions: np.ndarray, bucket: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+#: Bytes from a position of each residue to the next sample: three at most.
+_REACH = np.array([min((d - r) % PERIOD for d in COVER) for r in range(PERIOD)])
+
+
+def suffix_order(big: _Big, coordinate: np.ndarray, positions: np.ndarray, bucket: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Indices that sort `positions` by bucket and then by their next `depth` bytes.
 
-    Coordinates must grow by one from byte to byte wherever compared strings lie. Ties over seven bytes are sorted by the
-    rank of the first sample on the way, within each residue; where a tie holds several residues, the residues' sorted
-    lists are merged by comparisons at the distance that the cover gives for the pair.
+    Coordinates must grow by one from byte to byte wherever compared strings lie. Where all positions of a bucket have one
+    residue, the bytes before the next sample and that sample's rank order them. Otherwise ties over seven bytes are sorted
+    by the rank of the first sample on the way, within each residue, and where a tie holds several residues, the residues'
+    sorted lists are merged by comparisons at the distance that the cover gives for the pair.
     """
-    rank = cover_ranks(raw, coordinate, depth)
-    reach = np.array([min((d - r) % PERIOD for d in COVER) for r in range(PERIOD)])
+    if not len(positions):
+        return np.zeros(0, np.int64)
+    rank = cover_ranks(big, coordinate, depth)
     residue = coordinate[positions] % PERIOD
-    padded = np.concatenate([raw, np.zeros(PERIOD + 1, np.uint8)])
-    head = _words(padded, positions, PERIOD)
-    later = rank[positions + reach[residue]]
+    later = rank[positions + _REACH[residue]]
+    of_bucket = np.zeros(int(bucket.max()) + 1, residue.dtype)
+    of_bucket[bucket] = residue
+    if (of_bucket[bucket] == residue).all():
+        before = big.words(positions, 3).astype(np.int64) >> (8 * (3 - _REACH[residue]))
+        top = int(later.max()) + 1
+        if (len(of_bucket) << 24) * top < 1 << KEY_BITS:
+            return np.argsort((bucket << 24 | before) * top + later)
+        return np.lexsort((before * top + later, bucket))
+    head = big.words(positions, PERIOD)
     order = np.lexsort((later, residue, head, bucket))
     b, h, r = bucket[order], head[order], residue[order]
-    tie = np.concatenate([[0], np.cumsum((b[1:] != b[:-1]) | (h[1:] != h[:-1]))]) if len(order) else np.zeros(0, np.int64)
+    tie = np.concatenate([[0], np.cumsum((b[1:] != b[:-1]) | (h[1:] != h[:-1]))])
     mixed = np.unique(tie[1:][(tie[1:] == tie[:-1]) & (r[1:] != r[:-1])])
     if len(mixed):
         from functools import cmp_to_key
@@ -393,15 +415,15 @@ def suffix_order(raw: np.ndarray, coordinate: np.ndarray, positions: np.ndarray,
 
 def repeated_positions(raw: np.ndarray, coordinate: np.ndarray, positions: np.ndarray, bucket: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which positions' `length`-byte strings are found at another position of the same bucket."""
-    order = suffix_order(raw, coordinate, positions, bucket, length)
+    big = _Big(raw)
+    order = suffix_order(big, coordinate, positions, bucket, length)
     p = positions[order]
     if len(p) < 2:
         return np.zeros(len(p), bool)
     live = np.flatnonzero(bucket[order][1:] == bucket[order][:-1])
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     for k in range(0, length, 8):  # byte by byte, eight at a time
-        n = min(8, length - k)
-        live = live[_words(padded, p[live] + k, n) == _words(padded, p[live + 1] + k, n)]
+        shift = np.uint64(64 - 8 * min(8, length - k))
+        live = live[(big.at[p[live] + k] ^ big.at[p[live + 1] + k]) >> shift == 0]
     out = np.zeros(len(p), bool)
     out[order[live]] = True
     out[order[live + 1]] = True
