@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import frontmatter as Y
+from docloom.functions import ids as I
 from docloom.functions import links as L
 from docloom.functions import text as T
-
-
-class Rounds:
-    """Tables written round by round in the shared folder, so that no plan grows with their number. Spark removes the
-    folder at its end."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='docloom-')}/rounds-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.root}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+from docloom.plans.scratch import Rounds
 
 
 def parents(docs: DataFrame) -> DataFrame:
@@ -99,22 +82,27 @@ def trace(docs: DataFrame, node: str, depth: int = 3, backlinks: bool = False, m
     return parent.union(child).union(links.orderBy(F.desc("ref_type"), "source", "target").limit(most))
 
 
-def tree(docs: DataFrame, depth: int | None = None, kind: str | None = None, orphans_only: bool = False) -> DataFrame:
-    """The hierarchy in preorder: (node, depth, parent, doc_kind, children, is_last, is_orphan, words, sort_path).
+def tree(docs: DataFrame, depth: int | None = None, kind: str | None = None, orphans_only: bool = False, root: str | None = None) -> DataFrame:
+    """The hierarchy in preorder: (node, depth, parent, doc_kind, children, is_last, above_last, is_orphan, words, sort_path).
 
     Roots have no parent, or one that isn't there. Children are sorted by name; a node's sort path is the names from the
-    root, so ordering by it is preorder. Built level by level with one join each, until a level is empty or `depth` is
-    reached; each level is written, so the plan does not grow. Nodes on or below a cycle have no root: without `depth` and
-    `kind` they follow as orphans of depth 0 and kind "cyclic". `kind` prunes subtrees, `orphans_only` does not.
+    root, so ordering by it is preorder; `above_last` says of each ancestor from the root whether it is its parent's last.
+    Built level by level with one join each, until a level is empty or `depth` is reached; each level is written, so the plan
+    does not grow. Nodes on or below a cycle have no root: without `depth` and `kind` they follow as orphans of depth 0 and
+    kind "cyclic". `kind` prunes subtrees, `orphans_only` does not. `root` keeps the files whose names start with it; depths
+    are then those of their numbers below it.
     """
+    if root is not None:
+        docs = docs.where(F.col("stem").startswith(root))
     up = parents(docs).groupBy("node").agg(F.max("parent").alias("parent"))
     words = docs.groupBy(F.col("stem").alias("node")).agg(F.max(T.words(F.col("content"))).alias("words"))
     nodes = words.join(up, "node", "left")
-    known = words.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, "parent", "left")
-    counts = up.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-    last = F.row_number().over(Window.partitionBy(F.when(F.col("known"), F.col("parent"))).orderBy(F.desc("node"))) == 1
-    nodes = nodes.join(counts, "node", "left").withColumn("children", F.coalesce("children", F.lit(0))).withColumn("is_last", last)
+    below = up.groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.max("node").alias("last_child"))
+    known = words.select(F.col("node").alias("parent"), F.lit(True).alias("known")).join(below.select("parent", "last_child"), "parent", "left")
+    nodes = nodes.join(known, "parent", "left").join(below.select(F.col("parent").alias("node"), "children"), "node", "left")
+    rounds = Rounds(docs.sparkSession)
+    nodes = rounds.write(nodes.withColumn("children", F.coalesce("children", F.lit(0))))
+    last_root = nodes.where("known is null").agg(F.max("node").alias("last_root"))  # one row
     is_orphan = F.col("parent").isNotNull() & F.col("known").isNull()
 
     def with_kind(df: DataFrame, level: int) -> DataFrame:
@@ -122,29 +110,86 @@ def tree(docs: DataFrame, depth: int | None = None, kind: str | None = None, orp
         df = df.withColumn("doc_kind", name).withColumn("depth", F.lit(level))
         return df.where(F.col("doc_kind") == kind) if kind else df
 
-    rounds = Rounds(docs.sparkSession)
-    nodes = rounds.write(nodes)
-    level = rounds.write(with_kind(nodes.where("known is null").withColumn("sort_path", F.array("node")), 0))
-    out, i = level, 0
+    none = F.array().cast("array<boolean>")
+    roots = nodes.where("known is null").crossJoin(F.broadcast(last_root)).withColumn("is_last", F.col("node") == F.col("last_root")).drop("last_root", "last_child")
+    level = rounds.write(with_kind(roots.withColumns({"sort_path": F.array("node"), "above_last": none}), 0))
+    levels, i = [level], 0
     while (depth is None or i < depth) and not level.isEmpty():
         i += 1
-        below = level.select(F.col("node").alias("parent"), F.col("sort_path").alias("above"))
-        level = rounds.write(with_kind(nodes.where("known").join(below, "parent").withColumn("sort_path", F.concat("above", F.array("node"))).drop("above"), i))
-        out = rounds.write(out.unionByName(level))
-    out = out.withColumn("is_orphan", is_orphan)
+        above = level.select(F.col("node").alias("parent"), F.col("sort_path").alias("_path"), F.concat("above_last", F.array("is_last")).alias("above_last"))
+        found = nodes.where("known").join(above, "parent").withColumns({"sort_path": F.concat("_path", F.array("node")), "is_last": F.col("node") == F.col("last_child")})
+        level = rounds.write(with_kind(found.drop("_path", "last_child"), i))
+        levels.append(level)
+        if len(levels) > 32:  # a deep tree's levels become one table
+            levels = [rounds.write(reduce(DataFrame.unionByName, levels))]
+    out = reduce(DataFrame.unionByName, levels).withColumn("is_orphan", is_orphan)
     if depth is None and kind is None:
-        lost = nodes.join(out.select("node"), "node", "left_anti").withColumns({"sort_path": F.array("node"), "doc_kind": F.lit("cyclic"), "depth": F.lit(0), "is_orphan": F.lit(True)})
+        lost = nodes.join(out.select("node"), "node", "left_anti").drop("last_child")
+        lost = lost.withColumns({"sort_path": F.array("node"), "doc_kind": F.lit("cyclic"), "depth": F.lit(0), "is_orphan": F.lit(True), "is_last": F.lit(False), "above_last": none})
         out = out.unionByName(lost)
+    if root is not None:
+        out = out.withColumn("depth", F.greatest(F.lit(0), I.dots(F.col("node")) - F.lit(root_dots(root))).cast("int"))
     out = out.where("is_orphan") if orphans_only else out
-    return out.select("node", "depth", "parent", "doc_kind", "children", "is_last", "is_orphan", "words", "sort_path")
+    return out.select("node", "depth", "parent", "doc_kind", "children", "is_last", "above_last", "is_orphan", "words", "sort_path")
+
+
+def root_dots(root: str) -> int:
+    """Dots among the leading digits and dots of a root's name."""
+    lead = root[: len(root) - len(root.lstrip("0123456789."))]
+    return lead.count(".")
 
 
 def tree_text(nodes: DataFrame) -> DataFrame:
-    """One line per node of `tree`, with its prefix."""
-    bar = F.when(F.col("depth") == 0, "").otherwise(F.concat(F.repeat(F.lit("│   "), F.col("depth") - 1), F.when(F.col("is_last"), "└── ").otherwise("├── ")))
+    """One line per node of `tree`, with its prefix: a column for each level above its own, blank below a last node."""
+    n = F.greatest(F.col("depth") - 1, F.lit(0))
+    columns = F.transform(F.slice("above_last", F.lit(1), n), lambda last: F.when(last, "    ").otherwise("│   "))
+    missing = F.repeat(F.lit("    "), F.greatest(n - F.size("above_last"), F.lit(0)))
+    bar = F.when(F.col("depth") == 0, "").otherwise(F.concat(F.array_join(columns, ""), missing, F.when(F.col("is_last"), "└── ").otherwise("├── ")))
     return nodes.select("sort_path", F.concat(bar, "node").alias("line"))
 
 
+def tree_totals(nodes: DataFrame) -> DataFrame:
+    """One row: nodes, deepest depth, orphans, words."""
+    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.count_if("is_orphan").alias("orphans"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+
+
+def trace_totals(references: DataFrame) -> DataFrame:
+    """One row over rows of `trace`: references, distinct documents, impact (the others than the start), deepest depth."""
+    ends = references.select(F.explode(F.array("source", "target")).alias("node"))
+    n = ends.agg(F.count_distinct("node").alias("documents"))
+    one = references.agg(F.count(F.lit(1)).alias("references"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    return one.crossJoin(F.broadcast(n)).withColumn("impact", F.greatest(F.col("documents") - 1, F.lit(0)))  # one row each
+
+
+def graph_totals(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: nodes (known or named by an edge), edges, edges by kind."""
+    named = nodes.select("node").union(pairs.select("src")).union(pairs.select("dst")).agg(F.count_distinct("node").alias("nodes"))
+    kinds = pairs.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("kind") == "hierarchy").alias("hierarchy"), F.count_if(F.col("kind") == "link").alias("links"))
+    return named.crossJoin(F.broadcast(kinds))  # one row each
+
+
+def level_order(nodes: DataFrame) -> DataFrame:
+    """(node, depth, place): rows of `tree` with their place in breadth-first order, numbered within each depth."""
+    from pyspark.sql import Window
+
+    return nodes.select("node", "depth", F.row_number().over(Window.partitionBy("depth").orderBy("sort_path")).alias("place"))
+
+
+def post_order(nodes: DataFrame) -> DataFrame:
+    """(node, key): ordering by key gives children before their parents, siblings by name."""
+    step = lambda end, name: F.struct(F.lit(end).alias("end"), name.alias("name"))
+    return nodes.select("node", F.concat(F.transform("sort_path", lambda x: step(False, x)), F.array(step(True, F.lit("")))).alias("key"))
+
+
+def subtree(nodes: DataFrame, node: str) -> DataFrame:
+    """Rows of `tree` at or below a node."""
+    return nodes.where(F.array_contains("sort_path", node))
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    return nodes.where("children = 0")
+
+
 def peel(pairs: DataFrame, rounds: int) -> DataFrame:
     """Edges that may lie on a cycle: ends without an incoming or without an outgoing edge are removed, round by round."""
     for _ in range(rounds):
@@ -215,8 +260,6 @@ def cyclic(pairs: DataFrame) -> DataFrame:
 
 def id_tree(docs: DataFrame) -> DataFrame:
     """(doc_id, parent_id, depth, module, is_leaf) with parents derived from the ids themselves."""
-    from docloom.functions import ids as I
-
     own = docs.where(I.parts(F.col("doc_id")).isNotNull()).select("doc_id").distinct()
     own = own.select("doc_id", I.parent(F.col("doc_id")).alias("parent_id"), I.depth(F.col("doc_id")).cast("long").alias("depth"), I.module(F.col("doc_id")).alias("module"))
     inner = own.where("parent_id is not null").select(F.col("parent_id").alias("doc_id")).distinct().withColumn("inner", F.lit(True))

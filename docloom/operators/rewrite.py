@@ -105,11 +105,12 @@ def archivable(docs: DataFrame, statuses: str = "deprecated,obsolete,archived")
     return docs.where(F.exists(parts, lambda s: F.contains(status, s))).select("path", "stem", status.alias("status"), Y.first_field(F.col("content"), "document_id").alias("document_id"))
 
 
-def mark_archived(docs: DataFrame, names: list[str], mark: str = " (ARCHIVADO)") -> DataFrame:
-    """Links to archived documents marked, name by name."""
+def mark_archived(docs: DataFrame, ids: list[str], mark: str = " (ARCHIVADO)") -> DataFrame:
+    """References to archived documents marked, id by id: wiki links, links in single brackets, and parent fields, in this
+    order, so the brackets inside a wiki link are marked as well."""
     content = F.col("content")
-    for n in names:
-        for a in (f"[[{n}]]", f"({n}.md)"):
+    for i in ids:
+        for a in (f"[[{i}]]", f"[{i}]", f"parent_id: {i}"):
             content = F.replace(content, F.lit(a), F.lit(a + mark))
     return docs.withColumn("content", content)
 

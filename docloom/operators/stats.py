@@ -110,12 +110,17 @@ def coverage_classes(df: DataFrame, words: Column | None = None) -> DataFrame:
 
 
 def modules(docs: DataFrame) -> DataFrame:
-    """(module, documents, words, average, health, children) by the `module:` field."""
-    d = docs.withColumn("module", Y.first_field(F.col("content"), "module")).where("module is not null").withColumn("w", _words())
-    g = d.groupBy("module").agg(F.count(F.lit(1)).alias("documents"), F.sum("w").alias("words"), F.slice(F.array_sort(F.collect_list("stem")), 1, 5).alias("children"))
+    """(module, documents, words, average, health) by the `module:` field; documents without one are "sin_modulo"."""
+    module = F.coalesce(Y.first_field(F.col("content"), "module"), F.lit("sin_modulo"))
+    g = docs.groupBy(module.alias("module")).agg(F.count(F.lit(1)).alias("documents"), F.sum(_words()).alias("words"))
     average = F.floor(F.col("words") / F.col("documents")).cast("long")
     health = F.when(average <= 50, 40).when(average <= 200, 70).when(average <= 500, 90).otherwise(100)
-    return g.select("module", "documents", "words", average.alias("average"), health.cast("long").alias("health"), "children")
+    return g.select("module", "documents", "words", average.alias("average"), health.cast("long").alias("health"))
+
+
+def module_children(docs: DataFrame, module: str) -> DataFrame:
+    """(path) of the documents of one module."""
+    return docs.where(F.coalesce(Y.first_field(F.col("content"), "module"), F.lit("sin_modulo")) == module).select("path")
 
 
 def module_registry(docs: DataFrame) -> DataFrame:
@@ -142,30 +147,39 @@ def band(score: Column) -> Column:
 
 
 def health(docs: DataFrame) -> DataFrame:
-    """(metric, value, weight, status), and the overall row with its grade."""
+    """(metric, value, weight, status), and the overall row with its grade; metadata has the coverage's value."""
     q = quick(docs)
-    cover = F.when(F.col("files") == 0, 0).otherwise(F.floor(F.col("with_frontmatter") / F.col("files") * 100))
+    cover = F.when(F.col("files") == 0, 100).otherwise(F.floor(F.col("with_frontmatter") / F.col("files") * 100))
     average = F.when(F.col("files") == 0, 0).otherwise(F.floor(F.col("words") / F.col("files")))
     structure = F.when(average >= 500, 100).when(average >= 300, 85).when(average >= 100, 60).otherwise(30)
-    base = q.select(cover.cast("double").alias("coverage"), F.lit(95.0).alias("links"), structure.cast("double").alias("structure"), F.when(F.col("files") > 0, 100.0).otherwise(0.0).alias("files"))
-    weights = {"coverage": 1.0, "links": 0.8, "structure": 1.2, "files": 0.5}
+    base = q.select(cover.cast("double").alias("coverage"), F.lit(95.0).alias("links"), structure.cast("double").alias("structure"), cover.cast("double").alias("metadata"))
+    weights = {"coverage": 1.0, "links": 0.8, "structure": 1.2, "metadata": 0.5}
     overall = F.round(sum(F.col(k) * w for k, w in weights.items()) / sum(weights.values()))
     rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"), F.lit(w).alias("weight")) for k, w in weights.items()], F.struct(F.lit("overall").alias("metric"), overall.alias("value"), F.lit(None).cast("double").alias("weight")))
     return base.select(F.explode(rows).alias("m")).select("m.*").withColumn("status", band(F.col("value"))).withColumn("grade", F.when(F.col("metric") == "overall", grade(F.col("value"))))
 
 
-def audit(docs: DataFrame) -> DataFrame:
-    """(seq, category, severity, title, n, affected): up to five findings, and their order by severity."""
-    status = links.classify(docs).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
-    issue = lint.lint(docs).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
-    low = docs.where(_words() < 100).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("path")).alias("paths")).where("n > 10")
-    ten = F.slice("paths", 1, 10)
-    finding = lambda df, seq, cat, sev, title, paths: df.select(F.lit(seq).alias("seq"), F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.lit(title).alias("title"), "n", paths.alias("affected"))
-    none = F.array().cast("array<string>")
+def audit(docs: DataFrame, most: int = 10) -> DataFrame:
+    """(seq, category, severity, title, n, affected, rank): up to five findings and their order by severity; `affected` names
+    the first `most` files. Links and issues are written once; a finding is a count and a top-`most` of them."""
+    from docloom.plans.scratch import Rounds
+
+    rounds = Rounds(docs.sparkSession, "audit")
+    status = rounds.write(links.classify(docs).select("status", "path"))
+    issue = rounds.write(lint.lint(docs).select("severity", "path"))
+    low = rounds.write(docs.where(_words() < 100).select("path"))
+
+    def finding(df: DataFrame, seq: int, category: str, severity: int, title: str, named: bool = True, over: int = 0) -> DataFrame:
+        first = df.select("path").distinct().orderBy("path").limit(most if named else 0)  # bounded
+        affected = first.agg(F.array_sort(F.collect_list("path")).alias("affected"))
+        one = df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over)
+        made = one.crossJoin(F.broadcast(affected))  # one row each
+        return made.select(F.lit(seq).alias("seq"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), "n", "affected")
+
     parts = [
-        finding(status.where("status = 'broken'"), 1, "links", 4, "broken links", ten), finding(status.where("status = 'nonstandard'"), 2, "links", 3, "links with a path", ten),
-        finding(issue.where("severity = 'error'"), 3, "content", 4, "lint errors", ten), finding(issue.where("severity = 'warning'"), 4, "content", 2, "lint warnings", none),
-        finding(low, 5, "content", 3, "little content", ten),
+        finding(status.where("status = 'broken'"), 1, "links", 4, "broken links"), finding(status.where("status = 'nonstandard'"), 2, "links", 3, "links with a path"),
+        finding(issue.where("severity = 'error'"), 3, "content", 4, "lint errors"), finding(issue.where("severity = 'warning'"), 4, "content", 2, "lint warnings", False),
+        finding(low, 5, "content", 3, "little content", True, 10),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -94,11 +94,11 @@ def wiki_targets(docs: DataFrame) -> DataFrame:
 
 
 def internal_links(docs: DataFrame) -> DataFrame:
-    """Targets must be files of the root folder. Failing that, a stem that differs in case at most is an error, and
-    anything else but mentions a warning."""
-    root = docs.where(~F.contains("path", F.lit("/"))).select(F.regexp_replace("path", r"\.md$", "").alias("name")).distinct()
+    """Targets must be files, by their path from the corpus's root. Failing that, a stem that differs in case at most is an
+    error, and anything else but mentions a warning."""
+    files = docs.select(F.regexp_replace("path", r"\.md$", "").alias("name")).distinct()
     stems = docs.groupBy(F.lower("stem").alias("low")).agg(F.max("stem").alias("correct"))
-    lost = wiki_targets(docs).join(root, "name", "left_anti").withColumn("low", F.lower("name")).join(stems, "low", "left")
+    lost = wiki_targets(docs).join(files, "name", "left_anti").withColumn("low", F.lower("name")).join(stems, "low", "left")
     wrong = F.col("correct").isNotNull()
     lost = lost.where(wrong | ~(F.col("link").startswith("@") | F.contains("link", F.lit("_"))))
     detail = F.when(wrong, F.concat("link", F.lit(" -> "), "correct")).otherwise(F.col("link"))
@@ -175,9 +175,9 @@ def duplicate_titles(docs: DataFrame) -> DataFrame:
 
 
 def orphans(docs: DataFrame) -> DataFrame:
-    """No real parent, and nothing links to the stem."""
-    linked = wiki_targets(docs).select(F.lower(F.substring_index("name", "/", -1)).alias("low")).distinct()
-    alone = docs.where(~F.col("file_name").startswith("0.") & (F.col("parent").isNull() | F.col("parent").isin("0", "null", "")))
+    """No parent but "0", and no link names the stem; a link with an anchor or a folder names another."""
+    linked = docs.select(F.explode(L.all_of(F.col("content"), L.WIKI_NAME)).alias("raw")).select(F.lower("raw").alias("low")).distinct()
+    alone = docs.where(~F.col("file_name").startswith("0.") & (F.col("parent").isNull() | F.col("parent").isin("0", "")))
     return _issues(alone.withColumn("low", F.lower("stem")).join(linked, "low", "left_anti"), 19, "warning", F.col("stem"))
 
 

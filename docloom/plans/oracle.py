@@ -20,8 +20,9 @@ _REST = (
 raw AS (SELECT path, content, mtime_s, regexp_extract(path, '[^/]*$') AS file_name FROM corpus),
 docs0 AS (
   SELECT path, content, mtime_s, file_name, regexp_replace(file_name, '\.[^.]*$', '') AS stem, strlen(content) AS size,
-    substr(content, 4, strpos(substr(content, 4), '---') - 1) AS yaml, substr(content, strpos(substr(content, 4), '---') + 6) AS body
-  FROM raw
+    CASE WHEN closed THEN substr(content, 4, strpos(substr(content, 4), '---') - 1) END AS yaml,
+    CASE WHEN closed THEN substr(content, strpos(substr(content, 4), '---') + 6) ELSE content END AS body, closed
+  FROM (SELECT *, starts_with(content, '---') AND strpos(substr(content, 4), '---') > 0 AS closed FROM raw)
 ),
 docs AS (SELECT *, """
     + ", ".join(f"{_field(n)} AS {c}" for c, n in FIELDS.items())
@@ -43,8 +44,6 @@ up AS (
 """
 )
 PREFIX = "WITH " + corpus_sql().strip() + _REST
-#: Over the corpus with a file per row of documents.
-WHOLE_PREFIX = "WITH " + corpus_sql(whole=True).strip() + _REST
 
 
 def words(x: str) -> str:

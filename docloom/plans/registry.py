@@ -17,7 +17,7 @@ from docloom.functions import links as L
 from docloom.functions import text as T
 from docloom.operators import diff, export, graph, links, lint, registry, rewrite, schema, search, stats, verify
 from docloom.plans import tables
-from docloom.plans.oracle import PREFIX, WHOLE_PREFIX, first, words
+from docloom.plans.oracle import PREFIX, first, words
 from docloom.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _corpus(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    """Register a query over the corpus, and as whole_<name> over the corpus with a file per row of documents."""
-    for key, prefix, whole in ((name, PREFIX, False), (f"whole_{name}", WHOLE_PREFIX, True)):
-        QUERIES[key] = lambda spark, sf_dir, whole=whole: query(tables.docs(spark, sf_dir, whole))
-        if sql:
-            ORACLE_SQL[key] = prefix.rstrip() + ("," + sql.strip()[1:] if sql.strip().startswith("+") else " " + sql)
+    """Register a query over the corpus, which has a file per row of documents."""
+    QUERIES[name] = lambda spark, sf_dir: query(tables.docs(spark, sf_dir))
+    if sql:
+        start = sql.strip()
+        recursive = start.startswith("+R")
+        prefix = PREFIX.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else PREFIX
+        ORACLE_SQL[name] = prefix.rstrip() + ("," + start[1 + recursive :] if start.startswith("+") else " " + sql)
 
 
 def _direct(name: str, query: Callable[..., DataFrame], names: tuple[str, ...], sql: str | None = None) -> None:
@@ -56,8 +58,10 @@ def _listed(values: tuple[str, ...]) -> str:
 _names = {"id": "doc_id", "title": "title", "parent": "parent", "breadcrumb": "breadcrumb", "type": "doc_type", "status": "status"}
 _missing = "[" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{n}' END" for n, c in _names.items()) + "]"
 _phase(1, "SELECT 'error' AS severity, NULL::VARCHAR AS path, 'no files' AS detail WHERE (SELECT count(*) FROM docs) = 0")
+_corpus("empty_corpus", lambda d: verify.file_count(d.where("path = ''")).select("severity", "detail"), "SELECT 'error' AS severity, 'no files' AS detail WHERE (SELECT count(*) FROM docs WHERE path = '') = 0")
 _phase(2, f"""+ m AS (SELECT path, list_filter({_missing}, lambda x: x IS NOT NULL) AS m FROM docs)
-SELECT 'error' AS severity, path, 'missing: ' || array_to_string(m, ', ') AS detail FROM m WHERE len(m) > 0""")
+SELECT 'error' AS severity, path, CASE WHEN NOT starts_with(content, '---') THEN 'no frontmatter' WHEN NOT closed THEN 'not closed' ELSE 'missing: ' || array_to_string(m, ', ') END AS detail
+FROM m JOIN docs USING (path) WHERE len(m) > 0 OR NOT closed""")
 _phase(3, """SELECT 'error' AS severity, min(path) AS path, doc_id || ': ' || string_agg(path, ', ' ORDER BY path) AS detail
 FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1""")
 _phase(4, """SELECT 'error' AS severity, path, parent AS detail FROM docs
@@ -100,8 +104,8 @@ _phase(17, "+ p AS (SELECT path, list_filter([" + ", ".join(f"'{x}'" for x in ve
 SELECT 'warning' AS severity, path, found AS detail FROM p WHERE found IS NOT NULL""")
 _phase(18, """SELECT 'warning' AS severity, min(path) AS path, lower(title) || ': ' || string_agg(path, ', ' ORDER BY path) AS detail
 FROM docs WHERE title IS NOT NULL GROUP BY lower(title) HAVING count(*) > 1""")
-_phase(19, _wiki + """ SELECT 'warning' AS severity, path, stem AS detail FROM docs
-WHERE NOT starts_with(file_name, '0.') AND (parent IS NULL OR parent IN ('0', 'null', '')) AND lower(stem) NOT IN (SELECT lower(split_part(name, '/', -1)) FROM seen)""")
+_phase(19, r"""+ refs AS (SELECT lower(unnest(regexp_extract_all(content, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1))) AS ref FROM docs)
+SELECT 'warning' AS severity, path, stem AS detail FROM docs WHERE NOT starts_with(file_name, '0.') AND (parent IS NULL OR parent = '0') AND lower(stem) NOT IN (SELECT ref FROM refs)""")
 _phase(20, r"""+ a AS (SELECT parent, count(*) AS n FROM docs WHERE doc_id IS NOT NULL AND parent <> '0' GROUP BY parent)
 SELECT 'warning' AS severity, path, children_count || ' vs ' || coalesce(n, 0) AS detail FROM docs LEFT JOIN a ON a.parent = docs.doc_id
 WHERE regexp_full_match(children_count, '\d+') AND children_count::BIGINT <> coalesce(n, 0)""")
@@ -146,7 +150,7 @@ _rule("L013", r"""+ r AS (SELECT path, line_no, string_split(text, '|') AS c FRO
 x AS (SELECT path, line_no, regexp_extract(c[2], '\[\[([^\] ]+)', 1) AS id, trim(c[3])::BIGINT AS claimed FROM r),
 d AS (SELECT id, (SELECT count(*) FROM docs f WHERE NOT contains(f.path, '/') AND regexp_matches(f.file_name, '^' || replace(x.id, '.', '\.') || '\.[0-9]')) AS n FROM (SELECT DISTINCT id FROM x) x)
 SELECT path, line_no AS line, x.id || ': ' || claimed || ' vs ' || n AS detail FROM x JOIN d USING (id) WHERE n <> claimed""")
-_rule("L014", "SELECT path, line_no AS line, '' AS detail FROM lines WHERE false")
+_rule("L014", r"""+ f AS (SELECT path, line_no, unnest(regexp_extract_all(text, '\[\[Proyecto[^\]]*/Datos/([^\]]+)\]\]')) AS link FROM lines) SELECT path, line_no AS line, substr(link, 1, 50) AS detail FROM f""")
 _corpus("lint_summary", lint.summary)
 _corpus("lint_fix", lambda d: rewrite.lint_fix(d).select("path", F.sha2("content", 256).alias("sha")), r"""+ f AS (
   SELECT path, content, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(content, '\n\z', ''), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n+\z', '') || chr(10) AS new FROM docs)
@@ -163,7 +167,7 @@ st AS (SELECT path, line, kind, target, name, CASE
   ELSE 'broken' END AS status FROM nn)"""
 _corpus("links_classify", links.classify, _links + " SELECT * FROM st")
 _corpus("links_totals", links.totals, _links + """ SELECT count(*) AS links, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'broken') AS broken,
-  count(*) FILTER (status = 'circular') AS circular, count(*) FILTER (status = 'nonstandard') AS nonstandard, 0::BIGINT AS external, round(count(*) FILTER (status = 'valid') / count(*) * 100, 6) AS health FROM st""")
+  count(*) FILTER (status = 'circular') AS circular, count(*) FILTER (status = 'nonstandard') AS nonstandard, count(*) FILTER (status = 'external') AS external, round(count(*) FILTER (status IN ('valid', 'external')) / count(*) * 100, 6) AS health FROM st""")
 _corpus("links_find_refs", lambda d: links.references(d, "Nat-3"), "SELECT path, line_no AS line, substr(text, 1, 50) AS fragment FROM lines WHERE contains(text, '[[Nat-3]]') OR contains(text, '[[Nat-3|')")
 _corpus("links_unresolved", links.unresolved)
 _corpus("links_unique_targets", links.unique_targets)
@@ -183,49 +187,58 @@ FROM (SELECT DISTINCT stem AS node FROM docs) d LEFT JOIN up2 ON up2.node = d.no
 _corpus("deps_impact", lambda d: graph.impact(d, "Nat-2"), _edges + """ SELECT node, 'child' AS relation FROM up2 WHERE parent = 'Nat-2'
 UNION ALL SELECT DISTINCT src, 'reference' FROM ed WHERE kind = 'link' AND contains(dst, 'Nat-2')""")
 _corpus("deps_mermaid", lambda d: graph.mermaid(graph.edges(d).where("kind = 'hierarchy'")))
-_corpus("trace", lambda d: graph.trace(d, "Reg-1", 3, True).where("ref_type in ('parent', 'child')"), _edges + """, below AS (
-  SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
-  UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1')
-SELECT source, target, 'child' AS ref_type, depth FROM below UNION ALL SELECT node, parent, 'parent', 1 FROM up2 WHERE node = 'Reg-1'""")
-_corpus("trace_all", lambda d: graph.trace(d, "Reg-1", 3, True), _edges + r""", below AS (
+_corpus("trace", lambda d: graph.trace(d, "Reg-1", 3, True), _edges + r""", below AS (
   SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
   UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1'),
 wk AS (SELECT stem AS src, trim(split_part(split_part(unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)), '/', -1), '|', 1)) AS dst FROM docs),
 lk AS (SELECT src AS source, dst AS target, 'link' AS ref_type FROM wk WHERE src = 'Reg-1' AND dst <> src UNION ALL SELECT src, dst, 'backlink' FROM wk WHERE dst = 'Reg-1' AND src <> dst)
 SELECT source, target, 'child' AS ref_type, depth FROM below UNION ALL SELECT node, parent, 'parent', 1 FROM up2 WHERE node = 'Reg-1'
 UNION ALL SELECT source, target, ref_type, 1 FROM (SELECT * FROM lk ORDER BY ref_type DESC, source, target LIMIT 100)""")
-_corpus("tree", lambda d: graph.tree(d).select("node", "depth", "doc_kind", "children", "is_last", "is_orphan", "words", F.array_join("sort_path", "/").alias("place")))
-_corpus("tree_text", lambda d: graph.tree_text(graph.tree(d)).select(F.array_join("sort_path", "/").alias("place"), "line"))
+_tree = r"""+R tw AS (SELECT stem AS node, max({w}) AS words FROM docs GROUP BY 1), tp AS (SELECT node, max(parent) AS parent FROM up WHERE parent NOT IN ('null', '') GROUP BY 1),
+tn AS (SELECT node, words, parent, parent IS NOT NULL AND parent IN (SELECT node FROM tw) AS known, (SELECT count(*) FROM tp c WHERE c.parent = tw.node) AS children FROM tw LEFT JOIN tp USING (node)),
+tl AS (SELECT *, node = max(node) OVER (PARTITION BY CASE WHEN known THEN parent END) AS is_last FROM tn),
+tt AS (
+  SELECT node, 0 AS depth, parent, children, is_last, ''::VARCHAR AS bars, node::VARCHAR AS place, words, parent IS NOT NULL AS is_orphan FROM tl WHERE NOT known
+  UNION ALL SELECT c.node, t.depth + 1, c.parent, c.children, c.is_last, t.bars || CASE WHEN t.is_last THEN '    ' ELSE '│   ' END, t.place || '/' || c.node, c.words, false FROM tl c JOIN tt t ON c.known AND c.parent = t.node)""".replace("{w}", words("content"))
+_corpus("tree", lambda d: graph.tree(d).select("node", "depth", "doc_kind", "children", "is_last", "is_orphan", "words", F.array_join("sort_path", "/").alias("place")), _tree + """
+SELECT node, depth, CASE WHEN depth = 0 AND starts_with(node, '0.') THEN 'master' WHEN children > 0 AND depth <= 1 THEN 'module_root' WHEN children > 0 THEN 'branch' ELSE 'leaf' END AS doc_kind,
+  children, is_last, is_orphan, words, place FROM tt""")
+_corpus("tree_text", lambda d: graph.tree_text(graph.tree(d)).select(F.array_join("sort_path", "/").alias("place"), "line"), _tree + """
+SELECT place, CASE WHEN depth = 0 THEN '' ELSE substr(bars, 1, 4 * (depth - 1)) || CASE WHEN is_last THEN '└── ' ELSE '├── ' END END || node AS line FROM tt""")
+_corpus("tree_root", lambda d: graph.tree_text(graph.tree(d, root="Nat-1")).select(F.array_join("sort_path", "/").alias("place"), "line"), """+ k AS (SELECT DISTINCT stem FROM docs WHERE starts_with(stem, 'Nat-1'))
+SELECT stem AS place, stem AS line FROM k""")
+_corpus("tree_totals", lambda d: graph.tree_totals(graph.tree(d)), _tree + " SELECT count(*) AS nodes, max(depth) AS max_depth, count(*) FILTER (is_orphan) AS orphans, sum(words)::BIGINT AS words FROM tt")
+_corpus("tree_levels", lambda d: graph.level_order(graph.tree(d)), _tree + " SELECT node, depth, (row_number() OVER (PARTITION BY depth ORDER BY string_split(place, '/')))::INT AS place FROM tt")
+_corpus("tree_postorder", lambda d: graph.post_order(graph.subtree(graph.tree(d), "Reg-1")).select("node", F.transform("key", lambda k: F.when(k["end"], F.lit("]")).otherwise(k["name"])).alias("k")).select("node", F.array_join("k", "/").alias("key")),
+        _tree + " SELECT node, place || '/]' AS key FROM tt WHERE list_contains(string_split(place, '/'), 'Reg-1')")
+_corpus("tree_leaves", lambda d: graph.leaves(graph.tree(d)).select("node"), _tree + " SELECT node FROM tt WHERE children = 0")
+_corpus("trace_totals", lambda d: graph.trace_totals(graph.trace(d, "Reg-1", 3, True)), _edges + r""", below AS (
+  SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1' UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1'),
+wk AS (SELECT stem AS src, trim(split_part(split_part(unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)), '/', -1), '|', 1)) AS dst FROM docs),
+lk AS (SELECT src AS source, dst AS target, 'link' AS ref_type FROM wk WHERE src = 'Reg-1' AND dst <> src UNION ALL SELECT src, dst, 'backlink' FROM wk WHERE dst = 'Reg-1' AND src <> dst),
+a AS (SELECT source, target, depth FROM below UNION ALL SELECT node, parent, 1 FROM up2 WHERE node = 'Reg-1' UNION ALL SELECT source, target, 1 FROM (SELECT * FROM lk ORDER BY ref_type DESC, source, target LIMIT 100)),
+n AS (SELECT count(DISTINCT x) AS n FROM (SELECT source AS x FROM a UNION ALL SELECT target FROM a))
+SELECT count(*) AS "references", max(depth) AS max_depth, (SELECT n FROM n) AS documents, (SELECT n FROM n) - 1 AS impact FROM a""")
+_corpus("deps_totals", lambda d: graph.graph_totals(graph.edges(d), d.select(F.col("stem").alias("node"))), _edges + """, n AS (SELECT stem AS x FROM docs UNION SELECT src FROM ed UNION SELECT dst FROM ed)
+SELECT (SELECT count(*) FROM n) AS nodes, count(*) AS edges, count(*) FILTER (kind = 'hierarchy') AS hierarchy, count(*) FILTER (kind = 'link') AS links FROM ed""")
 _corpus("id_tree", graph.id_tree, r"""+ o AS (SELECT DISTINCT doc_id FROM docs WHERE regexp_full_match(doc_id, '\d+(\.\d+)*')),
 p AS (SELECT doc_id, CASE WHEN contains(doc_id, '.') THEN regexp_replace(doc_id, '\.[^.]*$', '') END AS parent_id, len(string_split(doc_id, '.'))::BIGINT AS depth, split_part(doc_id, '.', 1)::INT AS module FROM o)
 SELECT doc_id, parent_id, depth, module, doc_id NOT IN (SELECT parent_id FROM p WHERE parent_id IS NOT NULL) AS is_leaf FROM p""")
 
 
-def _supply(lineitem: DataFrame) -> DataFrame:
-    some = lineitem.where("l_partkey < 40 and l_suppkey < 40").select("l_partkey", "l_suppkey").distinct()
-    return some.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 40).alias("dst"))
-
-
-_direct("cycles", lambda x: graph.cycles(_supply(x), 3).select(F.array_join("path", ",").alias("path")), ("lineitem",), """
-WITH e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7 + l_suppkey) % 40 AS dst FROM lineitem WHERE l_partkey < 40 AND l_suppkey < 40), f AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)
-SELECT a.src || ',' || a.dst AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
-UNION SELECT a.src || ',' || a.dst || ',' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-
-
-
-def _whole_supply(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+def _supply(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Edges between parts from all rows of lineitem."""
     n = part.agg(F.count(F.lit(1)).alias("n"))
     return lineitem.select("l_partkey", "l_suppkey").distinct().crossJoin(F.broadcast(n)).select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n")).alias("dst"))
 
 
-_whole_supplied = """e AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem), f AS (SELECT src, dst FROM e WHERE src <> dst)"""
-_direct("whole_cycles", lambda x, p: graph.cycles(_whole_supply(x, p), 3).select(F.array_join("path", ",").alias("path")), ("lineitem", "part"), f"""
-WITH {_whole_supplied}
+_supplied = """e AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem), f AS (SELECT src, dst FROM e WHERE src <> dst)"""
+_direct("cycles", lambda x, p: graph.cycles(_supply(x, p), 3).select(F.array_join("path", ",").alias("path")), ("lineitem", "part"), f"""
+WITH {_supplied}
 SELECT a.src || ',' || a.dst AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION ALL SELECT a.src || ',' || a.dst || ',' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-_direct("whole_cyclic", lambda x, p: graph.cyclic(_whole_supply(x, p)), ("lineitem", "part"), f"""
-WITH RECURSIVE {_whole_supplied}, r AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM r JOIN f ON r.dst = f.src)
+_direct("cyclic", lambda x, p: graph.cyclic(_supply(x, p)), ("lineitem", "part"), f"""
+WITH RECURSIVE {_supplied}, r AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM r JOIN f ON r.dst = f.src)
 SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src GROUP BY 1""")
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -235,15 +248,21 @@ _corpus("stats_by_type", stats.by_type, "SELECT coalesce(doc_type, 'sin_tipo') A
 _corpus("stats_sizes", lambda d: stats.sizes(d).drop("label"), "SELECT sum(size)::BIGINT AS bytes, round(avg(size), 6) AS average FROM docs")
 _corpus("stats_project", stats.project, rf"""+ w AS (SELECT unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)) AS t FROM prose),
 x AS (SELECT lower(trim(split_part(split_part(t, '#', 1), '/', -1))) AS name FROM w)
-SELECT count(*) AS documents, count(*) AS healthy, sum({words('body')})::BIGINT AS words, count(DISTINCT split_part(doc_id, '.', 1)) AS modules, max(len(string_split(doc_id, '.')))::BIGINT AS max_depth,
+SELECT count(*) AS documents, count(*) FILTER (closed) AS healthy, sum({words('body')})::BIGINT AS words, count(DISTINCT split_part(doc_id, '.', 1)) AS modules, max(len(string_split(doc_id, '.')))::BIGINT AS max_depth,
   (SELECT count(*) FROM x) AS links, (SELECT count(*) FROM x WHERE NOT EXISTS (SELECT 1 FROM docs f WHERE contains(lower(f.stem), x.name))) AS broken FROM docs""")
 _corpus("stats_quick", stats.quick, f"SELECT count(*) AS files, sum({words('content')})::BIGINT AS words, sum(size)::BIGINT AS bytes, count(*) FILTER (starts_with(content, '---')) AS with_frontmatter FROM docs")
-_corpus("modules", lambda d: stats.modules(d).drop("children"), rf"""+ m AS (SELECT {first('module')} AS module, {words('content')} AS w FROM docs), g AS (SELECT module, count(*) AS documents, sum(w)::BIGINT AS words FROM m WHERE module IS NOT NULL GROUP BY 1)
+_corpus("modules", stats.modules, rf"""+ m AS (SELECT coalesce({first('module')}, 'sin_modulo') AS module, {words('content')} AS w FROM docs), g AS (SELECT module, count(*) AS documents, sum(w)::BIGINT AS words FROM m GROUP BY 1)
 SELECT module, documents, words, words // documents AS average, (CASE WHEN words // documents <= 50 THEN 40 WHEN words // documents <= 200 THEN 70 WHEN words // documents <= 500 THEN 90 ELSE 100 END)::BIGINT AS health FROM g""")
+_corpus("module_children", lambda d: stats.module_children(d, "sin_modulo"), f"SELECT path FROM docs WHERE {first('module')} IS NULL")
 _corpus("module_registry", stats.module_registry, rf"""+ m AS (SELECT doc_id, title, {words('body')} AS w, len(string_split(doc_id, '.')) AS depth FROM docs WHERE regexp_full_match(doc_id, '\d+(\.\d+)*'))
 SELECT split_part(doc_id, '.', 1)::INT AS module, count(*) AS documents, sum(w)::BIGINT AS words, count(*) FILTER (title IS NOT NULL AND w >= 50) AS healthy,
   round(count(*) FILTER (title IS NOT NULL AND w >= 50) / count(*) * 100, 6) AS coverage, max(depth)::BIGINT AS max_depth, min(CASE WHEN depth = 1 THEN doc_id END) AS root_doc FROM m GROUP BY 1""")
-_corpus("health", stats.health)
+_corpus("health", stats.health, rf"""+ q AS (SELECT count(*) AS n, count(*) FILTER (starts_with(content, '---')) AS f, sum({words('content')}) AS w FROM docs),
+b AS (SELECT floor(f / n * 100) AS cover, CASE WHEN w // n >= 500 THEN 100 WHEN w // n >= 300 THEN 85 WHEN w // n >= 100 THEN 60 ELSE 30 END AS s FROM q),
+m(metric, value, weight) AS (SELECT 'coverage', cover::DOUBLE, 1.0::DOUBLE FROM b UNION ALL SELECT 'links', 95, 0.8 UNION ALL SELECT 'structure', s, 1.2 FROM b UNION ALL SELECT 'metadata', cover, 0.5 FROM b),
+o AS (SELECT * FROM m UNION ALL SELECT 'overall', round((SELECT sum(value * weight) / sum(weight) FROM m)), NULL)
+SELECT metric, value, weight, CASE WHEN value >= 90 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'warning' ELSE 'critical' END AS status,
+  CASE WHEN metric <> 'overall' THEN NULL WHEN value >= 90 THEN 'A' WHEN value >= 80 THEN 'B' WHEN value >= 70 THEN 'C' WHEN value >= 60 THEN 'D' ELSE 'F' END AS grade FROM o""")
 _corpus("audit", lambda d: stats.audit(d).select("rank", "category", "severity", "title", "n"))
 _corpus("audit_score", lambda d: stats.audit_score(stats.audit(d)))
 _corpus("report", stats.report, rf"""+ r AS (SELECT {words('body')} AS w, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) AS l FROM docs)
@@ -296,19 +315,6 @@ _direct("external_pages", lambda p: p.select("page_id", L.is_external(F.col("url
 
 
 def _diff(d: DataFrame) -> DataFrame:
-    old = d.select(F.concat((F.col("doc_id") % 150).cast("string"), F.lit(".md")).alias("file_name"), "doc_id", F.col("text").alias("content")).withColumn("path", F.col("file_name"))
-    return diff.corpora(old.where("doc_id < 100").drop("doc_id"), old.where("doc_id >= 200 and doc_id < 300 or doc_id < 20").where("doc_id >= 220 or doc_id < 20").drop("doc_id"))
-
-
-_direct("diff", _diff, ("documents",), """
-WITH f AS (SELECT doc_id % 150 || '.md' AS file_name, doc_id, text, len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)))::BIGINT AS n FROM documents),
-a AS (SELECT * FROM f WHERE doc_id < 100), b0 AS (SELECT * FROM f WHERE (doc_id >= 220 AND doc_id < 300) OR doc_id < 20),
-b AS (SELECT file_name, max(text) AS text, arg_max(n, text) AS n FROM b0 GROUP BY 1)
-SELECT coalesce(a.file_name, b.file_name) AS file_name, CASE WHEN a.file_name IS NULL THEN 'added' WHEN b.file_name IS NULL THEN 'deleted' ELSE 'modified' END AS change, a.n AS old_lines, b.n AS new_lines
-FROM a FULL JOIN b USING (file_name) WHERE a.file_name IS NULL OR b.file_name IS NULL OR a.text <> b.text""")
-
-
-def _whole_diff(d: DataFrame) -> DataFrame:
     """All documents against a version of all: every seventh dropped, every fifth with another line, every eleventh also
     under a new name."""
     old = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), "doc_id", F.col("text").alias("content"))
@@ -318,7 +324,7 @@ def _whole_diff(d: DataFrame) -> DataFrame:
     return diff.corpora(named(old), named(kept.unionByName(added)))
 
 
-_direct("whole_diff", _whole_diff, ("documents",), """
+_direct("diff", _diff, ("documents",), """
 WITH f AS (SELECT doc_id, text, len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)))::BIGINT AS n FROM documents)
 SELECT doc_id || '.md' AS file_name, 'deleted' AS change, n AS old_lines, NULL::BIGINT AS new_lines FROM f WHERE doc_id % 7 = 3
 UNION ALL SELECT doc_id || '.md', 'modified', n, len(string_split(text, chr(10))) + 1 FROM f WHERE doc_id % 7 <> 3 AND doc_id % 5 = 2
@@ -351,15 +357,15 @@ SELECT path, 'content_hash' AS field, old_value, new_value FROM s WHERE old_valu
 _corpus("fix_tables", rewrite.fix_tables)
 _corpus("set_field", lambda d: rewrite.set_field(d, "status", "review").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, 'status:[^\n]*', 'status: review')) AS sha FROM docs")
 _corpus("remove_field", lambda d: rewrite.remove_field(d, "draft").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, '(?m)^draft:\s*.*\n?', '', 'g')) AS sha FROM docs")
+_corpus("mark_archived", lambda d: rewrite.mark_archived(d, ["D11", "Nat-3", "D112"]).select("path", F.sha2("content", 256).alias("sha")), "SELECT path, sha256(" + "".join(["replace("] * 9) + "content"
+        + "".join(f", '{x}', '{x} (ARCHIVADO)')" for i in ("D11", "Nat-3", "D112") for x in (f"[[{i}]]", f"[{i}]", f"parent_id: {i}")) + ") AS sha FROM docs")
 _corpus("rename_links", lambda d: rewrite.rename_links(d, "Nat-3", "Nation-3").select("path", F.sha2("content", 256).alias("sha")), "SELECT path, sha256(replace(replace(content, '[[Nat-3]]', '[[Nation-3]]'), '(Nat-3.md)', '(Nation-3.md)')) AS sha FROM docs")
 _corpus("archivable", lambda d: rewrite.archivable(d, "stub,obsoleto"), rf"""+ s AS (SELECT path, stem, lower({first('status')}) AS status, {first('document_id')} AS document_id FROM docs) SELECT * FROM s WHERE contains(status, 'stub') OR contains(status, 'obsoleto')""")
 _corpus("next_id", lambda d: rewrite.next_id(d, "1.1"), "SELECT '1.1.' || (count(*) FILTER (starts_with(doc_id, '1.1.')) + 1) AS doc_id, '1.1' AS parent FROM docs")
 _corpus("schema_violations", schema.violations, f"""SELECT path, 'status' AS field, 'invalid_value' AS violation, 'one of: draft, active, deprecated, archived, reviewed' AS suggestion FROM docs WHERE status NOT IN ('draft', 'active', 'deprecated', 'archived', 'reviewed')
 UNION ALL SELECT path, 'id', 'missing_required', NULL FROM docs WHERE doc_id IS NULL UNION ALL SELECT path, 'title', 'missing_required', NULL FROM docs WHERE title IS NULL""")
 _corpus("schema_defaults", schema.defaults, "SELECT path, 'status' AS field, 'draft' AS default FROM docs WHERE status IS NULL".replace("AS default", 'AS "default"'))
-_corpus("predictions", lambda d: schema.predictions(d, "2024-02-20").where("kind = 'stale_document'"), """+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL)
-SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30""")
-_corpus("predictions_all", lambda d: schema.predictions(d, "2024-02-20"), r"""+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL),
+_corpus("predictions", lambda d: schema.predictions(d, "2024-02-20"), r"""+ s AS (SELECT path, date_diff('day', strptime(last_updated, '%Y-%m-%d')::DATE, DATE '2024-02-20') AS n FROM docs WHERE last_updated IS NOT NULL),
 k AS (SELECT path, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) + len(regexp_extract_all(content, '\[([^\]]*)\]\(([^)]+)\)')) AS n FROM docs)
 SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30
 UNION ALL SELECT path, 'broken_link_risk', 'low', n::BIGINT FROM k WHERE n > 10""")

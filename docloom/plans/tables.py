@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators.verify import line_table
+from docloom.plans.scratch import Rounds
 from docloom.sources import corpus
 
-_BUILT: dict[tuple[str, str, bool], str] = {}
-
-
-def _root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docloom-')}"
+_BUILT: dict[tuple[str, str], str] = {}
 
 
-def _built(spark: SparkSession, sf_dir: str, whole: bool) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, whole)
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        root = f"{_root(spark)}/corpus-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-        corpus.synthetic(spark, sf_dir, whole).write.parquet(f"{root}/files")
-        corpus.documents(spark.read.parquet(f"{root}/files")).write.parquet(f"{root}/docs")
-        _BUILT[key] = root
+        rounds = Rounds(spark, "corpus")
+        rounds.write(corpus.documents(rounds.write(corpus.synthetic(spark, sf_dir), "files")), "docs")
+        _BUILT[key] = rounds.root
     return _BUILT[key]
 
 
-def files(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content, mtime) of the synthetic corpus."""
-    return spark.read.parquet(f"{_built(spark, sf_dir, whole)}/files")
+    return spark.read.parquet(f"{_built(spark, sf_dir)}/files")
 
 
-def docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The document table of the synthetic corpus; `whole` has a file per row of documents."""
-    return spark.read.parquet(f"{_built(spark, sf_dir, whole)}/docs")
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table of the synthetic corpus."""
+    return spark.read.parquet(f"{_built(spark, sf_dir)}/docs")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

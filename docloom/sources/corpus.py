@@ -54,11 +54,14 @@ def scan(docs: DataFrame, exclude: list[str] = (), root_only: bool = False, max_
 
 
 TABLES = ("customer", "nation", "region", "documents")
-#: The synthetic corpus over the star schema, in SQL that Spark and DuckDB both read but for SHA-256.
+#: The synthetic corpus, in SQL that Spark and DuckDB both read but for SHA-256: a file per row of documents with its whole
+#: text, below the nation of the customer at doc_id modulo the number of customers, and files for nations and regions. The
+#: faults that phases and rules look for are added by rules on k, which is doc_id.
 CORPUS_SQL = r"""
 base AS (
-  SELECT c_custkey AS k, n_nationkey + 1 AS n, n_regionkey + 1 AS r, c_mktsegment AS seg, d.text AS body
-  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {documents} d ON d.doc_id = c_custkey % 200
+  SELECT doc_id AS k, n_nationkey + 1 AS n, n_regionkey + 1 AS r, c_mktsegment AS seg, text AS body
+  FROM (SELECT doc_id, text, doc_id % m AS c FROM {documents} CROSS JOIN (SELECT count(*) AS m FROM {customer}) s) d
+  JOIN {customer} ON c_custkey = c JOIN {nation} ON c_nationkey = n_nationkey
 ),
 kids AS (SELECT n, count(*) AS kids FROM base WHERE k % 41 <> 0 GROUP BY n),
 parts AS (
@@ -83,21 +86,25 @@ parts AS (
   FROM {nation} LEFT JOIN kids ON kids.n = n_nationkey + 1
   UNION ALL
   SELECT concat('c/Cust-', k, '.md'), k % 28, k % 4,
-    concat('---', chr(10), 'id: ', CASE WHEN k % 53 = 1 THEN concat('9.9.', k % 3) ELSE concat(r, '.', n, '.', k + 1) END, chr(10),
-      'title: "Cust ', CASE WHEN k % 67 = 1 THEN k - 1 ELSE k END, '"', chr(10),
-      'parent: ', CASE WHEN k % 41 = 0 THEN '99.99' ELSE concat(r, '.', n) END, chr(10),
+    concat(CASE WHEN k % 83 = 7 THEN '' ELSE concat('---', chr(10)) END, 'id: ', CASE WHEN k % 53 = 1 THEN concat('9.9.', k % 3) ELSE concat(r, '.', n, '.', k + 1) END, chr(10),
+      CASE WHEN k % 89 = 8 THEN '' ELSE concat('title: "Cust ', CASE WHEN k % 67 = 1 THEN k - 1 ELSE k END, '"', chr(10)) END,
+      CASE k % 97 WHEN 5 THEN '' WHEN 20 THEN concat('parent: 0', chr(10)) WHEN 6 THEN concat('parent: null', chr(10))
+        ELSE concat('parent: ', CASE WHEN k % 41 = 0 THEN '99.99' ELSE concat(r, '.', n) END, chr(10)) END,
       'parent_id: ', CASE WHEN k % 41 = 0 THEN 'Nowhere' ELSE concat('Nat-', n) END, chr(10),
       'breadcrumb: Master > ', r, CASE WHEN k % 11 = 0 THEN '' ELSE concat(' > ', r, '.', n, '.', k + 1) END, chr(10),
       'type: ', CASE WHEN k % 7 = 0 THEN 'raro' ELSE 'hoja' END, chr(10),
       CASE seg WHEN 'BUILDING' THEN concat('status: activo', chr(10)) WHEN 'MACHINERY' THEN concat('status: borrador', chr(10))
         WHEN 'AUTOMOBILE' THEN concat('status: stub', chr(10)) WHEN 'FURNITURE' THEN concat('status: obsoleto', chr(10)) ELSE '' END,
-      'document_id: D', k, chr(10), 'module: M', r, chr(10), CASE WHEN k % 9 = 4 THEN concat('draft: true', chr(10)) ELSE '' END,
+      'document_id: D', k, chr(10), CASE WHEN k % 103 = 9 THEN '' ELSE concat('module: M', r, chr(10)) END, CASE WHEN k % 9 = 4 THEN concat('draft: true', chr(10)) ELSE '' END,
       'last_updated: "2024-01-', lpad(CAST(k % 28 + 1 AS VARCHAR(2)), 2, '0'), '"', chr(10)),
     concat('---', chr(10), chr(10), '# Cust ', k, chr(10), chr(10), 'Belongs to [[Nat-', n, ']].', chr(10), chr(10),
-      CASE WHEN k % 10 = 7 THEN 'Short.' ELSE coalesce(body, '') END, chr(10),
+      coalesce(body, ''), chr(10),
       CASE WHEN k % 13 = 0 THEN concat('See [[missing-', k, '|alias]].', chr(10)) ELSE '' END,
       CASE WHEN k % 19 = 0 THEN concat('[[cust-', k, ']] and [[Cust-', k + 1, '#part]]', chr(10)) ELSE '' END,
       CASE WHEN k % 17 = 0 THEN concat('[[Cust-', k, ']]', chr(10)) ELSE '' END,
+      CASE k % 21 WHEN 4 THEN concat('[[c/Cust-', k, ']] and [[c/Cust-', k, '#end]]', chr(10)) WHEN 5 THEN concat('[[c/cust-', k, ']] by @', k, chr(10)) ELSE '' END,
+      CASE k % 73 WHEN 0 THEN concat('[[Cust-', k - k % 97 + 5, ']]', chr(10)) WHEN 1 THEN concat('[[Cust-', k - k % 97 + 5, '#part]]', chr(10)) ELSE '' END,
+      CASE WHEN k % 101 = 11 THEN concat('[[Proyecto P/Datos/Cust-', k, ']] [[D', k, ']] [D', k, ']', chr(10)) ELSE '' END,
       CASE WHEN k % 29 = 0 THEN concat('[[dir/Nat-', n, ']]', chr(10)) ELSE '' END,
       CASE WHEN k % 31 = 0 THEN concat('![[nope-', k, ']]', chr(10), '![](img-', k, '.png) ![alt](https://example.org/', k, '.png)', chr(10)) ELSE '' END,
       CASE WHEN k % 10 = 3 THEN concat('[site](https://example.org/', k, ')', chr(10)) ELSE '' END,
@@ -128,29 +135,16 @@ corpus AS (
 )
 """
 
-#: The same corpus with one file per row of documents, each with its whole text: k is doc_id, and the nation and the segment
-#: are those of the customer at doc_id modulo the number of customers.
-WHOLE_SQL = (
-    r"""
-base AS (
-  SELECT doc_id AS k, n_nationkey + 1 AS n, n_regionkey + 1 AS r, c_mktsegment AS seg, text AS body
-  FROM (SELECT doc_id, text, doc_id % m AS c FROM {documents} CROSS JOIN (SELECT count(*) AS m FROM {customer}) s) d
-  JOIN {customer} ON c_custkey = c JOIN {nation} ON c_nationkey = n_nationkey
-),
-"""
-    + CORPUS_SQL[CORPUS_SQL.index("kids AS") :].replace("CASE WHEN k % 10 = 7 THEN 'Short.' ELSE coalesce(body, '') END", "coalesce(body, '')")
-)
-
 
-def corpus_sql(sha: str = "sha256(", close: str = ")", whole: bool = False, **tables: str) -> str:
+def corpus_sql(sha: str = "sha256(", close: str = ")", **tables: str) -> str:
     """The WITH list of the synthetic corpus for an engine other than Spark."""
     names = {t: tables.get(t, t) for t in TABLES}
-    return (WHOLE_SQL if whole else CORPUS_SQL).format(sha=sha, close=close, **names)
+    return CORPUS_SQL.format(sha=sha, close=close, **names)
 
 
-def synthetic(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(path, content, mtime) of the synthetic corpus over the star-schema tables of sf_dir; `whole` takes all documents."""
-    sql = (WHOLE_SQL if whole else CORPUS_SQL).replace("{sha}", "sha2(").replace("{close}", ", 256)")
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content, mtime) of the synthetic corpus over the star-schema tables of sf_dir."""
+    sql = CORPUS_SQL.replace("{sha}", "sha2(").replace("{close}", ", 256)")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     return spark.sql(f"WITH {sql} SELECT path, content, timestamp_seconds(mtime_s) AS mtime FROM corpus", **tables)
 

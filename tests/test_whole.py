@@ -4,7 +4,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from docloom.llm import quality_rules
 from docloom.operators import export, graph, schema, stats
 from docloom.plans import registry, tables
 from docloom.sources import corpus
@@ -14,17 +13,13 @@ SMALL = "/root/testdata/sf0.01"
 
 def test_corpus_holds_every_text(spark):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.format_string("c/Cust-%d.md", "doc_id").alias("path"), "text")
-    files = tables.files(spark, SMALL, whole=True)
+    files = tables.files(spark, SMALL)
     assert files.count() == texts.count() + 31
     assert texts.join(files, "path").where(F.contains("content", F.col("text"))).count() == texts.count() == 1000
 
 
-def test_corpus_queries_have_whole_twins():
-    assert {f"whole_{n}" for n in ("v21_hash_integrity", "l014_absolute_link", "links_classify", "tree", "compiled", "export_index")} <= set(registry.QUERIES)
-
-
 def test_diff_compares_every_document(spark):
-    got = {r["change"]: r["n"] for r in registry.QUERIES["whole_diff"](spark, SMALL).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r["change"]: r["n"] for r in registry.QUERIES["diff"](spark, SMALL).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = range(1000)
     assert got == {"deleted": sum(i % 7 == 3 for i in ids), "modified": sum(i % 7 != 3 and i % 5 == 2 for i in ids), "added": sum(i % 11 == 5 for i in ids)}
 
@@ -41,20 +36,11 @@ def test_compiled_counts_the_whole_body(spark):
     docs = corpus.documents(spark.createDataFrame(files, "path string, content string, mtime timestamp"))
     assert export.compiled(docs).select(F.length("section")).first()[0] == 80 * 5 - 1
     assert len(export.single_text(export.compiled(docs), preview=50).first()["text"].split("\n")) == 50
-    long = tables.docs(spark, SMALL, whole=True).where("length(content) > 20000").select("path")
-    n = registry.QUERIES["whole_compiled"](spark, SMALL).join(long, "path").agg(F.min("n")).first()[0]
+    long = tables.docs(spark, SMALL).where("length(content) > 20000").select("path")
+    n = registry.QUERIES["compiled"](spark, SMALL).join(long, "path").agg(F.min("n")).first()[0]
     assert n is not None and n > 15000
 
 
-def test_all_labels_certify(spark):
-    good = [(i, " ".join(f"w{j}" for j in range(25)), "en") for i in range(500)]
-    docs = spark.createDataFrame([*good, (1000, " ".join(f"w{j}" + "#" * 5 for j in range(25)), "en")], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
-    failed = lambda **how: [r["doc_id"] for r in quality_rules.quality_verdicts(docs, labels, **how).where("size(rule_failed) > 0").collect()]
-    assert failed() == [1000]
-    assert failed(holdout_rows=quality_rules.FOLD) == []
-
-
 def _docs(spark, contents):
     rows = [(f"{n}.md", c, datetime(2024, 1, 1)) for n, c in contents.items()]
     return corpus.documents(spark.createDataFrame(rows, "path string, content string, mtime timestamp"))
@@ -67,7 +53,7 @@ def test_types_beyond_are_counted(spark):
 
 
 def test_all_kinds_are_returned(spark):
-    assert {r["ref_type"] for r in registry.QUERIES["trace_all"](spark, SMALL).collect()} == {"child", "parent", "backlink"}
+    assert {r["ref_type"] for r in registry.QUERIES["trace"](spark, SMALL).collect()} == {"child", "parent", "backlink"}
     docs = _docs(spark, {"a": "---\nid: 1\n---\n" + " ".join(f"[[x{i}]]" for i in range(11)), "b": "[[x]]"})
     assert [(r["path"], r["kind"], r["n"]) for r in schema.predictions(docs, "2024-02-20").collect()] == [("a.md", "broken_link_risk", 11)]
 
