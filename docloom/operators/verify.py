@@ -31,6 +31,29 @@ UNCHECKED_FILE = "0. Contexualizador.md"
 MIN_WORDS = 50
 
 
+def _found(severity: str, detail: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+
+
+def _if(condition: Column, severity: str, detail: Column) -> Column:
+    """What a phase finds in one document: an array of one finding, or of none."""
+    return F.array_compact(F.array(F.when(condition, _found(severity, detail))))
+
+
+def _local(docs: DataFrame, phases: list[int]) -> DataFrame:
+    """Issues of phases that need nothing but the document: all in one pass over the table."""
+
+    def numbered(i: int) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(i).alias("phase"), x["severity"].alias("severity"), x["detail"].alias("detail"))
+
+    each = [F.transform(LOCAL[i](), numbered(i)) for i in phases]
+    return docs.select("path", F.explode(F.concat(*each)).alias("x")).select("x.phase", "x.severity", "path", "x.detail")
+
+
+def _phase(number: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda docs: _local(docs, [number])
+
+
 def _issues(df: DataFrame, phase: int, severity: str, detail: Column) -> DataFrame:
     return df.select(F.lit(phase).alias("phase"), F.lit(severity).alias("severity"), "path", detail.cast("string").alias("detail"))
 
@@ -40,16 +63,6 @@ def file_count(docs: DataFrame) -> DataFrame:
     return _issues(none, 1, "error", F.lit("no files"))
 
 
-def yaml_validation(docs: DataFrame) -> DataFrame:
-    columns = dict(zip(REQUIRED, ("doc_id", "title", "parent", "breadcrumb", "doc_type", "status"), strict=True))
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in columns.items()]))
-    problem = (
-        F.when(~F.col("has_fm"), "no frontmatter").when(~F.col("fm_closed"), "not closed")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
-    )
-    return _issues(docs.where(F.col("file_name") != UNCHECKED_FILE).withColumn("p", problem).where("p is not null"), 2, "error", F.col("p"))
-
-
 def _shared(docs: DataFrame, phase: int, severity: str, key: Column) -> DataFrame:
     """Groups of files with one key, one issue each: the files' names in order, by the first."""
     groups = docs.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.array_sort(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
@@ -67,24 +80,6 @@ def valid_parents(docs: DataFrame) -> DataFrame:
     return _issues(orphaned, 4, "error", F.col("parent"))
 
 
-def breadcrumbs(docs: DataFrame) -> DataFrame:
-    return _issues(docs.where(~F.contains("breadcrumb", "doc_id")), 5, "warning", F.col("breadcrumb"))
-
-
-def types(docs: DataFrame) -> DataFrame:
-    return _issues(docs.where(~F.lower("doc_type").isin(*TYPES)), 6, "warning", F.col("doc_type"))
-
-
-def statuses(docs: DataFrame) -> DataFrame:
-    return _issues(docs.where(~F.lower("status").isin(*STATUSES)), 7, "warning", F.col("status"))
-
-
-def dates_sync(docs: DataFrame, tolerance_minutes: int = 1440) -> DataFrame:
-    drift = F.floor(F.abs(F.unix_timestamp("mtime") - Y.parse_date(F.col("last_updated"))) / 60)
-    late = docs.where(~F.col("file_name").startswith("0.")).withColumn("drift", drift).where(F.col("drift") > tolerance_minutes)
-    return _issues(late, 8, "warning", F.col("drift"))
-
-
 def wiki_targets(docs: DataFrame) -> DataFrame:
     """(path, link, name): wiki links that phase 9 looks at, with their anchors cut."""
     found = docs.select("path", F.explode(L.all_of(F.col("content"), L.WIKI_NAME)).alias("raw"))
@@ -120,17 +115,6 @@ def images(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return _issues(found.join(known.distinct(), "image", "left_anti"), 11, "warning", F.col("image"))
 
 
-def code_blocks(docs: DataFrame) -> DataFrame:
-    n = T.occurrences(F.col("content"), "```")
-    return _issues(docs.withColumn("n", n).where("n % 2 <> 0"), 12, "warning", F.col("n"))
-
-
-def mermaid(docs: DataFrame) -> DataFrame:
-    known = reduce(lambda a, b: a | b, [F.contains("block", F.lit(d)) for d in DIAGRAMS])
-    blocks = docs.select("path", F.explode(L.all_of(F.col("content"), L.MERMAID)).alias("block"))
-    return _issues(blocks.where(~known & (T.trim(F.col("block")) != "")), 13, "warning", F.lit("no diagram type"))
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """(path, line_no from 1, text)."""
     return docs.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
@@ -148,28 +132,6 @@ def tables(docs: DataFrame) -> DataFrame:
     return _issues(ends.where(~F.col("sep") & (F.col("last") < F.col("lines"))), 14, "warning", F.col("first"))
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """Several H1; and the first jump of more than one level, fences or not."""
-    trimmed = F.transform(T.lines(F.col("content")), T.trim)
-    h1 = F.size(F.filter(trimmed, lambda x: x.startswith("# ")))
-    several = docs.withColumn("n", h1).where("n > 1")
-    levels = F.transform(F.filter(trimmed, lambda x: x.startswith("#")), lambda x: F.length(F.regexp_extract(x, "^#+", 0)))
-    jumps = T.let(levels, lambda v: F.filter(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.get(v, i) > F.get(v, i - 1) + 1))
-    first = F.when(F.size("levels") > 1, F.get("jumps", F.lit(0)))
-    jumped = docs.withColumn("levels", levels).withColumn("jumps", F.when(F.size("levels") > 1, jumps)).withColumn("i", first).where("i is not null")
-    name = F.concat(F.lit("H"), F.get("levels", F.col("i") - 1).cast("string"), F.lit(" to H"), F.get("levels", F.col("i")).cast("string"))
-    return _issues(several, 15, "warning", F.concat(F.col("n").cast("string"), F.lit(" H1"))).union(_issues(jumped, 15, "warning", name))
-
-
-def min_content(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    return _issues(docs.withColumn("n", T.words(Y.body(F.col("content")))).where(F.col("n") < least), 16, "warning", F.col("n"))
-
-
-def placeholders(docs: DataFrame) -> DataFrame:
-    first = F.get(F.filter(F.array(*[F.lit(p) for p in PLACEHOLDERS]), lambda p: F.contains(F.col("content"), p)), F.lit(0))
-    return _issues(docs.withColumn("found", first).where("found is not null"), 17, "warning", F.col("found"))
-
-
 def duplicate_titles(docs: DataFrame) -> DataFrame:
     return _shared(docs, 18, "warning", F.lower("title"))
 
@@ -188,17 +150,74 @@ def children_count(docs: DataFrame) -> DataFrame:
     return _issues(said.where(F.col("children_count").cast("long") != n), 20, "warning", F.concat("children_count", F.lit(" vs "), n.cast("string")))
 
 
-def hash_integrity(docs: DataFrame) -> DataFrame:
-    differs = F.trim(F.col("content_hash")) != T.stable_hash(F.col("content"))
-    return _issues(docs.where(F.col("content_hash").isNotNull() & differs), 21, "warning", F.col("content_hash"))
+def _yaml() -> Column:
+    columns = dict(zip(REQUIRED, ("doc_id", "title", "parent", "breadcrumb", "doc_type", "status"), strict=True))
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in columns.items()]))
+    problem = (
+        F.when(~F.col("has_fm"), "no frontmatter").when(~F.col("fm_closed"), "not closed")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    )
+    return T.let(F.when(F.col("file_name") != UNCHECKED_FILE, problem), lambda p: _if(p.isNotNull(), "error", p))
+
+
+def _dates(tolerance_minutes: int = 1440) -> Column:
+    drift = F.floor(F.abs(F.unix_timestamp("mtime") - Y.parse_date(F.col("last_updated"))) / 60)
+    return T.let(F.when(~F.col("file_name").startswith("0."), drift), lambda d: _if(d > tolerance_minutes, "warning", d))
+
+
+def _fences() -> Column:
+    return T.let(T.occurrences(F.col("content"), "```"), lambda n: _if(n % 2 != 0, "warning", n))
+
+
+def _diagrams() -> Column:
+    """Mermaid blocks that are not empty and name no diagram."""
+    odd = lambda b: ~reduce(lambda x, y: x | y, [F.contains(b, F.lit(d)) for d in DIAGRAMS]) & (T.trim(b) != "")
+    return F.transform(F.filter(L.all_of(F.col("content"), L.MERMAID), odd), lambda _: _found("warning", F.lit("no diagram type")))
+
+
+def _headings() -> Column:
+    """Several H1; and the first jump of more than one level, fences or not."""
+    heads = F.filter(F.transform(T.lines(F.col("content")), T.trim), lambda x: x.startswith("#"))
+    h1 = lambda h: F.size(F.filter(h, lambda x: x.startswith("# ")))
+    levels = lambda h: F.transform(h, lambda x: F.length(F.regexp_extract(x, "^#+", 0)))
+
+    def jump(v: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: F.get(v, i) > F.get(v, i - 1) + 1)
+        name = lambda i: F.concat(F.lit("H"), F.get(v, i - 1).cast("string"), F.lit(" to H"), F.get(v, i).cast("string"))
+        return T.let(F.get(places, F.lit(0)), lambda i: _if(i.isNotNull(), "warning", name(i)))
+
+    several = lambda n: _if(n > 1, "warning", F.concat(n.cast("string"), F.lit(" H1")))
+    return T.let(heads, lambda h: F.concat(T.let(h1(h), several), T.let(levels(h), jump)))
+
+
+def _short(least: int = MIN_WORDS) -> Column:
+    return T.let(T.words(Y.body(F.col("content"))), lambda n: _if(n < least, "warning", n))
+
+
+def _placeholder() -> Column:
+    first = F.coalesce(*[F.when(F.contains("content", F.lit(p)), F.lit(p)) for p in PLACEHOLDERS])
+    return T.let(first, lambda p: _if(p.isNotNull(), "warning", p))
+
+
+def _hash() -> Column:
+    stored = F.trim(F.col("content_hash"))
+    return F.when(stored.isNotNull(), _if(stored != T.stable_hash(F.col("content")), "warning", F.col("content_hash"))).otherwise(F.array().cast("array<struct<severity:string,detail:string>>"))
+
+
+#: Phases over single documents.
+LOCAL: dict[int, Callable[[], Column]] = {
+    2: _yaml, 5: lambda: _if(~F.contains("breadcrumb", "doc_id"), "warning", F.col("breadcrumb")), 6: lambda: _if(~F.lower("doc_type").isin(*TYPES), "warning", F.col("doc_type")),
+    7: lambda: _if(~F.lower("status").isin(*STATUSES), "warning", F.col("status")), 8: _dates, 12: _fences, 13: _diagrams, 15: _headings, 16: _short, 17: _placeholder, 21: _hash,
+}
+hash_integrity = _phase(21)
 
 
 PHASES: dict[int, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    1: ("file_count", file_count), 2: ("yaml_validation", yaml_validation), 3: ("unique_ids", unique_ids), 4: ("valid_parents", valid_parents),
-    5: ("breadcrumbs", breadcrumbs), 6: ("types", types), 7: ("status", statuses), 8: ("dates_sync", dates_sync), 9: ("internal_links", internal_links),
-    10: ("embeds", embeds), 11: ("images", images), 12: ("code_blocks", code_blocks), 13: ("mermaid", mermaid), 14: ("tables", tables),
-    15: ("headings", headings), 16: ("min_content", min_content), 17: ("placeholders", placeholders), 18: ("duplicates", duplicate_titles),
-    19: ("orphans", orphans), 20: ("children_count", children_count), 21: ("hash_integrity", hash_integrity),
+    1: ("file_count", file_count), 2: ("yaml_validation", _phase(2)), 3: ("unique_ids", unique_ids), 4: ("valid_parents", valid_parents),
+    5: ("breadcrumbs", _phase(5)), 6: ("types", _phase(6)), 7: ("status", _phase(7)), 8: ("dates_sync", _phase(8)), 9: ("internal_links", internal_links),
+    10: ("embeds", embeds), 11: ("images", images), 12: ("code_blocks", _phase(12)), 13: ("mermaid", _phase(13)), 14: ("tables", tables),
+    15: ("headings", _phase(15)), 16: ("min_content", _phase(16)), 17: ("placeholders", _phase(17)), 18: ("duplicates", duplicate_titles),
+    19: ("orphans", orphans), 20: ("children_count", children_count), 21: ("hash_integrity", _phase(21)),
 }
 #: Other names of phases (fixed values).
 ALIASES = {
@@ -218,7 +237,9 @@ def phase_number(name: str) -> int | None:
 def verify(docs: DataFrame, phases: list[int] | None = None, quick: bool = False) -> DataFrame:
     """Issues of the chosen phases; `quick` leaves the slow ones out."""
     chosen = [i for i in (phases or PHASES) if not (quick and i in SLOW)]
-    return reduce(DataFrame.unionByName, [PHASES[i][1](docs) for i in chosen])
+    local = [i for i in chosen if i in LOCAL]
+    parts = [PHASES[i][1](docs) for i in chosen if i not in LOCAL] + ([_local(docs, local)] if local else [])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(docs: DataFrame, quick: bool = False) -> DataFrame:

@@ -41,12 +41,23 @@ def _direct(name: str, query: Callable[..., DataFrame], names: tuple[str, ...],
         ORACLE_SQL[name] = sql
 
 
+_PHASE_SQL: dict[int, str] = {}
+_RULE_SQL: dict[str, str] = {}
+
+
+def _inner(sql: str) -> str:
+    """A query's SQL as a subquery of one that has the corpus's tables."""
+    return "WITH " + sql.strip()[1:] if sql.strip().startswith("+") else sql
+
+
 def _phase(number: int, sql: str) -> None:
     name, phase = verify.PHASES[number]
+    _PHASE_SQL[number] = sql
     _corpus(f"v{number:02d}_{name}", lambda d: phase(d).select("severity", "path", "detail"), sql)
 
 
 def _rule(code: str, sql: str) -> None:
+    _RULE_SQL[code] = sql
     _corpus(f"{code.lower()}_{lint.RULES[code].__name__}", lambda d: lint.RULES[code](d).select("path", "line", "detail"), sql)
 
 
@@ -113,8 +124,13 @@ _hash = r"""substr(sha256(array_to_string(list_filter(string_split(regexp_replac
   lambda x: NOT (starts_with(x, 'last_updated:') OR starts_with(x, 'content_hash:') OR starts_with(x, 'file_create:'))), chr(10))), 1, 16)"""
 _phase(21, f"SELECT 'warning' AS severity, path, content_hash AS detail FROM docs WHERE content_hash IS NOT NULL AND trim(content_hash) <> {_hash}")
 
-_corpus("verify_summary", verify.summary)
-_corpus("verify_quick", lambda d: verify.summary(d, quick=True))
+_issues = "+ issues AS (" + " UNION ALL ".join(f"SELECT {n} AS phase, severity FROM ({_inner(x)})" for n, x in _PHASE_SQL.items()) + ")"
+_quick = _issues.replace("+ issues AS (", "+ all_issues AS (") + f", issues AS (SELECT * FROM all_issues WHERE phase NOT IN {verify.SLOW})"
+_names = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, (n, _) in verify.PHASES.items()) + ") n(phase, name)"
+_summary = f""" SELECT n.phase, name, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed
+FROM {_names} LEFT JOIN issues USING (phase) %s GROUP BY ALL"""
+_corpus("verify_summary", verify.summary, _issues + _summary % "")
+_corpus("verify_quick", lambda d: verify.summary(d, quick=True), _quick + _summary % f"WHERE phase NOT IN {verify.SLOW}")
 
 # --- lint -------------------------------------------------------------------------------------------------------------
 _rule("L001", "SELECT path, 1::BIGINT AS line, '' AS detail FROM docs WHERE NOT starts_with(content, '---')")
@@ -151,7 +167,14 @@ x AS (SELECT path, line_no, regexp_extract(c[2], '\[\[([^\] ]+)', 1) AS id, trim
 d AS (SELECT id, (SELECT count(*) FROM docs f WHERE NOT contains(f.path, '/') AND regexp_matches(f.file_name, '^' || replace(x.id, '.', '\.') || '\.[0-9]')) AS n FROM (SELECT DISTINCT id FROM x) x)
 SELECT path, line_no AS line, x.id || ': ' || claimed || ' vs ' || n AS detail FROM x JOIN d USING (id) WHERE n <> claimed""")
 _rule("L014", r"""+ f AS (SELECT path, line_no, unnest(regexp_extract_all(text, '\[\[Proyecto[^\]]*/Datos/([^\]]+)\]\]')) AS link FROM lines) SELECT path, line_no AS line, substr(link, 1, 50) AS detail FROM f""")
-_corpus("lint_summary", lint.summary)
+#: Severity, and whether it can be fixed, of each rule (fixed values).
+_RULES = {
+    "L001": ("warning", 0), "L002": ("warning", 0), "L003": ("info", 1), "L004": ("info", 1), "L005": ("warning", 0), "L006": ("hint", 0), "L007": ("warning", 0),
+    "L008": ("error", 0), "L009": ("warning", 0), "L010": ("warning", 0), "L011": ("error", 1), "L012": ("error", 1), "L013": ("warning", 1), "L014": ("info", 0),
+}
+_found = "+ found AS (" + " UNION ALL ".join(f"SELECT '{_RULES[c][0]}' AS severity, {_RULES[c][1]} AS fixable, path FROM ({_inner(x)})" for c, x in _RULE_SQL.items()) + ")"
+_corpus("lint_summary", lint.summary, _found + """ SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos,
+  count(*) FILTER (severity = 'hint') AS hints, count(*) FILTER (fixable = 1) AS fixable, count(DISTINCT path) AS files FROM found""")
 _corpus("lint_fix", lambda d: rewrite.lint_fix(d).select("path", F.sha2("content", 256).alias("sha")), r"""+ f AS (
   SELECT path, content, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(content, '\n\z', ''), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n+\z', '') || chr(10) AS new FROM docs)
 SELECT path, sha256(new) AS sha FROM f WHERE new <> content""")
@@ -169,10 +192,21 @@ _corpus("links_classify", links.classify, _links + " SELECT * FROM st")
 _corpus("links_totals", links.totals, _links + """ SELECT count(*) AS links, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'broken') AS broken,
   count(*) FILTER (status = 'circular') AS circular, count(*) FILTER (status = 'nonstandard') AS nonstandard, count(*) FILTER (status = 'external') AS external, round(count(*) FILTER (status IN ('valid', 'external')) / count(*) * 100, 6) AS health FROM st""")
 _corpus("links_find_refs", lambda d: links.references(d, "Nat-3"), "SELECT path, line_no AS line, substr(text, 1, 50) AS fragment FROM lines WHERE contains(text, '[[Nat-3]]') OR contains(text, '[[Nat-3|')")
-_corpus("links_unresolved", links.unresolved)
-_corpus("links_unique_targets", links.unique_targets)
-_corpus("links_extract", lambda d: d.select("path", F.explode(L.extract(F.col("content"))).alias("l")).groupBy("l.link_type").agg(F.count(F.lit(1)).alias("n")))
-_corpus("links_to_markdown", lambda d: d.select("path", F.sha2(L.to_markdown(F.col("content")), 256).alias("sha")))
+_extract = r"""+ xw AS (SELECT path, unnest(regexp_extract_all(content, '!?\[\[[^\]|]+(?:\|[^\]]+)?\]\]')) AS raw FROM docs),
+xm AS (SELECT path, unnest(regexp_extract_all(content, '!?\[[^\]]*\]\([^)]+\)')) AS raw FROM docs),
+xl AS (
+  SELECT path, 'wiki' AS link_type, regexp_extract(raw, '\[\[([^\]|]+)', 1) AS target FROM xw WHERE NOT starts_with(raw, '!')
+  UNION ALL SELECT path, CASE WHEN regexp_matches(raw, '\]\(https?://') THEN 'external' ELSE 'markdown' END, regexp_extract(raw, '\]\(([^)]+)\)', 1) FROM xm WHERE NOT starts_with(raw, '!') AND NOT starts_with(raw, '[]')
+  UNION ALL SELECT path, 'embed', NULL FROM (SELECT path, unnest(regexp_extract_all(content, '!\[\[([^\]]+)\]\]')) FROM docs)
+  UNION ALL SELECT path, 'md_embed', NULL FROM (SELECT path, unnest(regexp_extract_all(content, '!\[([^\]]*)\]\(([^)]+)\)')) FROM docs))"""
+_corpus("links_unresolved", links.unresolved, _extract + """, t AS (SELECT path, split_part(target, '#', 1) AS t FROM xl WHERE link_type IN ('wiki', 'markdown')),
+n AS (SELECT path, CASE WHEN contains(t, '.') THEN t ELSE t || '.md' END AS target FROM t WHERE t <> '')
+SELECT path, target FROM n WHERE target NOT IN (SELECT path FROM docs) AND split_part(target, '/', -1) NOT IN (SELECT file_name FROM docs)""")
+_corpus("links_unique_targets", lambda d: links.unique_targets(d).select("path", F.array_join("targets", ";").alias("targets")), _extract + """, t AS (
+  SELECT path, list_sort(list_distinct(list(trim(target)))) AS l FROM xl WHERE link_type IN ('wiki', 'markdown') GROUP BY 1) SELECT path, coalesce(array_to_string(l, ';'), '') AS targets FROM docs LEFT JOIN t USING (path)""")
+_corpus("links_extract", lambda d: d.select("path", F.explode(L.extract(F.col("content"))).alias("l")).groupBy("l.link_type").agg(F.count(F.lit(1)).alias("n")), _extract + " SELECT link_type, count(*) AS n FROM xl GROUP BY 1")
+_corpus("links_to_markdown", lambda d: d.select("path", F.sha2(L.to_markdown(F.col("content")), 256).alias("sha")), r"""
+SELECT path, sha256(regexp_replace(regexp_replace(content, '(^|[^!])\[\[([^\]|]+)\|([^\]]+)\]\]', '\1[\3](\2.md)', 'g'), '(^|[^!])\[\[([^\]|]+)\]\]', '\1[\2](\2.md)', 'g')) AS sha FROM docs""")
 
 # --- graph ------------------------------------------------------------------------------------------------------------
 _edges = r"""+ up2 AS (SELECT node, parent FROM up WHERE parent NOT IN ('null', '')),
@@ -186,7 +220,9 @@ _corpus("deps_roles", graph.roles, _edges + """ SELECT d.node, parent IS NULL AS
 FROM (SELECT DISTINCT stem AS node FROM docs) d LEFT JOIN up2 ON up2.node = d.node""")
 _corpus("deps_impact", lambda d: graph.impact(d, "Nat-2"), _edges + """ SELECT node, 'child' AS relation FROM up2 WHERE parent = 'Nat-2'
 UNION ALL SELECT DISTINCT src, 'reference' FROM ed WHERE kind = 'link' AND contains(dst, 'Nat-2')""")
-_corpus("deps_mermaid", lambda d: graph.mermaid(graph.edges(d).where("kind = 'hierarchy'")))
+_corpus("deps_mermaid", lambda d: graph.mermaid(graph.edges(d).where("kind = 'hierarchy'")), _edges + r""", m AS (
+  SELECT DISTINCT '    ' || regexp_replace(src, '[^A-Za-z0-9]', '_', 'g') || ' --> ' || regexp_replace(dst, '[^A-Za-z0-9]', '_', 'g') AS line FROM ed WHERE kind = 'hierarchy')
+SELECT 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS mermaid FROM m""")
 _corpus("trace", lambda d: graph.trace(d, "Reg-1", 3, True), _edges + r""", below AS (
   SELECT u.parent AS source, u.node AS target, 1 AS depth FROM up2 u WHERE parent = 'Reg-1'
   UNION ALL SELECT u.parent, u.node, 2 FROM up2 u JOIN up2 v ON u.parent = v.node WHERE v.parent = 'Reg-1'),
@@ -263,14 +299,26 @@ m(metric, value, weight) AS (SELECT 'coverage', cover::DOUBLE, 1.0::DOUBLE FROM
 o AS (SELECT * FROM m UNION ALL SELECT 'overall', round((SELECT sum(value * weight) / sum(weight) FROM m)), NULL)
 SELECT metric, value, weight, CASE WHEN value >= 90 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'warning' ELSE 'critical' END AS status,
   CASE WHEN metric <> 'overall' THEN NULL WHEN value >= 90 THEN 'A' WHEN value >= 80 THEN 'B' WHEN value >= 70 THEN 'C' WHEN value >= 60 THEN 'D' ELSE 'F' END AS grade FROM o""")
-_corpus("audit", lambda d: stats.audit(d).select("rank", "category", "severity", "title", "n"))
-_corpus("audit_score", lambda d: stats.audit_score(stats.audit(d)))
+_ten = "(SELECT coalesce(string_agg(path, ',' ORDER BY path), '') FROM (SELECT DISTINCT path FROM %s ORDER BY path LIMIT 10))"
+_audit = _links + ", " + _found[1:] + ", low AS (SELECT path FROM docs WHERE " + words("content") + """ < 100),
+f AS (SELECT 1 AS seq, 'links' AS category, 4 AS severity, 'broken links' AS title, (SELECT count(*) FROM st WHERE status = 'broken') AS n, """ + _ten % "st WHERE status = 'broken'" + """ AS affected
+  UNION ALL SELECT 2, 'links', 3, 'links with a path', (SELECT count(*) FROM st WHERE status = 'nonstandard'), """ + _ten % "st WHERE status = 'nonstandard'" + """
+  UNION ALL SELECT 3, 'content', 4, 'lint errors', (SELECT count(*) FROM found WHERE severity = 'error'), """ + _ten % "found WHERE severity = 'error'" + """
+  UNION ALL SELECT 4, 'content', 2, 'lint warnings', (SELECT count(*) FROM found WHERE severity = 'warning'), ''
+  UNION ALL SELECT 5, 'content', 3, 'little content', (SELECT CASE WHEN count(*) > 10 THEN count(*) ELSE 0 END FROM low), """ + _ten % "low" + "), a AS (SELECT * FROM f WHERE n > 0)"
+_corpus("audit", lambda d: stats.audit(d).select("rank", "category", "severity", "title", "n", F.array_join("affected", ",").alias("affected")), _audit + """
+SELECT (row_number() OVER (ORDER BY severity DESC, seq))::INT AS rank, category, severity, title, n, affected FROM a""")
+_corpus("audit_score", lambda d: stats.audit_score(stats.audit(d)), _audit + """
+SELECT greatest(0, 100 - 2 * sum(severity))::BIGINT AS score, sum(CASE WHEN severity >= 5 THEN 60 WHEN severity = 4 THEN 30 WHEN severity = 3 THEN 15 WHEN severity = 2 THEN 5 ELSE 2 END)::BIGINT AS minutes FROM a""")
 _corpus("report", stats.report, rf"""+ r AS (SELECT {words('body')} AS w, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) AS l FROM docs)
 SELECT count(*) AS documents, sum(w)::BIGINT AS words, (sum(w) // count(*))::BIGINT AS average, sum(l)::BIGINT AS wiki_links FROM r""")
 _corpus("report_modules", stats.report_modules, "SELECT split_part(doc_id, '.', 1) AS module_id, count(*) AS n FROM docs WHERE doc_id IS NOT NULL GROUP BY 1")
-_corpus("dashboard", lambda d: stats.dashboard(d, "errors").groupBy("id").agg(F.count(F.lit(1)).alias("n")))
-_corpus("dashboard_score", stats.dashboard_score)
-_corpus("gate", registry.gate)
+_corpus("dashboard", lambda d: stats.dashboard(d, "errors").groupBy("id").agg(F.count(F.lit(1)).alias("n")), _issues + " SELECT 'E' || lpad(phase::VARCHAR, 2, '0') AS id, count(*) AS n FROM issues WHERE severity = 'error' GROUP BY 1")
+_corpus("dashboard_all", lambda d: stats.dashboard(d).groupBy("id", "severity").agg(F.count(F.lit(1)).alias("n")), _issues + " SELECT upper(severity[1]) || lpad(phase::VARCHAR, 2, '0') AS id, severity, count(*) AS n FROM issues GROUP BY ALL")
+_corpus("dashboard_score", stats.dashboard_score, _issues + " SELECT round((21 - (SELECT count(DISTINCT phase) FROM issues WHERE severity = 'error')) / 21 * 100, 6) AS health")
+_corpus("gate", registry.gate, _links + ", " + _found[1:] + ", " + _issues[1:] + """, g AS (SELECT (SELECT count(*) FROM issues WHERE severity = 'error') AS verify_errors,
+  (SELECT count(*) FROM found WHERE severity = 'error') AS lint_errors, (SELECT count(*) FROM st WHERE status = 'broken') AS broken_links)
+SELECT *, verify_errors + lint_errors + broken_links = 0 AS passed FROM g""")
 _buckets = "(VALUES " + ", ".join(f"('{n}', {a}, {b if b is not None else 'NULL'})" for n, a, b in stats.BUCKETS) + ") b(name, least, most)"
 _direct("coverage", lambda d: stats.coverage(d.withColumnRenamed("text", "content")), ("documents",), f"""
 WITH w AS (SELECT {words('text')} AS n FROM documents)
@@ -335,8 +383,14 @@ p AS (SELECT a.doc_id, len(list_filter(b.l, lambda y: NOT list_contains(a.l, y))
 SELECT doc_id, ad::BIGINT AS added, re::BIGINT AS removed, least(ad, re)::BIGINT AS modified, round(greatest(0, (m - (ad + re) / 2) / m * 100), 6)::DOUBLE AS similarity FROM p""")
 _direct("char_similarity", lambda p: p.select("p_partkey", F.round(T.similarity(F.col("p_name"), F.col("p_type")), 9).alias("similarity")), ("part",), """
 SELECT p_partkey, round(len(list_filter(string_split(p_name, ''), lambda c: contains(p_type, c))) / greatest(strlen(p_name), strlen(p_type)), 9) AS similarity FROM part""")
-_direct("labels_format", lambda d: d.select("doc_id", T.file_size_label(F.octet_length("text").cast("long")).alias("size"), T.word_count_label(T.words(F.col("text"))).alias("words")), ("documents",))
-_corpus("prose_words", lambda d: d.select("path", Y.count_prose_words(Y.body(F.col("content"))).alias("n")))
+_direct("labels_format", lambda d: d.select("doc_id", T.file_size_label(F.octet_length("text").cast("long")).alias("size"), T.word_count_label(T.words(F.col("text"))).alias("words")), ("documents",), f"""
+WITH s AS (SELECT doc_id, strlen(text) AS n, {words('text')} AS w FROM documents)
+SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', round(n / 1073741824, 2)) WHEN n >= 1048576 THEN printf('%.2f MB', round(n / 1048576, 2)) WHEN n >= 1024 THEN printf('%.2f KB', round(n / 1024, 2)) ELSE n || ' B' END AS size,
+  CASE WHEN w >= 1000000 THEN printf('%.1fM', round(w / 1000000, 1)) WHEN w >= 1000 THEN printf('%.1fK', round(w / 1000, 1)) ELSE w::VARCHAR END AS words FROM s""")
+_corpus("prose_words", lambda d: d.select("path", Y.count_prose_words(Y.body(F.col("content"))).alias("n")), rf"""+ bl AS (
+  SELECT path, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT path, string_split(regexp_replace(body, '\n\z', ''), chr(10)) AS l FROM docs)),
+bf AS (SELECT path, text, starts_with(trim(text), '```') AS f, sum(CASE WHEN starts_with(trim(text), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS k FROM bl)
+SELECT path, sum(CASE WHEN f OR k % 2 = 1 THEN 0 ELSE {words("translate(text, '#*_`', '    ')")} END)::BIGINT AS n FROM bf GROUP BY 1""")
 _corpus("id_ancestors", lambda d: d.where("doc_id is not null").select("path", F.array_join(I.ancestors(F.col("doc_id")), "/").alias("ancestors"), F.array_join(I.breadcrumb(F.col("breadcrumb")), "/").alias("crumbs")), r"""
 SELECT path, array_to_string(list_transform(range(1, len(string_split(doc_id, '.'))), lambda i: array_to_string(string_split(doc_id, '.')[1:i], '.')), '/') AS ancestors,
   array_to_string(list_filter(list_transform(string_split(breadcrumb, '>'), lambda s: trim(s)), lambda s: s <> ''), '/') AS crumbs FROM docs WHERE doc_id IS NOT NULL""")
@@ -354,7 +408,10 @@ _corpus("fix_dates", rewrite.fix_dates, rf"""+ s AS (SELECT path, mtime_s, {firs
 SELECT path, 'last_updated' AS field, said AS old_value, strftime(make_timestamp(mtime_s * 1000000), '%Y-%m-%d %H:%M:%S') AS new_value FROM s WHERE said IS NOT NULL AND abs(mtime_s - epoch(strptime(said, '%Y-%m-%d'))::BIGINT) // 3600 >= 24""")
 _corpus("fix_hashes", rewrite.fix_hashes, rf"""+ s AS (SELECT path, {first('content_hash')} AS old_value, {_hash} AS new_value FROM docs)
 SELECT path, 'content_hash' AS field, old_value, new_value FROM s WHERE old_value <> new_value""")
-_corpus("fix_tables", rewrite.fix_tables)
+_corpus("fix_tables", lambda d: rewrite.fix_tables(d).withColumn("line_no", F.col("line_no").cast("long")), r"""+ r AS (SELECT path, line_no, text, string_split(text, '|') AS c FROM lines WHERE starts_with(path, 'Nat-') AND regexp_matches(text, '^\| \[\[[0-9]')),
+x AS (SELECT path, line_no, text, regexp_extract(c[2], '\[\[([^\] ]+)', 1) AS id, trim(c[3])::BIGINT AS claimed FROM r),
+d AS (SELECT id, (SELECT count(*) FROM docs f WHERE NOT contains(f.path, '/') AND starts_with(f.file_name, x.id || '.') AND regexp_matches(substr(f.file_name, length(x.id) + 2), '^[0-9]')) AS n FROM (SELECT DISTINCT id FROM x) x)
+SELECT path, line_no, regexp_replace(text, '\d+(\s*\|\s*)$', n || '\1') AS text FROM x JOIN d USING (id) WHERE n <> claimed""")
 _corpus("set_field", lambda d: rewrite.set_field(d, "status", "review").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, 'status:[^\n]*', 'status: review')) AS sha FROM docs")
 _corpus("remove_field", lambda d: rewrite.remove_field(d, "draft").select("path", F.sha2("content", 256).alias("sha")), r"SELECT path, sha256(regexp_replace(content, '(?m)^draft:\s*.*\n?', '', 'g')) AS sha FROM docs")
 _corpus("mark_archived", lambda d: rewrite.mark_archived(d, ["D11", "Nat-3", "D112"]).select("path", F.sha2("content", 256).alias("sha")), "SELECT path, sha256(" + "".join(["replace("] * 9) + "content"
@@ -369,15 +426,19 @@ _corpus("predictions", lambda d: schema.predictions(d, "2024-02-20"), r"""+ s AS
 k AS (SELECT path, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) + len(regexp_extract_all(content, '\[([^\]]*)\]\(([^)]+)\)')) AS n FROM docs)
 SELECT path, 'stale_document' AS kind, CASE WHEN n > 60 THEN 'high' ELSE 'medium' END AS confidence, n::BIGINT AS n FROM s WHERE n > 30
 UNION ALL SELECT path, 'broken_link_risk', 'low', n::BIGINT FROM k WHERE n > 10""")
-_corpus("fix_routes", lambda d: schema.routed(verify.verify(d), "phase").groupBy("anomaly", "action", "auto_safe").agg(F.count(F.lit(1)).alias("n")))
+_routes = "(VALUES " + ", ".join(f"({k}, '{a}', '{r[1]}', {str(r[2]).lower()})" for k, a in schema.ANOMALIES.items() if k.isdigit() for r in schema.ROUTES if r[0] == a) + ") r(phase, anomaly, action, auto_safe)"
+_corpus("fix_routes", lambda d: schema.routed(verify.verify(d), "phase").groupBy("anomaly", "action", "auto_safe").agg(F.count(F.lit(1)).alias("n")), _issues + f" SELECT anomaly, action, auto_safe, count(*) AS n FROM issues JOIN {_routes} USING (phase) GROUP BY ALL")
 _corpus("compiled", lambda d: export.compiled(d).select("path", "title", "module", "anchor", F.length("section").cast("long").alias("n")), rf"""
-SELECT path, {first('title')} AS title, {first('module')} AS module, lower(replace(replace(stem, '.', '-'), ' ', '-')) AS anchor, length(regexp_replace(body, '^\s+|\s+$', '', 'g'))::BIGINT AS n
+SELECT path, coalesce({first('title')}, stem) AS title, {first('module')} AS module, lower(replace(replace(stem, '.', '-'), ' ', '-')) AS anchor, length(CASE WHEN closed THEN regexp_replace(body, '^\s+|\s+$', '', 'g') ELSE content END)::BIGINT AS n
 FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true')""")
 _corpus("compiled_contents", lambda d: export.contents(export.compiled(d)), rf"""SELECT path, '- [' || coalesce({first('title')}, stem) || '](#' || lower(replace(replace(stem, '.', '-'), ' ', '-')) || ')' AS line FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true')""")
 _corpus("export_index", lambda d: export.index(d, "M1", ("Cust-", "C_")), rf"""SELECT path, CASE WHEN starts_with(file_name, 'Cust-') THEN 'C_' || substr(file_name, 6) ELSE file_name END AS target, {first('title')} AS title, {words('content')}::BIGINT AS words, substr(sha256(content), 1, 16) AS hash FROM docs WHERE contains({first('module')}, 'M1')""")
 _corpus("export_budget", lambda d: export.token_budget(d, 20_000), "+ s AS (SELECT path, ceil(length(content) / 4)::BIGINT AS tokens FROM docs), t AS (SELECT path, tokens, sum(tokens) OVER (ORDER BY path)::BIGINT AS total FROM s) SELECT * FROM t WHERE total <= 20000")
-_corpus("export_json", lambda d: export.to_json(d.select("path", "doc_id", "title")))
-_corpus("html_sections", lambda d: export.compiled(d).select("path", F.sha2(export.html_section(F.col("title"), F.col("section")), 256).alias("sha")))
+_corpus("export_json", lambda d: export.to_json(d.select("path", "doc_id", "title")), """
+SELECT '{' || array_to_string(list_filter(['"path":"' || path || '"', '"doc_id":"' || doc_id || '"', '"title":"' || title || '"'], lambda x: x IS NOT NULL), ',') || '}' AS json FROM docs""")
+_corpus("html_sections", lambda d: export.compiled(d).select("path", F.sha2(export.html_section(F.col("title"), F.col("section")), 256).alias("sha")), rf"""+ s AS (
+  SELECT path, coalesce({first('title')}, stem) AS title, CASE WHEN closed THEN regexp_replace(body, '^\s+|\s+$', '', 'g') ELSE content END AS section FROM docs WHERE NOT regexp_matches(content, 'draft:\s*true'))
+SELECT path, sha256('<section><h2>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h2><pre>' || replace(replace(replace(section, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></section>') AS sha FROM s""")
 
 # --- streams and telemetry --------------------------------------------------------------------------------------------
 _direct("watch_events", lambda e: watch.from_history(e.select(F.col("user_id").cast("string").alias("path"), F.col("ts").alias("mtime"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), ("events",), """
