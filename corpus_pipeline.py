@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, with_row
+from docloom.llm.common import Scratch, numbered
 from docloom.llm.mixing import mix
 from docloom.llm.pieces import encode
 from docloom.llm.quality_rules import quality_verdicts
@@ -19,22 +19,22 @@ from docloom.llm.suffix_dedup import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows = with_row(docs, Scratch(spark, "rows"))
+    rows, row = numbered(docs, Scratch(spark, "rows"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = quality_verdicts(rows, labels, carry=("_row",)).where("not kept").select("_row")
-    return rows.join(rejected, "_row", "left_anti").select(*docs.columns)
+    rejected = quality_verdicts(rows, labels, carry=(row,)).where("not kept").select(row)
+    return rows.join(rejected, row, "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates."""
-    rows = with_row(docs, Scratch(spark, "rows"))
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(others, "_row", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, Scratch(spark, "rows"))
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return rows.join(others, row, "left_anti").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that stand in 200-byte strings found elsewhere."""
+    """Documents without the bytes that stand in 200-byte strings found elsewhere; a null text becomes empty."""
     return remove_repeats(docs)
 
 
