@@ -114,11 +114,6 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def with_row(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """`numbered`, for docs without a column _row."""
-    return numbered(docs, scratch)[0]
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it several times in body(value), inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
