@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,3 +120,56 @@ def named(x: Column, names: dict) -> Column:
     """names[lower(x)], or null."""
     pairs = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
     return F.try_element_at(pairs, F.lower(x))
+
+
+def build(fields: dict[str, Column]) -> Column:
+    """Frontmatter of fields in their order; a null field has no line, an array is written in brackets."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\n"))
+    return F.concat(F.lit("---\n"), *[F.coalesce(line(n, v), F.lit("")) for n, v in fields.items()], F.lit("---\n"))
+
+
+def bracketed(items: Column) -> Column:
+    """An array as a YAML flow sequence."""
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+#: Fields of the typed frontmatter (fixed values).
+TEXTS = ("id", "title", "parent", "breadcrumb", "status", "created", "last_updated", "author", "domain", "priority", "description", "content_hash", "version")
+LISTS = ("actors", "tags", "references")
+NUMBERS = ("children_count", "descendants_count")
+
+
+def _raw(yaml: Column, name: str) -> Column:
+    return F.regexp_extract(yaml, rf"(?m)^(?:{name}):[ \t]*(.*?)[ \t\r]*$", 1)
+
+
+def _bare(raw: Column) -> Column:
+    """A scalar without its quotes or comment; null for an empty one or null."""
+    quoted = raw.rlike(r"^([\"']).*\1")
+    plain = F.regexp_replace(raw, r"(^|[ \t]+)#.*$", "")
+    return F.when(quoted, F.regexp_extract(raw, r"^([\"'])(.*?)\1", 2)).otherwise(F.when(~F.lower(plain).isin("", "~", "null"), plain))
+
+
+def _list(yaml: Column, name: str) -> Column:
+    """Items in brackets, or on lines with a dash; null without the field."""
+    raw = _raw(yaml, name)
+    inner = F.split(F.regexp_extract(raw, r"^\[(.*)\]", 1), ",")
+    block = F.split(F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- .*(?:\n|\z))+)", 1), "\n")
+    dashed = F.transform(F.filter(block, lambda x: x.rlike("^[ \t]*- ")), lambda x: F.regexp_extract(x, r"^[ \t]*- [ \t]*(.*)$", 1))
+    items = F.when(raw.startswith("["), inner).when(F.size(dashed) > 0, dashed)
+    return F.filter(F.transform(items, lambda x: _bare(F.trim(x))), lambda x: x.isNotNull())
+
+
+def typed(yaml: Column) -> Column:
+    """The frontmatter as a struct: texts, lists, numbers, and `parse_error`, null where it can be read. Fields are those at
+    the start of a line; id and title must be there, a field may stand once, numbers must be whole."""
+    known = "|".join((*TEXTS, *LISTS, *NUMBERS, "doc_type", "type"))
+    seen = F.transform(F.regexp_extract_all(yaml, F.lit(rf"(?m)^({known}):"), F.lit(1)), lambda k: F.when(k == "type", "doc_type").otherwise(k))
+    bad = reduce(lambda a, b: a | b, [_raw(yaml, n).rlike(r"\S") & _bare(_raw(yaml, n)).isNotNull() & ~F.coalesce(_bare(_raw(yaml, n)).rlike(r"^\+?\d+$"), F.lit(False)) for n in NUMBERS])
+    error = (
+        F.when(yaml.isNull(), "missing frontmatter").when(F.size(F.array_distinct(seen)) < F.size(seen), "duplicate field")
+        .when(_bare(_raw(yaml, "id")).isNull(), "missing field: id").when(_bare(_raw(yaml, "title")).isNull(), "missing field: title").when(bad, "no number")
+    )
+    texts = [_bare(_raw(yaml, n)).alias(n) for n in TEXTS] + [_bare(_raw(yaml, "doc_type|type")).alias("doc_type")]
+    numbers = [_bare(_raw(yaml, n)).try_cast("long").alias(n) for n in NUMBERS]
+    return F.struct(*texts, *[_list(yaml, n).alias(n) for n in LISTS], *numbers, error.alias("parse_error"))

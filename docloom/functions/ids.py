@@ -45,5 +45,10 @@ def dots(x: Column) -> Column:
     return (F.length(lead) - F.length(F.replace(lead, F.lit("."), F.lit("")))).cast("long")
 
 
+def relative_depth(x: Column, root: str | None) -> Column:
+    """`dots` below those of a root, never below zero."""
+    return dots(x) if root is None else F.greatest(dots(x) - dots(F.lit(root)), F.lit(0).cast("long"))
+
+
 def breadcrumb(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ">"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)

@@ -42,6 +42,28 @@ def index(docs: DataFrame, module: str | None = None, rename: tuple[str, str] |
     return d.select("path", name.alias("target"), Y.first_field(F.col("content"), "title").alias("title"), T.words(F.col("content")).alias("words"), T.sha16(F.col("content")).alias("hash"))
 
 
+def metadata(docs: DataFrame, modules: tuple[str, ...] = (), prefix_rename: bool = False) -> DataFrame:
+    """(id, title, module, word_count, exported_as, path): what an export writes about each file. A module filter keeps modules
+    that contain one of the names and stems that start with one; renaming puts the module before the file's name."""
+    module = Y.first_field(F.col("content"), "module")
+    d = docs.withColumn("module", module)
+    if modules:
+        hit = F.lit(False)
+        for m in modules:
+            hit = hit | F.coalesce(F.contains("module", F.lit(m)), F.lit(False)) | F.col("stem").startswith(m)
+        d = d.where(hit)
+    name = F.col("file_name")
+    if prefix_rename:
+        name = F.coalesce(F.concat(F.translate("module", " .", "_-"), F.lit("_"), "file_name"), name)
+    title = F.coalesce(Y.first_field(F.col("content"), "title"), F.col("stem"))
+    return d.select(F.col("stem").alias("id"), title.alias("title"), "module", T.words(F.col("content")).alias("word_count"), name.alias("exported_as"), "path")
+
+
+def index_totals(entries: DataFrame) -> DataFrame:
+    """One row over `metadata`: files, distinct modules, words."""
+    return entries.agg(F.count(F.lit(1)).alias("total_files"), F.count_distinct("module").alias("modules"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
+
+
 def token_budget(docs: DataFrame, most: int) -> DataFrame:
     """Documents in order of path as long as their estimated tokens (four characters each) stay in the budget (an
     extension). The running sum sorts (path, tokens) in one task, which a budget for one export allows."""
@@ -98,6 +120,65 @@ def write_files(docs: DataFrame, root: str) -> DataFrame:
     return docs.select("path", "content").mapInArrow(run, "path string, bytes long")
 
 
+def _each(paths: DataFrame, root: str, act, schema: str) -> DataFrame:
+    """act(file system, target) for every path below root, in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        fs, where = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            done = [act(fs, f"{where}/{p}") for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(done, pa.bool_())], names=["path", "done"])
+
+    return paths.select("path").mapInArrow(run, schema)
+
+
+def _backup_name(target: str) -> str:
+    folder, slash, name = target.rpartition("/")
+    return folder + slash + (name.rsplit(".", 1)[0] if "." in name[1:] else name) + ".md.bak"
+
+
+def backup_files(paths: DataFrame, root: str) -> DataFrame:
+    """(path, done): copies each file below root to its backup; not done where there is no file."""
+    return _each(paths, root, lambda fs, t: _copied(fs, t, _backup_name(t)), "path string, done boolean")
+
+
+def restore_files(paths: DataFrame, root: str) -> DataFrame:
+    """(path, done): copies each backup over its file; not done where there is no backup."""
+    return _each(paths, root, lambda fs, t: _copied(fs, _backup_name(t), t), "path string, done boolean")
+
+
+def remove_backups(paths: DataFrame, root: str) -> DataFrame:
+    """(path, done): removes backups; not done where there is none. A task that runs again finds none."""
+    return _each(paths, root, lambda fs, t: _removed(fs, _backup_name(t)), "path string, done boolean")
+
+
+def _there(fs, name: str) -> bool:
+    from pyarrow.fs import FileType
+
+    return fs.get_file_info(name).type == FileType.File
+
+
+def _copied(fs, source: str, target: str) -> bool:
+    """Copies under a temporary name first."""
+    import uuid
+
+    if not _there(fs, source):
+        return False
+    part = f"{target}.{uuid.uuid4().hex}"
+    fs.copy_file(source, part)
+    fs.move(part, target)
+    return True
+
+
+def _removed(fs, name: str) -> bool:
+    found = _there(fs, name)
+    if found:
+        fs.delete_file(name)
+    return found
+
+
 def write_zip(docs: DataFrame, file: str) -> int:
     """Streams the documents, in order of path, into one local ZIP on the driver; returns their number. One file has one
     writer, so this is for corpora that fit a disk."""

@@ -28,6 +28,11 @@ def edges(docs: DataFrame) -> DataFrame:
     return up.unionByName(out.where("src <> dst").withColumn("kind", F.lit("link")))
 
 
+def nodes(pairs: DataFrame) -> DataFrame:
+    """(node): the distinct ends of edges (src, dst), so that a link makes the nodes that it names."""
+    return pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+
+
 def roles(docs: DataFrame) -> DataFrame:
     """(node, is_root, is_leaf, orphan_reason, invalid_parent) by the hierarchy alone."""
     up = parents(docs).groupBy("node").agg(F.max("parent").alias("parent"))

@@ -48,6 +48,25 @@ def batch_file(text: str) -> list[list[str]]:
     return [shlex.split(x) for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
 
 
+def hook_file(text: str) -> list[str]:
+    """Commands of a hook file: one a line, blank lines and lines with # left out."""
+    return [x for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
+
+
+def hook_commands(events: DataFrame, hooks: str) -> DataFrame:
+    """(path, seq, command): the hooks of each changed path with $FILE filled in; nothing is run."""
+    from pyspark.sql import functions as F
+
+    lines = F.array(*[F.lit(x) for x in hook_file(hooks)]).cast("array<string>")
+    out = events.select("path", F.posexplode(lines).alias("seq", "command"))
+    return out.withColumn("command", F.replace("command", F.lit("$FILE"), F.col("path")))
+
+
+def custom_vars(pairs: list[str]) -> dict[str, str]:
+    """NAME=value arguments; those without = are left out, the value may hold further ones."""
+    return {k.strip(): v.strip() for k, sign, v in (x.partition("=") for x in pairs) if sign}
+
+
 def gate(docs: DataFrame) -> DataFrame:
     """One row: whether verify, lint and links pass, as a build gate would ask."""
     from pyspark.sql import functions as F

@@ -144,6 +144,32 @@ def substitute(template: Column, values: dict[str, Column | str]) -> Column:
     return template
 
 
+def healed_date(content: Column, now: str) -> Column:
+    """The content with `last_updated` of its frontmatter set to `now`, or added at its end; null without a closed one."""
+    yaml, rest = Y.yaml_text(content), F.substring(content, Y.closing_offset(content) + 4, F.length(content))
+    line = f"last_updated: {now}"
+    mark = r"(?m)^[ \t]*last_updated:.*$"
+    return F.concat(F.lit("---"), F.when(yaml.rlike(mark), F.regexp_replace(yaml, mark, line)).otherwise(F.concat(yaml, F.lit(line + "\n"))), rest)
+
+
+def heal_dates(docs: DataFrame, now: str) -> DataFrame:
+    """(path, content, healed): every document with its date set; unchanged, and not healed, without a closed frontmatter."""
+    new = docs.select("path", "content", healed_date(F.col("content"), now).alias("new"))
+    return new.select("path", F.coalesce("new", "content").alias("content"), F.col("new").isNotNull().alias("healed"))
+
+
+def heal_whitespace(docs: DataFrame) -> DataFrame:
+    """(path, content): lines without white space at their ends, and no final line end."""
+    return docs.select("path", F.array_join(F.transform(T.lines(F.col("content")), T.trim_end), "\n").alias("content"))
+
+
+def auto_fix(docs: DataFrame, now: str) -> DataFrame:
+    """(path, content, fixes) of documents that the fixes safe to automate change: lint's, then the date. `fixes` names them."""
+    d = docs.select("path", "content", lint.fix(F.col("content")).alias("new")).where("new <> content")
+    d = d.select("path", "new", healed_date(F.col("new"), now).alias("dated"))
+    return d.select("path", F.coalesce("dated", "new").alias("content"), F.array_compact(F.array(F.lit("lint"), F.when(F.col("dated").isNotNull(), "date"))).alias("fixes"))
+
+
 def pipeline(docs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], tuple[Column, str]]]]) -> DataFrame:
     """Runs stages over rows: each gives a condition and skip or abort for rows that meet it. Adds `status` and
     `messages`; a row that was skipped or aborted meets no further stage."""

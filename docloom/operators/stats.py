@@ -134,6 +134,11 @@ def module_registry(docs: DataFrame) -> DataFrame:
     )
 
 
+def registry_totals(modules_: DataFrame) -> DataFrame:
+    """One row over `module_registry`: modules, documents, and the mean of the modules' coverages (0 without modules)."""
+    return modules_.agg(F.count(F.lit(1)).alias("modules"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.round(F.coalesce(F.avg("coverage"), F.lit(0.0)), 4).alias("coverage"))
+
+
 def quick(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("files"), F.sum(_words()).alias("words"), F.sum("size").alias("bytes"), F.count_if("has_fm").alias("with_frontmatter"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import frontmatter as Y
+from docloom.functions import ids as I
 
 #: File-name prefixes of test documents (fixed values).
 TEST_PREFIXES = ("TRAP_", "AUTOTEST_", "QUANTUM_TRAP_", "TEST_", "HARDTEST_")
@@ -36,6 +37,21 @@ def documents(files: DataFrame) -> DataFrame:
     )
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, the fields of the typed frontmatter, body, parse_error, valid): every file has a row; leave out those with a
+    parse_error to load what can be read. Valid is an id of dotted numbers and a title, neither empty."""
+    text = files.select("path", F.regexp_replace("content", r"(?U)^\s+", "").alias("content"))
+    cut = text.select("path", Y.yaml_text(F.col("content")).alias("yaml"), Y.body(F.col("content")).alias("body"))
+    out = cut.withColumn("f", Y.typed(F.col("yaml"))).select("path", "f.*", F.regexp_replace("body", r"(?U)^\s+", "").alias("body"))
+    good = F.col("parse_error").isNull() & (F.col("title") != "") & I.parts(F.col("id")).isNotNull()
+    return out.withColumn("valid", F.coalesce(good, F.lit(False)))
+
+
+def validity(parsed_docs: DataFrame) -> DataFrame:
+    """One row: documents, valid ones, those that can't be read."""
+    return parsed_docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if("valid").alias("valid"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"))
+
+
 def without_tests(docs: DataFrame, prefixes: tuple[str, ...] = TEST_PREFIXES) -> DataFrame:
     return docs.where(~F.col("file_name").rlike("^(" + "|".join(prefixes) + ")"))
 
