@@ -86,3 +86,11 @@ def test_names_are_resolved_as_by_comparing_each_pair(spark):
     got = links.classify(docs)
     assert sorted((r["path"], r["target"], r["status"]) for r in got.collect()) == _pairwise(docs)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_compare_no_name_with_each_path(spark):
+    docs = _docs(spark, ODD)
+    got = links.totals(docs)
+    status = [s for _, _, s in _pairwise(docs)]
+    assert got.first()["valid"] == status.count("valid") and got.first()["broken"] == status.count("broken")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
