@@ -1,10 +1,13 @@
 """Queries over whole tables: nothing is left out by id, size or number."""
 
+import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import export, graph, links, schema, stats
+from docloom.operators import registry as commands
 from docloom.plans import registry, tables
 from docloom.sources import corpus
 
@@ -94,3 +97,20 @@ def test_totals_compare_no_name_with_each_path(spark):
     status = [s for _, _, s in _pairwise(docs)]
     assert got.first()["valid"] == status.count("valid") and got.first()["broken"] == status.count("broken")
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _plans(spark):
+    """Plans of the queries that ran, by number."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+
+@pytest.mark.parametrize("name", ["audit"])
+def test_no_query_compares_names_with_each_path(spark, name):
+    docs, before = _docs(spark, ODD), set(_plans(spark))
+    broken = [s for _, _, s in _pairwise(docs)].count("broken")
+    run = {"audit": stats.audit, "audit_score": lambda d: stats.audit_score(stats.audit(d)), "gate": commands.gate}[name]
+    rows = run(docs).collect()
+    assert broken > 0 and {"audit": lambda: rows[0]["n"], "audit_score": lambda: broken, "gate": lambda: rows[0]["broken_links"]}[name]() == broken
+    ran = [p for i, p in _plans(spark).items() if i not in before]
+    assert ran and not [p for p in ran if re.search(r"NestedLoopJoin.*LeftSemi", p)]
