@@ -105,7 +105,7 @@ def _plans(spark):
     return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
 
 
-@pytest.mark.parametrize("name", ["audit", "gate"])
+@pytest.mark.parametrize("name", ["audit", "audit_score", "gate"])
 def test_no_query_compares_names_with_each_path(spark, name):
     docs, before = _docs(spark, ODD), set(_plans(spark))
     broken = [s for _, _, s in _pairwise(docs)].count("broken")
